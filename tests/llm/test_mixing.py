@@ -1,0 +1,64 @@
+import re
+
+import pytest
+
+from palimpsest.llm.mixing import mix, targets
+from palimpsest.llm.queries import QUERIES
+from tests.llm.helpers import DOC_SCHEMA, edge_docs, empty_docs
+
+
+def brute_targets(sizes, share=1.5, most=2.0):
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
+    goal, pool, free = {}, share * sum(sizes.values()), set(order)
+    while free:
+        level = pool / sum(weight[s] for s in free)
+        over = {s for s in free if level * weight[s] >= most * sizes[s]}
+        for s in over or free:
+            goal[s] = most * sizes[s] if over else level * weight[s]
+        pool -= sum(goal[s] for s in over)
+        free = free - over if over else set()
+    return goal
+
+
+@pytest.mark.parametrize("sizes", [{"a": 10}, {"a": 100, "b": 1, "c": 1}, {None: 3, "z": 50, "a": 0, "": 7, "é": 9, "Z": 11, "b": 1000}, {f"s{i}": i * i for i in range(40)}])
+def test_targets(spark, sizes):
+    rows = targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long")).collect()
+    want = brute_targets(sizes)
+    assert {r["source"]: pytest.approx(r["target"]) for r in rows} == want
+
+
+def check(rows, texts):
+    sizes, taken = {}, {}
+    for r in rows:
+        sizes[r["source"]] = sizes.get(r["source"], 0) + r["size"]
+        taken[r["source"]] = taken.get(r["source"], 0) + r["taken"]
+        assert 0 <= r["taken"] <= 2 * r["size"]
+        assert r["size"] == len(re.findall(r"[^\x20\x09-\x0D]+", texts[r["doc_id"]] or ""))
+    goal = brute_targets(sizes)
+    for r in rows:
+        assert r["source_size"] == sizes[r["source"]]
+        assert r["target"] == pytest.approx(goal[r["source"]])
+    for source, n in taken.items():
+        assert abs(n - goal[source]) <= 1
+
+
+def test_op9_over_the_table(spark, sf_dir):
+    texts = dict(map(tuple, spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()))
+    rows = mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).collect()
+    assert len(rows) == len(texts)
+    check(rows, texts)
+    again = {(r["doc_id"], r["taken"]) for r in QUERIES["op9_mix"](spark, sf_dir).collect()}
+    assert again == {(r["doc_id"], r["taken"]) for r in rows}
+
+
+def test_buckets_don_t_change_the_budget(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "w " * (i % 7), "en", f"s{i % 3}" if i % 9 else None, 1) for i in range(500)], DOC_SCHEMA)
+    monkeypatch.setattr("palimpsest.llm.mixing.ROWS_A_BUCKET", 20)
+    check(mix(docs).collect(), {i: "w " * (i % 7) for i in range(500)})
+
+
+def test_edges(spark):
+    rows = mix(edge_docs(spark)).collect()
+    assert len(rows) == edge_docs(spark).count()
+    assert mix(empty_docs(spark)).count() == 0
