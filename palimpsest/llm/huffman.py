@@ -65,6 +65,9 @@ class Code:
         spans = np.left_shift(1, MAX_BITS - lengths[order].astype(np.int64))
         starts = np.cumsum(spans) - spans  # of each id's share of all 16-bit windows
         self.codes[order] = starts >> (MAX_BITS - lengths[order].astype(np.int64))
+        self.long_lengths = lengths.astype(np.int64)
+        #: each code at the top of 64 bits
+        self.high = np.left_shift(self.codes.astype(np.uint64), ((64 - self.long_lengths) & 63).astype(np.uint64))
         self.symbol = np.zeros(1 << MAX_BITS, np.uint32)
         self.width = np.ones(1 << MAX_BITS, np.uint8)
         total = int(spans.sum())
@@ -75,11 +78,11 @@ class Code:
         """The bits, padded to whole 32-bit words, and the bit offset of each block."""
         if not len(ids):
             return b"", np.zeros(0, np.int64)
-        widths = self.lengths[ids].astype(np.int64)
+        widths = self.long_lengths[ids]
         ends = np.cumsum(widths)
         at = ends - widths
         word = at >> 5
-        value = self.codes[ids].astype(np.uint64) << (64 - (at & 31) - widths).astype(np.uint64)
+        value = self.high[ids] >> (at & 31).astype(np.uint64)
         first = np.flatnonzero(np.diff(word, prepend=-1))  # a code is at most 16 bits, so every word has a first one
         out = np.zeros(len(first) + 1, np.uint64)
         out[:-1] += np.add.reduceat(value >> np.uint64(32), first)

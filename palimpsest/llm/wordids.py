@@ -9,6 +9,11 @@ import numpy as np
 
 #: Two white spaces side by side, or a control character that only some regex engines take for one.
 ODD = re.compile(r"\s\s|[\x1c-\x1f]")
+CONTROL = re.compile(r"[\x1c-\x1f]")
+#: White space other than a space and a newline; a text without these needs no slower look.
+RARE = re.compile("[\t\v\f\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: Words encoded in one call, with a special token between them that the tokenizer cuts out first.
+TOGETHER = 200
 
 
 class _Index(dict):
@@ -30,44 +35,68 @@ class WordIds:
     ``kind`` says where a text may be cut so that the parts encode alone as they do in place:
     ``spaceless``: the tokenizer drops white space, so at each white space; ``byte_level``: before each space and around
     each newline, as long as no two white spaces meet. Other texts go to the tokenizer whole.
-    At most ``most`` words are remembered; then the memo starts anew.
+    Beyond ``most`` words the memo keeps those that were seen more than once, at most half of its size.
     """
 
-    def __init__(self, tokenizer, kind: str, most: int = 1_200_000) -> None:
+    def __init__(self, tokenizer, kind: str, most: int = 900_000) -> None:
         self.tokenizer, self.kind, self.most = tokenizer, kind, most
+        special = [(i, t.content) for i, t in sorted(tokenizer.get_added_tokens_decoder().items()) if t.special and not (t.lstrip or t.rstrip or t.single_word or t.normalized)]
+        self.divider = special[0] if special else None
         self._clear()
 
+    def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words, each on its own, and how many each has."""
+        joined = self.divider[1].join(words) if self.divider else ""
+        if self.divider and joined.count(self.divider[1]) == len(words) - 1:
+            ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.uint32)
+            between = np.flatnonzero(ids == self.divider[0])
+            return ids[ids != self.divider[0]], np.diff(np.concatenate([[-1], between, [len(ids)]])) - 1
+        got = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        return np.array([i for x in got for i in x], np.uint32), np.array([len(x) for x in got], np.int64)
+
     def _clear(self) -> None:
         self.index, self.flat = _Index(), np.zeros(1 << 16, np.uint32)
         self.starts, self.lens, self.rows, self.used = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 0, 0
+        self.seen = np.zeros(0, np.int64)
+
+    def _shrink(self) -> None:
+        seen = self.seen[: self.rows]
+        kept = np.flatnonzero(seen > max(1, np.partition(seen, -self.most // 2)[-self.most // 2]))
+        words = list(self.index)
+        lens = self.lens[kept]
+        ends = np.cumsum(lens)
+        self.flat = self.flat[np.repeat(self.starts[kept] - (ends - lens), lens) + np.arange(int(lens.sum()))] if len(kept) else np.zeros(1 << 16, np.uint32)
+        self.index = _Index()
+        for row, at in enumerate(kept.tolist()):
+            dict.__setitem__(self.index, words[at], row)
+        self.starts, self.lens, self.seen = ends - lens, lens, seen[kept]
+        self.rows, self.used = len(kept), int(lens.sum())
+        self.flat, self.starts, self.lens = (np.concatenate([x, np.zeros(1 << 16, x.dtype)]) for x in (self.flat, self.starts, self.lens))
 
     def _learn(self) -> None:
         fresh, self.index.fresh = self.index.fresh, []
-        for at in range(0, len(fresh), 20_000):
-            got = [e.ids for e in self.tokenizer.encode_batch_fast(fresh[at : at + 20_000], add_special_tokens=False)]
-            lens = np.fromiter(map(len, got), np.int64, len(got))
-            ids = np.fromiter((i for x in got for i in x), np.uint32, int(lens.sum()))
+        for at in range(0, len(fresh), TOGETHER):
+            ids, lens = self._encode(fresh[at : at + TOGETHER])
             while self.used + len(ids) > len(self.flat):
                 self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            while self.rows + len(got) > len(self.lens):
+            while self.rows + len(lens) > len(self.lens):
                 self.starts, self.lens = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lens))
             self.flat[self.used : self.used + len(ids)] = ids
-            self.starts[self.rows : self.rows + len(got)] = self.used + np.cumsum(lens) - lens
-            self.lens[self.rows : self.rows + len(got)] = lens
-            self.rows, self.used = self.rows + len(got), self.used + len(ids)
+            self.starts[self.rows : self.rows + len(lens)] = self.used + np.cumsum(lens) - lens
+            self.lens[self.rows : self.rows + len(lens)] = lens
+            self.rows, self.used = self.rows + len(lens), self.used + len(ids)
 
     def _cut(self, text: str) -> list[str]:
         if self.kind == "spaceless":
-            return [text] if ODD.search(text) and re.search(r"[\x1c-\x1f]", text) else text.split()
-        if ODD.search(text):
+            return [text] if CONTROL.search(text) else text.split()
+        if "\0" in text or "  " in text or "\n\n" in text or " \n" in text or "\n " in text or (RARE.search(text) and ODD.search(text)):
             return [text]
-        parts = text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") if "\0" not in text else [text]
-        return parts
+        return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in one array, and the number of each text's ids."""
         if len(self.index) > self.most:
-            self._clear()
+            self._shrink()
         words: list[str] = []
         counts = []
         for text in texts:
@@ -77,6 +106,9 @@ class WordIds:
         rows = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
         if self.index.fresh:
             self._learn()
+        seen = np.bincount(rows, minlength=self.rows)
+        seen[: len(self.seen)] += self.seen
+        self.seen = seen
         lens = self.lens[rows]
         ends = np.cumsum(lens)
         total = int(ends[-1]) if len(ends) else 0

@@ -32,9 +32,9 @@ def test_memo_of_words_encodes_as_the_library(path, kind, texts):
     assert at == len(ids)
 
 
-def test_memo_starts_anew_when_full():
+def test_memo_keeps_to_its_size():
     encoder = WordIds(Tokenizer.from_file(WORD), "spaceless", most=2)
-    for text in ("a b c d", "e f g", "a b c d"):
+    for text in ("a b c d", "e f g", "a b c d a a b", "a b x", "q", "a b"):
         assert encoder.encode([text])[0].tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
 
 
