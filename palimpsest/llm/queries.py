@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm.base import table
+from palimpsest.llm.quality import QUALITY_SQL
 from palimpsest.session import shared_dir
 
 
@@ -30,6 +31,12 @@ def op1_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from palimpsest.llm.quality import quality_rules
+
+    return quality_rules(table(spark, sf_dir, "documents")).drop("class_distance", "word_distance")
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from palimpsest.llm.secrets import scan_secrets
 
@@ -66,6 +73,7 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_top_k": op1_top_k,
     "op3_pack": op3_pack,
+    "op4_quality": op4_quality,
     "op5_secrets": op5_secrets,
     "op6_toxicity": op6_toxicity,
     "op8_token_counts": op8_token_counts,
@@ -74,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op4_quality": QUALITY_SQL,
     "op1_top_k": """
 WITH sound AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
