@@ -50,6 +50,13 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(docs, train(docs, table(spark, sf_dir, "labels")))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from palimpsest.llm.line_dedup import line_dedup
+
+    lines = line_dedup(table(spark, sf_dir, "documents"))
+    return lines.select("doc_id", "n_lines", "n_exact", "n_near", F.length("kept").cast("long").alias("kept_chars"), F.crc32(F.encode("kept", "UTF-8")).alias("kept_crc32"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from palimpsest.llm.token_counts import token_counts
 
@@ -76,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality": op4_quality,
     "op5_secrets": op5_secrets,
     "op6_toxicity": op6_toxicity,
+    "op7_line_dedup": op7_line_dedup,
     "op8_token_counts": op8_token_counts,
     "op9_mix": op9_mix,
     "op10_token_ids": op10_token_ids,
