@@ -19,6 +19,12 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from palimpsest.llm.ngram_join import jaccard_groups
+
+    return jaccard_groups(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op3_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     from palimpsest.llm.packing import pack_documents
 
@@ -79,6 +85,7 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_top_k": op1_top_k,
+    "op2_ngram_join": op2_ngram_join,
     "op3_pack": op3_pack,
     "op4_quality": op4_quality,
     "op5_secrets": op5_secrets,
