@@ -98,25 +98,28 @@ def first_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return first, stash(later, "near")
 
 
-def line_dedup(docs: DataFrame) -> DataFrame:
+def line_dedup(docs: DataFrame, others: tuple[str, ...] = ()) -> DataFrame:
     """``doc_id, row, n_lines, n_exact, n_near, kept`` for each row of ``docs(doc_id, text)``; ``kept`` is the text that stays.
 
+    Columns named in ``others`` come along, called ``other_0`` and so on.
+
     Lines are parts between newlines. A line of ``LEAST`` code points or more is dropped if the same line, or one within
     an edit distance of 1, comes earlier, by (doc_id, place in the text). ``n_exact`` counts dropped lines whose own text
     came earlier, ``n_near`` those that only a near line preceded. Shorter lines always stay. A null or empty text has
     one empty line and stays; null ids come first. Rows repeated whole keep the same lines each.
     """
-    docs = pick(docs, "doc_id", "text")
-    first, later = first_lines(docs)
+    held = [f"other_{i}" for i in range(len(others))]
+    docs = pick(docs, "doc_id", "text", *others).toDF("doc_id", "text", *held)
+    first, later = first_lines(docs.select("doc_id", "text"))
     alone = first.join(later.withColumn("near", F.lit(True)), ["h1", "h2"], "left").select("place.doc_id", "place.row", "place.pos", F.coalesce("near", F.lit(False)).alias("near"))
     by_row = alone.groupBy("doc_id", "row").agg(F.collect_list(F.when(~F.col("near"), F.col("pos"))).alias("stay"), F.count_if("near").alias("n_near"))
-    rows = docs.select("doc_id", text_of().alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
+    rows = docs.select("doc_id", text_of().alias("text"), *held).withColumn("row", F.xxhash64("doc_id", "text"))
     joined = rows.alias("d").join(by_row.alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("d.row") == F.col("k.row")), "left")
-    joined = joined.select("d.doc_id", "d.row", F.split("text", "\n").alias("lines"), F.coalesce("stay", F.array().cast("array<int>")).alias("stay"), F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"))
+    joined = joined.select("d.doc_id", "d.row", *held, F.split("text", "\n").alias("lines"), F.coalesce("stay", F.array().cast("array<int>")).alias("stay"), F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"))
     short = F.filter(F.transform("lines", lambda line, i: F.when(F.length(line) < LEAST, i)), lambda i: i.isNotNull())
     joined = joined.withColumn("at", F.sort_array(F.array_union("stay", short)))
     n = F.size("lines").cast("long")
     return joined.select(
-        "doc_id", "row", n.alias("n_lines"), (n - F.size("at") - F.col("n_near")).cast("long").alias("n_exact"), "n_near",
+        "doc_id", "row", *held, n.alias("n_lines"), (n - F.size("at") - F.col("n_near")).cast("long").alias("n_exact"), "n_near",
         F.array_join(F.transform("at", lambda i: F.get("lines", i)), "\n").alias("kept"),
     )

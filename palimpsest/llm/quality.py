@@ -40,8 +40,8 @@ def covered(places: Column) -> Column:
 
 
 def base_counts(docs: DataFrame) -> DataFrame:
-    """``doc_id, lang`` with the counts and histograms of each row of ``docs(doc_id, text, lang)``; no shuffle."""
-    df = pick(docs, "doc_id", "text", "lang").select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), text_of().alias("text"))
+    """``doc_id, row, lang`` with the counts and histograms of each row of ``docs(doc_id, text, lang)``; no shuffle."""
+    df = pick(docs, "doc_id", "text", "lang").select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), text_of().alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
     trimmed = F.btrim("text", F.lit(" \t\n\x0b\x0c\r"))
     common = F.lit(None).cast("array<string>")
     for lang, words in COMMON.items():
@@ -53,7 +53,7 @@ def base_counts(docs: DataFrame) -> DataFrame:
     rare = F.regexp_replace("text", "[a-z]+", "")
     lines = F.filter(F.split("text", "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
     df = df.select(
-        "doc_id", "lang", n.cast("long").alias("n_words"), F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
+        "doc_id", "row", "lang", n.cast("long").alias("n_words"), F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         windows.alias("windows"), rare.alias("rare"), F.length("text").alias("chars"), lines.alias("lines"), "common",
         F.when(F.col("common").isNotNull(), F.filter("words", lambda w: F.array_contains("common", w))).otherwise(F.array().cast("array<string>")).alias("hits"),
     )
@@ -71,7 +71,7 @@ def base_counts(docs: DataFrame) -> DataFrame:
         _length_without(F.col("rare"), r"[^!-/:-@\[-`{-~]+"),
     ]
     df = df.withColumn("repeated", repeated).select(
-        "doc_id", "lang", "n_words", "word_chars", "windows", "repeated", "chars", "common",
+        "doc_id", "row", "lang", "n_words", "word_chars", "windows", "repeated", "chars", "common",
         _length_without(F.col("rare"), r"[^#*$%&|<>]+").cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.array(*[c.cast("long") for c in classes]).alias("classes"),
@@ -91,7 +91,7 @@ def base_counts(docs: DataFrame) -> DataFrame:
     counted = F.aggregate("classes", F.lit(0).cast("long"), lambda a, x: a + x)
     heard = F.aggregate("hits", F.lit(0).cast("long"), lambda a, x: a + x)
     return df.select(
-        "doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", covered(F.col("places")).cast("long").alias("n_repeat_words"), F.col("chars").cast("long").alias("chars"),
+        "doc_id", "row", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", covered(F.col("places")).cast("long").alias("n_repeat_words"), F.col("chars").cast("long").alias("chars"),
         F.concat("classes", F.array(F.col("chars") - counted)).alias("classes"), F.concat("hits", F.array(F.col("n_words") - heard)).alias("hits"), F.col("common").isNotNull().alias("has_common"),
     )
 
@@ -125,7 +125,7 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 
     The references are of all documents of a language (null and empty ones are one language). A distance counts only from
     ``LEAST_CHARS`` characters or ``LEAST_WORDS_SHORT`` words on; languages without a list of common words are judged on
-    character classes alone. A null or empty text has counts of 0 and fails the base. Repeated rows are judged each.
+    character classes alone. ``row`` tells apart unequal rows with one doc_id. A null or empty text has counts of 0 and fails the base. Repeated rows are judged each.
     """
     counts = stash(base_counts(docs), "quality")
     references = language_references(counts)
@@ -136,7 +136,7 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     judged = judged.withColumn("class_distance", chars).withColumn("word_distance", words).withColumn("base_failed", failed)
     most_words = F.when(F.col("n_words") >= LEAST_WORDS, F.lit(MOST_WORDS)).otherwise(F.lit(MOST_WORDS_SHORT))
     kept = ~F.col("base_failed") & (F.col("class_distance") <= MOST_CHARS) & (F.col("word_distance") <= most_words)
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "class_distance", "word_distance")
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "class_distance", "word_distance", "row")
 
 
 def _sql() -> str:

@@ -40,7 +40,7 @@ def op1_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from palimpsest.llm.quality import quality_rules
 
-    return quality_rules(table(spark, sf_dir, "documents")).drop("class_distance", "word_distance")
+    return quality_rules(table(spark, sf_dir, "documents")).drop("class_distance", "word_distance", "row")
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
