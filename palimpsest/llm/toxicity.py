@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm.base import map_arrow, pick, text_of
+from palimpsest.session import stash
 
 SPACE = 1 << 22
 PREFIXES = (3, 4, 5, 6)
@@ -118,35 +119,37 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 12_000, least: int =
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features()
         for batch in batches:
-            raw = [np.array(features.of(t), "<u4").tobytes() for t in batch.column(2).to_pylist()]
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(raw, pa.binary())], names=["doc_id", "grade", "features"])
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array([features.of(t) for t in batch.column(2).to_pylist()], pa.list_(pa.int64()))], names=["doc_id", "grade", "features"])
 
     texts = pick(docs, "doc_id", "text").filter("doc_id is not null")
     joined = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "grade", text_of().alias("text"))  # at most `sample` small rows
-    got = sorted((r["doc_id"], r["grade"], bytes(r["features"])) for r in map_arrow(joined, featured, "doc_id long, grade int, features binary").limit(2 * sample).collect())
+    rows = stash(map_arrow(joined, featured, "doc_id long, grade int, features array<long>"), "features")
+    base = rows.agg(F.count("*").alias("n"), F.coalesce(F.avg((F.col("grade") > 0).cast("double")), F.lit(0.0)).alias("share")).first()
+    share, held = F.lit(base["share"]), F.col("held")
+    evidence = F.abs(F.col("hits") - held * share) / F.sqrt(F.greatest(held * share * (1 - share), F.lit(1e-9)))
+    held_by = rows.select(F.explode("features").alias("f"), (F.col("grade") > 0).cast("long").alias("hit")).groupBy("f").agg(F.count("*").alias("held"), F.sum("hit").alias("hits"))
+    best = held_by.filter(held >= least).withColumn("evidence", F.round(evidence, 9)).orderBy(F.col("evidence").desc(), "f").limit(most).collect()
+    model = CumulativeLink({f: i for i, f in enumerate(sorted(r["f"] for r in best))})
+    telling = np.zeros(len(best))
+    for r in best:
+        telling[model.index[r["f"]]] = r["hits"] / r["held"] > 0.5
+    index = model.index
+
+    def narrowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = [np.array([index[f] for f in fs if f in index], "<u4").tobytes() for fs in batch.column(2).to_pylist()]
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(raw, pa.binary())], names=["doc_id", "grade", "features"])
+
+    got = sorted((r["doc_id"], r["grade"], bytes(r["features"])) for r in map_arrow(rows, narrowed, "doc_id long, grade int, features binary").collect())
     grades = np.array([max(0, g) for _, g, _ in got], np.int64)
     flat = [np.frombuffer(f, "<u4") for _, _, f in got]
-    rows = np.repeat(np.arange(len(flat)), [len(f) for f in flat]) if flat else np.zeros(0, np.int64)
-    columns = np.concatenate(flat) if flat else np.zeros(0, np.uint32)
-    names, columns = np.unique(columns, return_inverse=True)
-    n, held = len(flat), np.bincount(columns, minlength=len(names)).astype(float)
-    positive = (grades > 0).astype(float)
-    hits = np.bincount(columns, positive[rows], len(names)) if n else np.zeros(0)
-    base = positive.mean() if n else 0.0
-    evidence = np.abs(hits - held * base) / np.sqrt(np.maximum(held * base * (1 - base), 1e-9))
-    evidence[held < least] = -1
-    kept = np.sort(np.argsort(-evidence, kind="stable")[:most])
-    kept = kept[evidence[kept] >= 0]
-    place = np.full(len(names), -1)
-    place[kept] = np.arange(len(kept))
-    inside = place[columns] >= 0 if n else np.zeros(0, bool)
-    rows, columns = rows[inside], place[columns[inside]] if n else columns
+    n = len(flat)
+    places = np.repeat(np.arange(n), [len(f) for f in flat]) if n else np.zeros(0, np.int64)
+    columns = np.concatenate(flat).astype(np.int64) if n else np.zeros(0, np.int64)
     if n and grades.max() == 1:
-        telling = ((hits[kept] / held[kept]) > 0.5).astype(float)
-        share = np.bincount(rows, telling[columns], n) / np.maximum(np.bincount(rows, minlength=n), 1)
-        grades[(grades == 1) & (share > np.median(share[grades == 1]))] = 2
-    model = CumulativeLink({int(f): i for i, f in enumerate(names[kept])})
-    return model.fit(rows.astype(np.int64), columns.astype(np.int64), n, grades)
+        density = np.bincount(places, telling[columns], n) / np.maximum(np.bincount(places, minlength=n), 1)
+        grades[(grades == 1) & (density > np.median(density[grades == 1]))] = 2
+    return model.fit(places, columns, n, grades)
 
 
 def predict(docs: DataFrame, model: CumulativeLink, threshold: float = 0.3) -> DataFrame:
