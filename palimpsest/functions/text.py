@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from palimpsest.functions.constants import BUCKETS, ENTITIES, FORMULAIC
 
 #: white space as Python's strip() and split() see it
-BLANK = r"[\s\x0B\x1C-\x1F\x85   -     　]"
-LINE_END = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85  ]"
+BLANK = r"[\s\x0B\x1C-\x1F\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
+LINE_END = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"
 
 
 def strip(text: Column) -> Column:

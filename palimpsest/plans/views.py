@@ -116,7 +116,7 @@ boxes AS (
 )"""
 SHARED_SQL = "greatest(least(p.x + p.w, g.x + g.w) - greatest(p.x, g.x), 0) * greatest(least(p.y + p.h, g.y + g.h) - greatest(p.y, g.y), 0)"
 BEST_SQL = f"""{BOXES_SQL}, overlapped AS (
-  SELECT p.image, p.cls, p.bid AS pid, p.conf, g.bid AS gid, {SHARED_SQL}::DOUBLE / greatest(p.w * p.h + g.w * g.h - {SHARED_SQL}, 1e-6) AS iou
+  SELECT p.image, p.cls, p.bid AS pid, p.conf, g.bid AS gid, CASE WHEN g.bid IS NOT NULL THEN {SHARED_SQL}::DOUBLE / greatest(p.w * p.h + g.w * g.h - {SHARED_SQL}, 1e-6) END AS iou
   FROM found p LEFT JOIN truth g ON p.image = g.image AND p.cls = g.cls
 ), best AS (
   SELECT image, cls, pid, conf, gid, iou FROM (SELECT *, row_number() OVER (PARTITION BY image, cls, pid ORDER BY iou DESC NULLS LAST, gid) AS k FROM overlapped) WHERE k = 1
