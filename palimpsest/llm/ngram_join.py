@@ -5,10 +5,11 @@ shingles, so of H + 1 segments at least one is the same in both. What a set give
 the part of the set that falls there. Two segments of a band also have the signatures of their part with one shingle left
 out; if the sets don't meet there, they differ by at least two in each, so two segments fewer are needed. Which segments
 a set gives is a matter of cost: the H + 1 signatures that the fewest sets share, counted over all sets. As all sets rank
-signatures alike, similar ones still meet. The smallest band has a segment for each shingle.
+signatures alike, similar ones still meet. What no other set has is not sent at all, so most sets without a near copy send
+nothing. The smallest band has a segment for each shingle.
 
-Buckets give pairs; those of many sets give the pairs of their smallest member first, and of the others only such as are in
-different components by then. Every pair is verified on whole shingle sets before it is a link.
+Buckets give pairs; those of many sets give the pairs of their smallest member first, and the others are compared in blocks
+where they are in different components by then. Every link is verified on whole shingle sets.
 """
 
 from __future__ import annotations
@@ -26,9 +27,11 @@ from palimpsest.llm.shingles import mix, shingle_sets
 from palimpsest.session import stash
 
 #: sets below SMALLEST are one band; each later band reaches to GROWTH times the last
-SMALLEST, GROWTH, SEGMENTS_A_SHINGLE, RICH = 64, 4, 0.35, 2
-#: from so many sets on a signature's count matters for cost, and at most so many counts are sent to every task
-COUNTED, SENT_COUNTS = 32, 400_000
+SMALLEST, GROWTH, SEGMENTS_A_SHINGLE, RICH = 128, 2, 0.35, 2
+#: bits of a map of the signatures that several sets share; one that looks shared and isn't does no harm
+MAP_BITS = 28
+#: from so many sets on a signature's own count matters for cost, and at most so many counts are sent to every task
+COUNTED, SENT_COUNTS = 8, 400_000
 #: sets in a bucket from which only pairs with its smallest member are tried first
 STAR = 6
 #: classes in a task's memory of what it has given
@@ -37,6 +40,11 @@ REMEMBERED = 300_000
 SENT = 200_000
 #: members verified against one copy of a hub's set
 MEMBERS = 2_000
+#: sets in a block of a group whose members are compared with one another, and shingles compared at once
+BLOCK, COLUMNS = 256, 4_096
+#: bytes of a signature that are counted
+KEPT = 6
+LOW = np.uint64((1 << 8 * KEPT) - 1)
 BAND, SEGMENT = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 NUMERATOR, DENOMINATOR = 80, 100
 
@@ -115,6 +123,8 @@ class Deal:
         order = np.argsort(part, kind="stable")
         rows, part = rows[order], part[order]
         cuts = np.flatnonzero(np.diff(part)) + 1
+        if self.width == 1:
+            rows = rows.view(np.uint8)[:, :KEPT]
         blobs = [x.tobytes() for x in np.split(rows, cuts)] if len(rows) else []
         firsts = part[np.concatenate([[0], cuts])].astype(np.int32) if len(rows) else np.zeros(0, np.int32)
         return pa.record_batch([pa.array(firsts, pa.int32()), pa.array(blobs, pa.binary())], names=["part", "blob"])
@@ -129,9 +139,29 @@ def _entries(batches: Iterator[pa.RecordBatch], width: int, dtype: str = "<u8")
     return (np.concatenate(found) if found else np.zeros(0, dtype)).reshape(-1, width)
 
 
-def common_signatures(docs: DataFrame, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """The signatures that the most rows share, sorted, and their counts. They only rank signatures by cost, so it does no
-    harm that at most ``SENT_COUNTS`` come to the driver."""
+class Costs:
+    """How many sets share a signature, as far as it matters for cost: a map of what is shared at all, and the largest counts."""
+
+    def __init__(self, shared: np.ndarray, sigs: np.ndarray, counts: np.ndarray) -> None:
+        self.shared, self.sigs, self.counts = shared, sigs, counts
+
+    @staticmethod
+    def cells(sigs: np.ndarray) -> np.ndarray:
+        return ((sigs & LOW) % np.uint64(1 << MAP_BITS)).astype(np.int64)
+
+    def of(self, sigs: np.ndarray) -> np.ndarray:
+        cells = self.cells(sigs)
+        out = ((self.shared[cells >> 3] >> (cells & 7).astype(np.uint8)) & 1).astype(np.int64)
+        if len(self.sigs):
+            low = sigs & LOW
+            at = np.minimum(np.searchsorted(self.sigs, low), len(self.sigs) - 1)
+            out = np.where(self.sigs[at] == low, self.counts[at], out)
+        return out
+
+
+def common_signatures(docs: DataFrame, parts: int) -> Costs:
+    """Counts the signatures of all sets, by 48 of their bits. What comes to the driver has a bounded size: a map of
+    ``2 ** MAP_BITS`` bits and ``SENT_COUNTS`` counts. Both only rank signatures, so their bounds change no result."""
 
     def give(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         deal, seen = Deal(parts, 1), set()
@@ -147,54 +177,60 @@ def common_signatures(docs: DataFrame, parts: int) -> tuple[np.ndarray, np.ndarr
         yield deal.flush()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys = np.sort(_entries(batches, 1)[:, 0])
+        found = [np.frombuffer(b, np.uint8).reshape(-1, KEPT) for batch in batches for b in batch.column(0).to_pylist()]
+        raw = np.zeros((sum(map(len, found)), 8), np.uint8)
+        if len(raw):
+            np.concatenate(found, out=raw[:, :KEPT])
+        keys = np.sort(raw.reshape(-1).view("<u8"))
         starts = np.flatnonzero(np.diff(keys, prepend=keys[:1] ^ np.uint64(1)))
         counts = np.diff(np.append(starts, len(keys)))
+        several = counts > 1
+        cells = np.unique(Costs.cells(keys[starts[several]]))
+        # cells as differences in a few bytes each
+        yield pa.record_batch([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([np.diff(cells, prepend=0).astype("<u4").tobytes()], pa.binary())], names=["sig", "n", "cells"])
         many = counts >= COUNTED
-        yield pa.record_batch([pa.array(keys[starts[many]].view(np.int64)), pa.array(counts[many])], names=["sig", "n"])
+        yield pa.record_batch([pa.array(keys[starts[many]].view(np.int64)), pa.array(counts[many]), pa.nulls(int(many.sum()), pa.binary())], names=["sig", "n", "cells"])
 
     given = map_arrow(docs.select("text"), give, "part int, blob binary")
-    counted = map_arrow(_dealt(given, parts), count, "sig long, n long")
-    rows = counted.orderBy(F.col("n").desc(), "sig").limit(SENT_COUNTS).toArrow()
+    counted = stash(map_arrow(_dealt(given, parts), count, "sig long, n long, cells binary"), "counts")
+    shared = np.zeros(1 << (MAP_BITS - 3), np.uint8)
+    for row in counted.filter("cells is not null").select("cells").toLocalIterator():
+        cells = np.cumsum(np.frombuffer(bytes(row["cells"]), "<u4").astype(np.int64))
+        np.bitwise_or.at(shared, cells >> 3, (1 << (cells & 7)).astype(np.uint8))
+    rows = counted.filter("cells is null").select("sig", "n").orderBy(F.col("n").desc(), "sig").limit(SENT_COUNTS).toArrow()
     sigs, counts = rows["sig"].to_numpy().view(np.uint64), rows["n"].to_numpy()
     order = np.argsort(sigs)
-    return sigs[order], counts[order]
-
+    return Costs(shared, sigs[order], counts[order])
 
-def chosen(shingles: np.ndarray, k: int, different: int, sigs: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """What a set gives in a band: whole signatures, and those with one shingle left out."""
-
-    def cost(x: np.ndarray) -> np.ndarray:
-        if not len(sigs):
-            return np.zeros(len(x), np.int64)
-        at = np.minimum(np.searchsorted(sigs, x), len(sigs) - 1)
-        return np.where(sigs[at] == x, counts[at], 0)
 
+def chosen(shingles: np.ndarray, k: int, different: int, costs: Costs) -> tuple[np.ndarray, np.ndarray]:
+    """What a set sends in a band: whole signatures, and those with one shingle left out; only what others share."""
     plain, rich = signatures(shingles, k)
     need, whole, left_out = different + 1, [], []
     for own, without in rich:
-        mine = np.array([own], np.uint64)
-        dear, dears = cost(mine)[0] > 0, cost(without) > 0
-        if not dear:
-            whole.append(mine)
-        left_out.append(without[~dears])
-        if len(without) and not dear and not dears.any():
+        prices = costs.of(np.append(without, np.uint64(own)))
+        cheap = prices < COUNTED
+        whole.append(np.array([own], np.uint64)[cheap[-1:] & (prices[-1:] > 0)])
+        left_out.append(without[cheap[:-1] & (prices[:-1] > 0)])
+        if len(without) and cheap.all():
             need -= 2
-    prices = cost(plain)
-    order = np.lexsort((plain, prices)) if prices.any() else np.argsort(plain)
-    whole.append(plain[order[: max(0, need)]])
+    prices = costs.of(plain)
+    order = np.lexsort((plain, prices))[: max(0, need)]
+    whole.append(plain[order[prices[order] > 0]])
     return np.concatenate(whole), np.concatenate([np.zeros(0, np.uint64), *left_out])
 
 
 ONE = np.uint64(1)
 
 
-def bucket_pairs(docs: DataFrame, parts: int, sigs: np.ndarray, counts: np.ndarray) -> DataFrame:
+def bucket_pairs(docs: DataFrame, parts: int, costs: Costs) -> DataFrame:
     """``a, b, bucket``: pairs of set keys to try (bucket null), and the members of large buckets (b null).
 
     Set keys are even; an odd one in a large bucket marks a member that is there with one shingle left out.
     """
 
+    sent = docs.sparkSession.sparkContext.broadcast(costs)  # of bounded size
+
     def give(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         deal, seen = Deal(parts, 2), set()
         for batch in batches:
@@ -205,7 +241,7 @@ def bucket_pairs(docs: DataFrame, parts: int, sigs: np.ndarray, counts: np.ndarr
                     seen.add(key)
                 even = np.array([key], np.int64).view(np.uint64)[0] & ~ONE
                 for k, different in roles(len(shingles)):
-                    whole, left_out = chosen(shingles, k, different, sigs, counts)
+                    whole, left_out = chosen(shingles, k, different, sent.value)
                     rows = np.empty((len(whole) + len(left_out), 2), np.uint64)
                     rows[: len(whole), 0], rows[len(whole) :, 0] = whole, left_out
                     rows[: len(whole), 1], rows[len(whole) :, 1] = even, even | ONE
@@ -265,10 +301,20 @@ def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame
     texts = docs.join(F.broadcast(wanted) if small else wanted, "row").select("to", "text")
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def batch_of(out: list[tuple]) -> pa.RecordBatch:
+            return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["hub", "part", "member", "shingles"])
+
+        out, held = [], 0
         for batch in batches:
             for to, shingles in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1)), strict=True):
                 raw = shingles.tobytes()
-                yield pa.record_batch([pa.array([t[c] for t in to], t_) for c, t_ in (("hub", pa.int64()), ("part", pa.int32()), ("member", pa.int64()))] + [pa.array([raw] * len(to), pa.binary())], names=["hub", "part", "member", "shingles"])
+                out += [(t["hub"], t["part"], t["member"], raw) for t in to]
+                held += len(raw) * len(to)
+                if held >= 1 << 22:
+                    yield batch_of(out)
+                    out, held = [], 0
+        if out:
+            yield batch_of(out)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, own = None, np.zeros(0, np.uint64)
@@ -293,16 +339,108 @@ def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame
     return stash(map_arrow(grouped, compare, "a long, b long").distinct(), "verified")
 
 
-def remaining(members: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
-    """Pairs of set keys in large buckets whose classes are in different components so far."""
-    known = classes.select("cid", F.col("g1").bitwiseAND(F.lit(-2)).alias("key"))
+def spanning(near: np.ndarray, ids: np.ndarray, others: np.ndarray) -> list[tuple[int, int]]:
+    """Of all links between ``ids`` and ``others`` so many that what is connected stays connected."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    out = []
+    for i, j in np.argwhere(near).tolist():
+        a, b = find(int(ids[i])), find(int(others[j]))
+        if a != b:
+            root[b] = a
+            out.append((int(ids[i]), int(others[j])))
+    return out
+
+
+def compare_blocks(left: list[tuple], right: list[tuple]) -> list[tuple[int, int]]:
+    """Links between two blocks of ``(cid, component, set)`` in different components, by products of slices of their incidence."""
+    sets = [s for _, _, s in [*left, *right]]
+    sizes = np.array([len(s) for s in sets])
+    _, columns, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rows = np.repeat(np.arange(len(sets)), sizes)
+    several = held > 1
+    place = np.cumsum(several) - 1
+    keep = several[columns]
+    rows, columns = rows[keep], place[columns[keep]]
+    order = np.argsort(columns, kind="stable")
+    rows, columns = rows[order], columns[order]
+    n, total = len(left), int(several.sum())
+    both = np.zeros((n, len(right)), np.float32)
+    for start in range(0, total, COLUMNS):
+        a, b = np.searchsorted(columns, [start, start + COLUMNS])
+        part = np.zeros((len(sets), COLUMNS), np.float32)
+        part[rows[a:b], columns[a:b] - start] = 1
+        both += part[:n] @ part[n:].T
+    both = both.astype(np.int64)
+    unions = sizes[:n, None] + sizes[None, n:] - both
+    apart = np.array([c for _, c, _ in left])[:, None] != np.array([c for _, c, _ in right])[None, :]
+    near = apart & (DENOMINATOR * both >= NUMERATOR * unions)
+    return spanning(near, np.array([i for i, _, _ in left]), np.array([i for i, _, _ in right]))
+
+
+def remaining(docs: DataFrame, members: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
+    """Links ``a, b`` that large buckets still hold between classes in different components so far.
+
+    Buckets with the same smallest member are taken together, as they mostly hold the same group. Its members are dealt
+    into blocks of ``BLOCK`` sets and every two blocks meet once, so no pair is a row and no task gets a whole group.
+    """
+    known = classes.select("cid", "row", F.col("g1").bitwiseAND(F.lit(-2)).alias("key"))
     place = members.select("bucket", F.col("a").bitwiseAND(F.lit(-2)).alias("key"), (F.col("a").bitwiseAND(F.lit(1)) == 1).alias("less"))
-    place = place.join(known, "key").join(found.select(F.col("node").alias("cid"), "component"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
-    apart = place.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("bucket")
-    place = stash(place.join(apart, "bucket").select("bucket", "key", "less", "component"), "apart")
-    a = place.select("bucket", F.col("key").alias("a"), F.col("less").alias("la"), F.col("component").alias("ca"))
-    b = place.select("bucket", F.col("key").alias("b"), F.col("less").alias("lb"), F.col("component").alias("cb"))
-    return a.join(b, "bucket").filter("ca <> cb and a < b and not (la and lb)").select("a", "b").distinct()
+    hubs = place.groupBy("bucket").agg(F.min(F.when(~F.col("less"), F.col("key"))).alias("hub"))
+    grouped = place.join(hubs, "bucket").select("hub", "key").distinct()
+    grouped = grouped.join(known, "key").join(found.select(F.col("node").alias("cid"), "component"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+    grouped = stash(grouped.select("hub", "cid", "row", "component"), "grouped")
+    sizes = grouped.groupBy("hub").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).filter("low <> high").select("hub", "blocks")
+    dealt = grouped.join(sizes, "hub").withColumn("block", F.pmod(F.xxhash64("cid", "hub"), F.col("blocks")).cast("int"))
+    dealt = dealt.select("row", F.struct("hub", "block", "blocks", "cid", "component").alias("to"))
+    wanted = stash(dealt.groupBy("row").agg(F.collect_list("to").alias("to")), "wanted")
+    small = wanted.count() <= SENT
+    texts = docs.join(F.broadcast(wanted) if small else wanted, "row").select("to", "text")
+    names = ["hub", "i", "j", "block", "cid", "component", "shingles"]
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, held = [], 0
+        for batch in batches:
+            for to, shingles in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1)), strict=True):
+                raw = shingles.tobytes()
+                for t in to:
+                    for other in range(t["blocks"]):
+                        out.append((t["hub"], min(t["block"], other), max(t["block"], other), t["block"], t["cid"], t["component"], raw))
+                    held += len(raw) * t["blocks"]
+                if held >= 1 << 22:
+                    yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out, strict=True), types, strict=True)], names=names)
+                    out, held = [], 0
+        if out:
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out, strict=True), types, strict=True)], names=names)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, left, right = None, [], []
+
+        def done() -> list[tuple[int, int]]:
+            if at is None or not left:
+                return []
+            return compare_blocks(left, left if at[1] == at[2] else right) if right or at[1] == at[2] else []
+
+        for batch in batches:
+            out: list[tuple[int, int]] = []
+            for hub, i, j, block, cid, component, raw in zip(*(batch.column(c).to_pylist() for c in range(7)), strict=True):
+                if at != (hub, i, j):
+                    out += done()
+                    at, left, right = (hub, i, j), [], []
+                (left if block == i else right).append((cid, component, np.frombuffer(raw, np.uint64)))
+            yield pa.record_batch([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
+        out = done()
+        yield pa.record_batch([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
+
+    sent = map_arrow(texts, send, "hub long, i int, j int, block int, cid long, component long, shingles binary")
+    met = sent.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j", "block")
+    return stash(map_arrow(met, compare, "a long, b long").distinct(), "remaining")
 
 
 def jaccard_groups(docs: DataFrame) -> DataFrame:
@@ -326,12 +464,10 @@ def jaccard_groups(docs: DataFrame) -> DataFrame:
     sized = stash(map_arrow(docs.select("doc_id", "row", "text"), size_up, "doc_id long, row long, n_shingles long, g1 long, g2 long"), "sizes")
     classes = sized.filter("n_shingles > 0").groupBy("g1", "g2").agg(F.min("doc_id").alias("least"), F.min("row").alias("row"))
     classes = stash(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
-    sigs, counts = common_signatures(docs, parts)
-    buckets = bucket_pairs(docs, parts, sigs, counts)
+    buckets = bucket_pairs(docs, parts, common_signatures(docs, parts))
     links = verified(docs, classes, buckets.filter("bucket is null").select("a", "b").distinct())
     found = stash(components(links), "components")
-    more = remaining(buckets.filter("bucket is not null"), classes, found)
-    links = links.unionByName(verified(docs, classes, more))
+    links = links.unionByName(remaining(docs, buckets.filter("bucket is not null"), classes, found))
     found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links))
     joined = classes.join(found.select(F.col("node").alias("cid"), "component"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     smallest = joined.groupBy("component").agg(F.min("least").alias("component_id"))

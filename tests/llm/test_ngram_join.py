@@ -79,6 +79,8 @@ def test_groups_equal_brute_force(spark, monkeypatch, seed, most):
         monkeypatch.setattr(module, "COUNTED", 3)
         monkeypatch.setattr(module, "STAR", 4)
         monkeypatch.setattr(module, "MEMBERS", 7)
+        monkeypatch.setattr(module, "BLOCK", 5)
+        monkeypatch.setattr(module, "COLUMNS", 64)
     if seed > 2:
         monkeypatch.setattr(module, "SENT", 0)
     docs = edited(seed, 260, WORDS, most)
@@ -101,22 +103,28 @@ def test_shingle_sets(monkeypatch):
     assert again[len(EDGE_TEXTS)].tolist() == again[len(EDGE_TEXTS) + 1].tolist()
 
 
-def test_similar_sets_always_meet():
+def test_similar_sets_always_meet(monkeypatch):
+    monkeypatch.setattr(module, "MAP_BITS", 16)
     rng = np.random.default_rng(0)
     for trial in range(400):
-        size = int(rng.choice([1, 2, 4, 5, 9, 30, 63, 64, 65, 79, 81, 200, 255, 256, 300, 1100]))
+        size = int(rng.choice([1, 2, 4, 5, 9, 30, 63, 127, 128, 129, 155, 161, 200, 255, 256, 300, 1100]))
         a = np.unique(rng.integers(1, 1 << 62, size, dtype=np.uint64))
         drop, add = int(rng.integers(0, size // 8 + 2)), int(rng.integers(0, size // 8 + 2))
         b = np.unique(np.concatenate([rng.permutation(a)[drop:], rng.integers(1, 1 << 62, add, dtype=np.uint64)]))
         both = len(np.intersect1d(a, b))
         if not len(b) or 100 * both < 80 * (len(a) + len(b) - both):
             continue
-        every = np.concatenate([np.concatenate([module.signatures(s, k)[0] for s in (a, b)]) for k in (0, 1, 2, 3)])
-        dear = np.unique(rng.permutation(every)[: int(len(every) * rng.choice([0, 0.3, 0.9]))])
-        counts = np.array([hash(int(x)) % 5 + 1 for x in dear], np.int64)
+        every = [np.concatenate([np.concatenate([p, *[np.append(w, np.uint64(o)) for o, w in r]]) for p, r in (module.signatures(s, k) for k, _ in roles(len(s)))]) & module.LOW for s in (a, b)]
+        both_have = np.intersect1d(*every)
+        some = rng.permutation(np.unique(np.concatenate(every)))
+        some = np.unique(some[: int(len(some) * rng.choice([0, 0.3, 0.9]))])
+        shared = np.zeros(1 << (module.MAP_BITS - 3), np.uint8)
+        cells = module.Costs.cells(np.concatenate([both_have, some]))
+        np.bitwise_or.at(shared, cells >> 3, (1 << (cells & 7)).astype(np.uint8))
+        costs = module.Costs(shared, some, np.array([hash(int(x)) % 20 + 2 for x in some], np.int64))
         given = []
         for s in (a, b):
-            parts = [chosen(s, k, h, dear, counts) for k, h in roles(len(s))]
+            parts = [chosen(s, k, h, costs) for k, h in roles(len(s))]
             given.append((set(np.concatenate([p[0] for p in parts]).tolist()), set(np.concatenate([p[1] for p in parts]).tolist())))
         (whole_a, less_a), (whole_b, less_b) = given
         assert whole_a & whole_b or whole_a & less_b or less_a & whole_b, (trial, size)
