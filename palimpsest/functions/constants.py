@@ -24,7 +24,8 @@ PRICING = {
     "ministral-3b-2512": (0.10, 0.10), "ministral-8b-2512": (0.15, 0.15), "ministral-14b-2512": (0.20, 0.20),
 }
 HOURLY_EUR, EUR_TO_USD = 2.8, 1.08
-SELF_HOSTED = ["gemma-4-26B-A4B-it", "Qwen3.6-35B-A3B", "Qwen2.5-VL-7B-DAI-CReTDHI-RecordGold-ATR"]
+#: models billed by the hour; a deployment adds its own
+SELF_HOSTED = ["gemma-4-26B-A4B-it", "Qwen3.6-35B-A3B"]
 
 # The model tried next when one gives nothing.
 FALLBACK = {

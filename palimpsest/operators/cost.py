@@ -16,7 +16,7 @@ def fallback(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(FALLBACK.items()), "model string, next string")
 
 
-def usage_cost(usage: DataFrame, prices: DataFrame) -> DataFrame:
+def usage_cost(usage: DataFrame, prices: DataFrame, self_hosted: tuple[str, ...] = tuple(SELF_HOSTED)) -> DataFrame:
     """Totals and USD by model of ``usage(model, input_tokens, output_tokens, thinking_tokens, seconds)``.
 
     Thinking is billed as output, unknown models at nothing, self-hosted ones by the hour.
@@ -27,7 +27,7 @@ def usage_cost(usage: DataFrame, prices: DataFrame) -> DataFrame:
     price = lambda c: F.coalesce(c, F.lit(0.0))
     api = F.col("input_tokens") / 1e6 * price("input_price") + (F.col("output_tokens") + F.col("thinking_tokens")) / 1e6 * price("output_price")
     hours = F.col("seconds") / 3600.0 * HOURLY_EUR * EUR_TO_USD
-    return both.select("model", "total_calls", *token, F.when(F.col("model").isin(SELF_HOSTED), hours).otherwise(api).alias("cost"))
+    return both.select("model", "total_calls", *token, F.when(F.col("model").isin(*self_hosted), hours).otherwise(api).alias("cost"))
 
 
 def fallback_chains(edges: DataFrame) -> DataFrame:

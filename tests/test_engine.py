@@ -26,7 +26,7 @@ def test_normalize(spark):
 
 @pytest.mark.parametrize(
     ("name", "want"),
-    [("FRANOM22_COLH78_0261_0238_5.jpg", "FRANOM22_COLH78_0261_0238"), ("0001_DAFCAOM04_DPPCEC_850116_0029_005.jpg", "0001_DAFCAOM04_DPPCEC_850116_0029"), ("000.jpg", "000"), ("a/b/p_1_2.x.png", "p_1_2.x"), ("p_7", "p")],
+    [("REG22_VOL78_0261_0238_5.jpg", "REG22_VOL78_0261_0238"), ("0001_BOX04_ACT_850116_0029_005.jpg", "0001_BOX04_ACT_850116_0029"), ("000.jpg", "000"), ("a/b/p_1_2.x.png", "p_1_2.x"), ("p_7", "p")],
 )
 def test_page_key(spark, name, want):
     assert one(spark, text.page_key(F.col("t")), t=name) == want
