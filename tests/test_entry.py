@@ -18,7 +18,7 @@ def test_entry(spark):
 
 def test_names():
     queries, sql = __spark_entry__.queries(), __spark_entry__.oracle_sql()
-    assert set(sql) <= set(queries) and len(queries) > 90
+    assert set(sql) <= set(queries) and len(queries) > 80
     assert all(callable(f) for f in queries.values())
 
 
