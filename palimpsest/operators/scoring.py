@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,21 +12,30 @@ from palimpsest.functions.edit import char_rate, word_levenshtein
 from palimpsest.functions.text import normalize, words
 
 
-def pair_up(predictions: DataFrame, labels: DataFrame) -> DataFrame:
-    """``subfolder, stem, prediction, reference`` of normalised texts that both sides have; empty ones go."""
-    both = predictions.join(labels, ["subfolder", "stem"])
-    both = both.select("subfolder", "stem", normalize(F.col("prediction")).alias("prediction"), normalize(F.col("reference")).alias("reference"))
-    return both.filter("prediction <> '' and reference <> ''")
+def too_long(pair: Column, ratio: float) -> Column:
+    return F.char_length(pair["prediction"]) / F.greatest(F.char_length(pair["reference"]), F.lit(1)) > ratio
+
 
+def normalized(both: DataFrame, keep: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Pairs of normalised texts, neither empty, of which ``keep`` holds.
 
-def is_outlier(ratio: float = OUTLIER_RATIO) -> Column:
-    return F.char_length("prediction") / F.greatest(F.char_length("reference"), F.lit(1)) > ratio
+    The condition filters an array of the one pair: a plain filter would be pushed below the projection, and each text
+    normalised again for every comparison.
+    """
+    pair = F.array(F.struct(normalize(F.col("prediction")).alias("prediction"), normalize(F.col("reference")).alias("reference")))
+    fine = lambda p: (p["prediction"] != "") & (p["reference"] != "") & (keep(p) if keep else F.lit(True))
+    return both.select("subfolder", "stem", F.inline(F.filter(pair, fine)))
+
+
+def pair_up(predictions: DataFrame, labels: DataFrame) -> DataFrame:
+    """``subfolder, stem, prediction, reference`` of normalised texts that both sides have; empty ones go."""
+    return normalized(predictions.join(labels, ["subfolder", "stem"]))
 
 
 def collect_pairs(predictions: DataFrame, labels: DataFrame, ratio: float = OUTLIER_RATIO) -> tuple[DataFrame, DataFrame]:
     """Pairs that count, and those whose prediction is far too long."""
-    both = pair_up(predictions, labels)
-    return both.filter(~is_outlier(ratio)), both.filter(is_outlier(ratio))
+    both = predictions.join(labels, ["subfolder", "stem"])
+    return normalized(both, lambda p: ~too_long(p, ratio)), normalized(both, lambda p: too_long(p, ratio))
 
 
 def split_words(text: Column, separator: str | None = " ") -> Column:
@@ -82,4 +93,4 @@ def evaluate_sources(pairs: DataFrame, losses: DataFrame) -> DataFrame:
     return by_source.unionByName(whole.select(F.lit("ALL").alias("source"), "n", "cer_micro", "wer_micro", "loss"))
 
 
-__all__ = ["by_group", "char_rate", "collect_pairs", "corpus_rates", "evaluate_sources", "is_outlier", "item_metrics", "nested_report", "pair_up", "report", "split_words"]
+__all__ = ["by_group", "char_rate", "collect_pairs", "corpus_rates", "evaluate_sources", "item_metrics", "nested_report", "normalized", "pair_up", "report", "split_words", "too_long"]

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from palimpsest.functions.text import normalize, page_key
+from palimpsest.functions.constants import OUTLIER_RATIO
+from palimpsest.functions.text import page_key
 from palimpsest.operators.curation import weighted_split
-from palimpsest.operators.scoring import is_outlier
+from palimpsest.operators.scoring import normalized, too_long
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,9 +39,7 @@ def raw_pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pairs that count, from one scan: joining two halves of one table again would only add a shuffle."""
-    both = _spoilt(spark, sf_dir)
-    both = both.select("subfolder", "stem", normalize(F.col("prediction")).alias("prediction"), normalize(F.col("reference")).alias("reference"))
-    return both.filter("prediction <> '' and reference <> ''").filter(~is_outlier())
+    return normalized(_spoilt(spark, sf_dir), lambda p: ~too_long(p, OUTLIER_RATIO))
 
 
 def _strip_sql(x: str) -> str:
