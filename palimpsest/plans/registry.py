@@ -741,3 +741,89 @@ def _(spark, sf):
     words = lambda c: scoring.split_words(F.col(c))
     df = v.pairs(spark, sf).withColumn("r", words("reference")).withColumn("h", words("prediction"))
     return df.select("stem", edit.word_levenshtein(F.col("r"), F.col("h")).alias("edits"))
+
+
+# --- sources, sinks and model seams over tables ------------------------------------------------------------------------
+
+
+@query("sc16_sidecars", f"WITH {v.CROPS_SQL} SELECT filename, CASE WHEN doc_id % 2 = 0 THEN 'a' || doc_id WHEN doc_id % 3 = 0 THEN 'b' || doc_id ELSE '' END AS text FROM crops")
+def _(spark, sf):
+    from palimpsest.sources.files import sidecars
+
+    crops = v.crops(spark, sf).withColumn("stem", text.stem(F.col("filename")))
+    side = lambda k, name: crops.filter(F.col("doc_id") % k == 0).select("subfolder", "stem", F.concat(F.lit(name), F.col("doc_id").cast("string")).alias("text"))
+    return sidecars(crops.drop("text"), side(2, "a"), side(3, "b")).select("filename", "text")
+
+
+@query("sk1_annotations_by_split", f"WITH {v.CROPS_SQL} SELECT coalesce(CASE WHEN split <> 'dev' THEN split END, 'train') AS split, count(*) AS n FROM crops GROUP BY 1")
+def _(spark, sf):
+    from palimpsest.sinks.files import with_default_split
+
+    rows = v.crops(spark, sf).withColumn("split", F.when(F.col("split") != "dev", F.col("split")))
+    return with_default_split(rows).groupBy("split").agg(F.count("*").alias("n"))
+
+
+def results(spark, sf):
+    return v.usage(spark, sf).select(F.col("model").alias("path"), "input_tokens", "output_tokens", F.when(F.col("input_tokens") % 7 == 0, "boom").alias("error"))
+
+
+@query("sk5_run_summary", f"WITH {v.USAGE_SQL} SELECT count(*) AS images, count_if(input_tokens % 7 <> 0)::BIGINT AS succeeded, count_if(input_tokens % 7 = 0)::BIGINT AS failed, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens FROM usage")
+def _(spark, sf):
+    from palimpsest.sinks.files import run_summary
+
+    return run_summary(results(spark, sf))[0]
+
+
+@query("sk5_failures", f"WITH {v.USAGE_SQL} SELECT model AS path, 'boom' AS error FROM usage WHERE input_tokens % 7 = 0")
+def _(spark, sf):
+    from palimpsest.sinks.files import run_summary
+
+    return run_summary(results(spark, sf))[1]
+
+
+@query("sk6_prediction_rows", f"WITH {v.BOXES_SQL} SELECT image AS filename, count(*)::INTEGER AS n_regions, array_to_string(list(CAST(trunc(x - w / 2.0) AS INTEGER)::VARCHAR ORDER BY bid), ',') AS xs FROM found GROUP BY image")
+def _(spark, sf):
+    from palimpsest.sinks.files import prediction_rows
+
+    d = v.found_boxes(spark, sf).select("image", F.col("bid").alias("seq"), F.col("cls").cast("int").alias("class_id"), F.col("conf").alias("confidence"), F.col("x").alias("cx"), F.col("y").alias("cy"), "w", "h")
+    rows = prediction_rows(layout.predictions(d, layout.region_classes(spark)))
+    return rows.select("filename", "n_regions", F.array_join(F.transform("regions", lambda r: r["x"].cast("string")), ",").alias("xs"))
+
+
+def echo_client():
+    """Answers with the image's size; the first model of a chain says nothing of images of even size."""
+
+    def call(model: str, content: bytes) -> tuple[str, int, int]:
+        return ("" if model == "gemini-2.5-pro" and len(content) % 2 == 0 else str(len(content)), len(content), 1)
+
+    return call
+
+
+def as_images(spark, sf):
+    return table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("path"), F.encode(F.substring("text", 1, 50), "UTF-8").alias("content"))
+
+
+@query(
+    "m3_transcribe",
+    """WITH c AS (SELECT CAST(doc_id AS VARCHAR) AS path, octet_length(encode(substr(text, 1, 50))) AS n FROM documents)
+SELECT path, CASE WHEN n % 2 = 0 THEN 'gemini-2.0-flash' ELSE 'gemini-2.5-pro' END AS model, n::VARCHAR AS text, CAST(CASE WHEN n % 2 = 0 THEN 4 * n ELSE n END AS BIGINT) AS input_tokens, CAST(CASE WHEN n % 2 = 0 THEN 4 ELSE 1 END AS BIGINT) AS output_tokens, NULL::VARCHAR AS error FROM c""",
+)
+def _(spark, sf):
+    from palimpsest.operators.inference import transcribe
+
+    return transcribe(as_images(spark, sf), "gemini-2.5-pro", echo_client)
+
+
+@query("m2_transcribe_lines", "SELECT CAST(doc_id AS VARCHAR) AS path, octet_length(encode(substr(text, 1, 50)))::VARCHAR AS text FROM documents")
+def _(spark, sf):
+    from palimpsest.operators.inference import transcribe_lines
+
+    return transcribe_lines(as_images(spark, sf), lambda: lambda batch: [str(len(c)) for c in batch])
+
+
+@query("m1_detect", "SELECT CAST(doc_id AS VARCHAR) AS image, s.k::INTEGER AS seq, (octet_length(encode(substr(text, 1, 50))) % 8)::INTEGER AS class_id FROM documents, (SELECT unnest([0, 1]) AS k) s")
+def _(spark, sf):
+    from palimpsest.operators.inference import detect
+
+    found = detect(as_images(spark, sf), lambda: lambda c: [(len(c) % 8, 0.5, 1.0, 1.0, 2.0, 2.0)] * 2)
+    return found.select("image", "seq", "class_id")

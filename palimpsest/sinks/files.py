@@ -9,10 +9,14 @@ from palimpsest.functions.constants import SPLIT_WEIGHTS
 from palimpsest.operators.curation import not_done
 
 
+def with_default_split(annotations: DataFrame) -> DataFrame:
+    return annotations.withColumn("split", F.coalesce("split", F.lit("train")))
+
+
 def write_annotations(annotations: DataFrame, path: str) -> None:
     """A folder for each split; rows without one are train. Splits without rows get an empty folder's row of none."""
-    annotations.withColumn("split", F.coalesce("split", F.lit("train"))).write.mode("overwrite").partitionBy("split").json(path)
-    there = {r["split"] for r in annotations.select(F.coalesce("split", F.lit("train")).alias("split")).distinct().limit(100).collect()}
+    with_default_split(annotations).write.mode("overwrite").partitionBy("split").json(path)
+    there = {r["split"] for r in with_default_split(annotations).select("split").distinct().limit(100).collect()}
     for split in set(SPLIT_WEIGHTS) - there:
         annotations.drop("split").limit(0).write.mode("overwrite").json(f"{path}/split={split}")
 
@@ -52,11 +56,15 @@ def write_summary(results: DataFrame, path: str) -> None:
     failures.write.mode("overwrite").json(f"{path}/failed")
 
 
-def write_predictions(predictions: DataFrame, path: str) -> None:
-    """One JSON row for each image: its file, how many regions, the regions in order."""
+def prediction_rows(predictions: DataFrame) -> DataFrame:
+    """One row for each image: its file, how many regions, the regions in order."""
     region = F.struct("seq", "class_id", "label", "confidence", "x", "y", "width", "height")
     rows = predictions.groupBy(F.col("image").alias("filename")).agg(F.sort_array(F.collect_list(region)).alias("regions"))
-    rows.select("filename", F.size("regions").alias("n_regions"), F.transform("regions", lambda r: r.dropFields("seq")).alias("regions")).write.mode("overwrite").json(path)
+    return rows.select("filename", F.size("regions").alias("n_regions"), F.transform("regions", lambda r: r.dropFields("seq")).alias("regions"))
+
+
+def write_predictions(predictions: DataFrame, path: str) -> None:
+    prediction_rows(predictions).write.mode("overwrite").json(path)
 
 
 def write_transcriptions(lines: DataFrame, path: str) -> None:
