@@ -45,16 +45,17 @@ def shared_dir(spark: SparkSession) -> str:
     return got.rstrip("/")
 
 
-def stash(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: lineage ends here and survives lost executors.
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; what is there goes when the driver's JVM ends."""
+    path = f"{shared_dir(spark)}/scratch/{name}-{uuid.uuid4().hex}"
+    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
+    return path
+
 
-    The folder goes when the driver's JVM ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/stash/{name}-{uuid.uuid4().hex}"
+def stash(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it back: lineage ends here and survives lost executors."""
+    path = scratch(df.sparkSession, name)
     schema = df.schema
     df.write.option("compression", compression).parquet(path)
-    jvm = spark.sparkContext._jvm
-    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
-    return spark.read.schema(schema).parquet(path)
+    return df.sparkSession.read.schema(schema).parquet(path)
