@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +9,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm.base import table
 from palimpsest.llm.quality import QUALITY_SQL
-from palimpsest.session import shared_dir
+from palimpsest.session import scratch
 
 
 def vocabulary(name: str) -> str:
@@ -78,7 +77,7 @@ def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     from palimpsest.llm.huffman import read_digests, write_ids
 
-    path = f"{shared_dir(spark)}/ids-{uuid.uuid4().hex}"
+    path = scratch(spark, "ids")
     write_ids(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), path)
     return read_digests(spark, path)
 

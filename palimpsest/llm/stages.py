@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +15,22 @@ from palimpsest.session import stash
 SENT = 200_000
 
 
+OWN = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def plainly(stage: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
+    """Runs a stage with columns beyond those of documents under names that clash with nothing, also not by case."""
+
+    @wraps(stage)
+    def run(docs: DataFrame) -> DataFrame:
+        names, plain = docs.columns, []
+        for i, name in enumerate(names):
+            plain.append(name if name in OWN and name not in plain else f"__extra_{i}")
+        return stage(docs.toDF(*plain)).toDF(*names)
+
+    return run
+
+
 def with_row(docs: DataFrame) -> DataFrame:
     return docs.withColumn("row", F.xxhash64(F.col("doc_id"), text_of()))
 
@@ -29,6 +48,7 @@ def once(docs: DataFrame, keys: DataFrame) -> DataFrame:
     return docs if repeats.isEmpty() else with_row(docs).dropDuplicates(["doc_id", "row"]).select(*docs.columns)
 
 
+@plainly
 def keep_quality(docs: DataFrame) -> DataFrame:
     from palimpsest.llm.quality import quality_rules
 
@@ -36,6 +56,7 @@ def keep_quality(docs: DataFrame) -> DataFrame:
     return without(docs, judged.filter("not kept"))
 
 
+@plainly
 def drop_repeated_lines(docs: DataFrame) -> DataFrame:
     """Texts without repeated lines; a document of which no word is left goes."""
     from palimpsest.llm.line_dedup import line_dedup
@@ -46,6 +67,7 @@ def drop_repeated_lines(docs: DataFrame) -> DataFrame:
     return left.select(*[F.length("kept").cast("long").alias(c) if c == "n_chars" else F.col(held[c]).alias(c) for c in docs.columns])
 
 
+@plainly
 def one_of_each_group(docs: DataFrame) -> DataFrame:
     """Of documents that are linked only the one with the smallest doc_id stays, and of several with that id one."""
     from palimpsest.llm.ngram_join import jaccard_groups
@@ -56,6 +78,7 @@ def one_of_each_group(docs: DataFrame) -> DataFrame:
     return once(without(docs, gone), groups)
 
 
+@plainly
 def mixed(docs: DataFrame) -> DataFrame:
     """Documents as often as the mix begins them."""
     from palimpsest.llm.mixing import mix

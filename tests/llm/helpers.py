@@ -1,5 +1,7 @@
 """Fixtures that every operator of the subpackage must survive."""
 
+from pyspark.sql.functions import lit
+
 DOC_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 EDGE_TEXTS = [
@@ -14,8 +16,8 @@ def edge_docs(spark, ids=None):
     rows = [(i, t, [None, "en", "xx", ""][i % 4], [None, "s1", "s2", ""][i % 4], None if t is None else len(t)) for i, t in enumerate(EDGE_TEXTS)]
     rows += [rows[5], (None, "a document without an id", "en", "s1", 3)]
     df = spark.createDataFrame(rows, DOC_SCHEMA)
-    for name in ("size", "n_tokens", "rank", "start", "kept", "component_id", "length", "id"):
-        df = df.selectExpr("*", f"'x' AS {name}")
+    for name in ("size", "n_tokens", "rank", "start", "kept", "component_id", "length", "id", "row", "copies", "copy", "gone_id", "near", "TEXT", "Source"):
+        df = df.select("*", lit("x").alias(name))
     return df
 
 
