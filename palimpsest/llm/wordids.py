@@ -14,6 +14,8 @@ CONTROL = re.compile(r"[\x1c-\x1f]")
 RARE = re.compile("[\t\v\f\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 #: Words encoded in one call, with a special token between them that the tokenizer cuts out first.
 TOGETHER = 200
+#: characters cut into words at once
+CHUNK = 1 << 21
 
 
 class _Index(dict):
@@ -38,12 +40,24 @@ class WordIds:
     Beyond ``most`` words the memo keeps those that were seen more than once, at most half of its size.
     """
 
-    def __init__(self, tokenizer, kind: str, most: int = 900_000) -> None:
+    def __init__(self, tokenizer, kind: str, most: int = 800_000) -> None:
         self.tokenizer, self.kind, self.most = tokenizer, kind, most
         special = [(i, t.content) for i, t in sorted(tokenizer.get_added_tokens_decoder().items()) if t.special and not (t.lstrip or t.rstrip or t.single_word or t.normalized)]
         self.divider = special[0] if special else None
+        if kind == "byte_level":  # a token's letters stand for its bytes
+            self.sizes = np.zeros(tokenizer.get_vocab_size(), np.int64)
+            for token, i in tokenizer.get_vocab().items():
+                self.sizes[i] = len(token)
         self._clear()
 
+    def _encode_row(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As _encode, for words that begin with their only white space: side by side they stay apart."""
+        joined = "".join(words)
+        ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.uint32)
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) if joined.isascii() else np.array([len(w.encode()) for w in words]))
+        upto = np.searchsorted(np.cumsum(self.sizes[ids]), ends) + 1
+        return ids, np.diff(upto, prepend=0)
+
     def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of words, each on its own, and how many each has."""
         joined = self.divider[1].join(words) if self.divider else ""
@@ -57,7 +71,7 @@ class WordIds:
     def _clear(self) -> None:
         self.index, self.flat = _Index(), np.zeros(1 << 16, np.uint32)
         self.starts, self.lens, self.rows, self.used = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 0, 0
-        self.seen = np.zeros(0, np.int64)
+        self.seen = np.zeros(0, np.int32)
 
     def _shrink(self) -> None:
         seen = self.seen[: self.rows]
@@ -75,40 +89,74 @@ class WordIds:
 
     def _learn(self) -> None:
         fresh, self.index.fresh = self.index.fresh, []
+        if self.kind == "byte_level":
+            fresh = list(map(self._text, fresh))
+            plain = [w[:1] == " " and len(w) > 1 and " " not in w[1:] and w.isprintable() for w in fresh]
+            self._learn_some([w for w, p in zip(fresh, plain, strict=True) if p], self._encode_row, np.flatnonzero(plain))
+            self._learn_some([w for w, p in zip(fresh, plain, strict=True) if not p], self._encode, np.flatnonzero(~np.array(plain, bool)))
+        else:
+            self._learn_some(fresh, self._encode, np.arange(len(fresh)))
+        self.rows += len(fresh)
+
+    def _learn_some(self, fresh: list[str], encode, places: np.ndarray) -> None:
+        """Adds words whose rows are ``places`` beyond those so far."""
+        while self.rows + len(self.index) > len(self.lens):
+            self.starts, self.lens = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lens))
         for at in range(0, len(fresh), TOGETHER):
-            ids, lens = self._encode(fresh[at : at + TOGETHER])
+            ids, lens = encode(fresh[at : at + TOGETHER])
             while self.used + len(ids) > len(self.flat):
                 self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            while self.rows + len(lens) > len(self.lens):
-                self.starts, self.lens = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lens))
+            rows = self.rows + places[at : at + TOGETHER]
             self.flat[self.used : self.used + len(ids)] = ids
-            self.starts[self.rows : self.rows + len(lens)] = self.used + np.cumsum(lens) - lens
-            self.lens[self.rows : self.rows + len(lens)] = lens
-            self.rows, self.used = self.rows + len(lens), self.used + len(ids)
+            self.starts[rows] = self.used + np.cumsum(lens) - lens
+            self.lens[rows] = lens
+            self.used += len(ids)
 
     def _cut(self, text: str) -> list[str]:
         if self.kind == "spaceless":
             return [text] if CONTROL.search(text) else text.split()
-        if "\0" in text or "  " in text or "\n\n" in text or " \n" in text or "\n " in text or (RARE.search(text) and ODD.search(text)):
-            return [text]
-        return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
+        if not text or "\0" in text or "\1" in text or "\2" in text or "  " in text or "\n\n" in text or " \n" in text or "\n " in text or (RARE.search(text) and ODD.search(text)):
+            return [f"\2{text}"]
+        words = text.replace("\n", " \0").split(" ")
+        words[0] = f"\1{words[0]}"
+        return words
+
+    def _text(self, word: str) -> str:
+        """What a word of a byte-level cut stands for: a space and the word, or as its first letter says."""
+        first = word[:1]
+        if first == "\0":
+            return f"\n{word[1:]}"
+        return word[1:] if first in ("\1", "\2") and word else f" {word}"
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in one array, and the number of each text's ids."""
         if len(self.index) > self.most:
             self._shrink()
+        parts, used, at = [], [], 0
+        while at < len(texts):
+            upto, size = at, 0
+            while upto < len(texts) and (upto == at or size + len(texts[upto]) <= CHUNK):
+                size += len(texts[upto])
+                upto += 1
+            parts.append(self._encode_some(texts[at:upto], used))
+            at = upto
+        if used:
+            seen = np.bincount(np.concatenate(used), minlength=self.rows).astype(np.int32)
+            seen[: len(self.seen)] += self.seen
+            self.seen = seen
+        return (np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])) if parts else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+
+    def _encode_some(self, texts: list[str], used: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         words: list[str] = []
         counts = []
         for text in texts:
             cut = self._cut(text)
             counts.append(len(cut))
             words += cut
-        rows = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+        rows = np.fromiter(map(self.index.__getitem__, words), np.int32, len(words))
+        used.append(rows)
         if self.index.fresh:
             self._learn()
-        seen = np.bincount(rows, minlength=self.rows)
-        seen[: len(self.seen)] += self.seen
-        self.seen = seen
         lens = self.lens[rows]
         ends = np.cumsum(lens)
         total = int(ends[-1]) if len(ends) else 0
@@ -118,6 +166,8 @@ class WordIds:
 
 
 _CACHE: dict[tuple[str, str], WordIds] = {}
+#: words remembered by each worker; some 250 bytes each
+MOST = {"spaceless": 600_000, "byte_level": 800_000}
 
 
 def word_ids(path: str, kind: str) -> WordIds:
@@ -126,5 +176,5 @@ def word_ids(path: str, kind: str) -> WordIds:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
-        _CACHE[path, kind] = WordIds(Tokenizer.from_file(path), kind)
+        _CACHE[path, kind] = WordIds(Tokenizer.from_file(path), kind, MOST[kind])
     return _CACHE[path, kind]
