@@ -224,10 +224,8 @@ ONE = np.uint64(1)
 
 
 def bucket_pairs(docs: DataFrame, parts: int, costs: Costs) -> DataFrame:
-    """``a, b, bucket``: pairs of set keys to try (bucket null), and the members of large buckets (b null).
-
-    Set keys are even; an odd one in a large bucket marks a member that is there with one shingle left out.
-    """
+    """``a, b, hub``: pairs of set keys to try (hub null), and the members of large buckets (b null) with the bucket's hub,
+    its smallest member. Buckets with one hub mostly hold the same group and are taken together."""
 
     sent = docs.sparkSession.sparkContext.broadcast(costs)  # of bounded size
 
@@ -254,7 +252,7 @@ def bucket_pairs(docs: DataFrame, parts: int, costs: Costs) -> DataFrame:
         starts = np.flatnonzero(np.diff(rows[:, 0], prepend=rows[:1, 0] ^ ONE)) if len(rows) else np.zeros(0, np.int64)
         ends = np.append(starts[1:], len(rows))
         pairs: list[np.ndarray] = []
-        members: list[tuple[int, int]] = []
+        members: list[np.ndarray] = []
         several = ends - starts > 1
         for a, b in zip(starts[several].tolist(), ends[several].tolist(), strict=True):
             keys = np.unique(rows[a:b, 1])
@@ -269,17 +267,16 @@ def bucket_pairs(docs: DataFrame, parts: int, costs: Costs) -> DataFrame:
                 hub = sets[(keys & ONE) == 0][0]
                 others = np.unique(sets[sets != hub])
                 pairs.append(np.stack([np.full(len(others), hub), others], 1))
-                members += [(key, int(rows[a, 0])) for key in keys.view(np.int64).tolist()]
+                members.append(np.stack([np.append(others, hub), np.full(len(others) + 1, hub)], 1))
         found = np.concatenate(pairs) if pairs else np.zeros((0, 2), np.uint64)
         found = np.sort(found, axis=1)
         found = np.unique(found, axis=0) if len(found) else found
-        yield pa.record_batch([pa.array(found[:, 0].copy().view(np.int64)), pa.array(found[:, 1].copy().view(np.int64)), pa.nulls(len(found), pa.int64())], names=["a", "b", "bucket"])
-        keys = [m[0] for m in members]
-        where = np.array([m[1] for m in members], np.uint64).view(np.int64)
-        yield pa.record_batch([pa.array(keys, pa.int64()), pa.nulls(len(keys), pa.int64()), pa.array(where)], names=["a", "b", "bucket"])
+        yield pa.record_batch([pa.array(found[:, 0].copy().view(np.int64)), pa.array(found[:, 1].copy().view(np.int64)), pa.nulls(len(found), pa.int64())], names=["a", "b", "hub"])
+        held = np.unique(np.concatenate(members), axis=0) if members else np.zeros((0, 2), np.uint64)
+        yield pa.record_batch([pa.array(held[:, 0].copy().view(np.int64)), pa.nulls(len(held), pa.int64()), pa.array(held[:, 1].copy().view(np.int64))], names=["a", "b", "hub"])
 
     given = map_arrow(docs.select("text"), give, "part int, blob binary")
-    return stash(map_arrow(_dealt(given, parts), meet, "a long, b long, bucket long"), "buckets")
+    return stash(map_arrow(_dealt(given, parts), meet, "a long, b long, hub long"), "buckets")
 
 
 def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -386,13 +383,11 @@ def compare_blocks(left: list[tuple], right: list[tuple]) -> list[tuple[int, int
 def remaining(docs: DataFrame, members: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
     """Links ``a, b`` that large buckets still hold between classes in different components so far.
 
-    Buckets with the same smallest member are taken together, as they mostly hold the same group. Its members are dealt
-    into blocks of ``BLOCK`` sets and every two blocks meet once, so no pair is a row and no task gets a whole group.
+    The members of a hub's buckets are dealt into blocks of ``BLOCK`` sets and every two blocks meet once, so no pair is a
+    row and no task gets a whole group.
     """
     known = classes.select("cid", "row", F.col("g1").bitwiseAND(F.lit(-2)).alias("key"))
-    place = members.select("bucket", F.col("a").bitwiseAND(F.lit(-2)).alias("key"), (F.col("a").bitwiseAND(F.lit(1)) == 1).alias("less"))
-    hubs = place.groupBy("bucket").agg(F.min(F.when(~F.col("less"), F.col("key"))).alias("hub"))
-    grouped = place.join(hubs, "bucket").select("hub", "key").distinct()
+    grouped = members.select("hub", F.col("a").alias("key")).distinct()
     grouped = grouped.join(known, "key").join(found.select(F.col("node").alias("cid"), "component"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     grouped = stash(grouped.select("hub", "cid", "row", "component"), "grouped")
     sizes = grouped.groupBy("hub").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).filter("low <> high").select("hub", "blocks")
@@ -465,9 +460,9 @@ def jaccard_groups(docs: DataFrame) -> DataFrame:
     classes = sized.filter("n_shingles > 0").groupBy("g1", "g2").agg(F.min("doc_id").alias("least"), F.min("row").alias("row"))
     classes = stash(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
     buckets = bucket_pairs(docs, parts, common_signatures(docs, parts))
-    links = verified(docs, classes, buckets.filter("bucket is null").select("a", "b").distinct())
+    links = verified(docs, classes, buckets.filter("hub is null").select("a", "b").distinct())
     found = stash(components(links), "components")
-    links = links.unionByName(remaining(docs, buckets.filter("bucket is not null"), classes, found))
+    links = links.unionByName(remaining(docs, buckets.filter("hub is not null"), classes, found))
     found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links))
     joined = classes.join(found.select(F.col("node").alias("cid"), "component"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     smallest = joined.groupBy("component").agg(F.min("least").alias("component_id"))
