@@ -11,7 +11,7 @@ from palimpsest.session import stash
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST_EPOCHS = 2.0
-ROWS_A_BUCKET = 20_000
+ROWS_A_BUCKET = 2_000
 
 
 def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST_EPOCHS) -> DataFrame:
