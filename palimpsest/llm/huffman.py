@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm.base import map_arrow, pick, text_of
@@ -78,16 +78,19 @@ class Code:
         """The bits, padded to whole 32-bit words, and the bit offset of each block."""
         if not len(ids):
             return b"", np.zeros(0, np.int64)
-        widths = self.long_lengths[ids]
-        ends = np.cumsum(widths)
-        at = ends - widths
-        word = at >> 5
-        value = self.high[ids] >> (at & 31).astype(np.uint64)
-        first = np.flatnonzero(np.diff(word, prepend=-1))  # a code is at most 16 bits, so every word has a first one
+        if len(ids) % 2:  # codes go in by pairs; the last one's partner is nothing
+            widths, high = np.append(self.long_lengths[ids], 0), np.append(self.high[ids], np.uint64(0))
+        else:
+            widths, high = self.long_lengths[ids], self.high[ids]
+        left = widths[0::2]
+        ends = np.cumsum(left + widths[1::2])
+        at = ends - left - widths[1::2]
+        value = (high[0::2] | (high[1::2] >> left.astype(np.uint64))) >> (at & 31).astype(np.uint64)
+        first = np.flatnonzero(np.diff(at >> 5, prepend=-1))  # a pair has at most 32 bits, so every word has a first one
         out = np.zeros(len(first) + 1, np.uint64)
-        out[:-1] += np.add.reduceat(value >> np.uint64(32), first)
-        out[1:] += np.add.reduceat(value & np.uint64(0xFFFFFFFF), first)
-        return out[: (int(ends[-1]) + 31) // 32].astype(">u4").tobytes(), at[::BLOCK]
+        out[:-1] |= np.bitwise_or.reduceat(value >> np.uint64(32), first)
+        out[1:] |= np.bitwise_or.reduceat(value & np.uint64(0xFFFFFFFF), first)
+        return out[: (int(ends[-1]) + 31) // 32].astype(">u4").tobytes(), at[:: BLOCK // 2]
 
     def decode(self, bits: bytes, starts: np.ndarray, n: int) -> np.ndarray:
         out = np.zeros((len(starts), BLOCK), np.uint32)
@@ -126,6 +129,26 @@ def unpack_frame(code: Code, raw: bytes) -> tuple[int, np.ndarray, np.ndarray, n
     return before, doc_ids, lens, code.decode(raw[at : at + size], starts, n)
 
 
+def quantiles(ids: DataFrame, parts: int) -> list[int]:
+    """At most ``parts - 1`` values of doc_id that cut its rows into even ranges; only that column is read."""
+    if parts < 2:
+        return []
+    cuts = ids.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 20 * parts).alias("q")).first()["q"]
+    return sorted(set(cuts or []))
+
+
+def part_of(value: Column, bounds: list[int]) -> Column:
+    """How many bounds are below a value, found in two steps of about the root of their number; 0 for null."""
+    if not bounds:
+        return F.lit(0)
+    width = int(np.ceil(np.sqrt(len(bounds))))
+    rows = [bounds[i : i + width] for i in range(0, len(bounds), width)]
+    lits = lambda xs: F.array(*[F.lit(x).cast("long") for x in xs])
+    row = F.size(F.filter(lits([r[-1] for r in rows]), lambda b: b < value))
+    inside = F.size(F.filter(F.get(F.array(*[lits(r) for r in rows]), row), lambda b: b < value))
+    return F.coalesce(F.when(value.isNull(), 0).when(row >= len(rows), len(bounds)).otherwise(row * width + inside), F.lit(0)).cast("int")
+
+
 def write_ids(docs: DataFrame, tokenizer: str, path: str, end_id: int = 2, vocabulary: int = 50_257, frame_ids: int = 1 << 19) -> None:
     """Encode ``docs(doc_id, text)`` and write frames under ``path`` in ascending doc_id order (null ids first).
 
@@ -180,15 +203,16 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, end_id: int = 2, vocab
         used = np.flatnonzero(total)
         yield pa.record_batch([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], names=["id", "n"])
 
+    docs = pick(docs, "doc_id", "text")
+    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ordered = (
-        pick(docs, "doc_id", "text")
-        .withColumn("text", text_of())
-        .repartitionByRange("doc_id")
+        docs.withColumn("text", text_of())
+        .repartitionById(parts, part_of(F.col("doc_id"), quantiles(docs.select("doc_id"), parts)))
         .withColumn("h", F.xxhash64("text"))
         .sortWithinPartitions("doc_id", "h")
         .select("doc_id", "text", F.spark_partition_id().cast("long").alias("part"))
     )
-    raw = stash(map_arrow(ordered, encode, RAW_SCHEMA), "ids")
+    raw = stash(map_arrow(ordered, encode, RAW_SCHEMA), "ids", compression="snappy")
     counts = np.zeros(vocabulary, np.int64)
     sums = map_arrow(raw.filter("counts is not null").select("counts"), counted, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     for row in sums.collect():  # at most one row for each id of the vocabulary

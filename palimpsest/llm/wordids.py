@@ -13,7 +13,7 @@ CONTROL = re.compile(r"[\x1c-\x1f]")
 #: White space other than a space and a newline; a text without these needs no slower look.
 RARE = re.compile("[\t\v\f\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 #: Words encoded in one call, with a special token between them that the tokenizer cuts out first.
-TOGETHER = 200
+TOGETHER = 1_000
 #: characters cut into words at once
 CHUNK = 1 << 21
 
@@ -40,7 +40,7 @@ class WordIds:
     Beyond ``most`` words the memo keeps those that were seen more than once, at most half of its size.
     """
 
-    def __init__(self, tokenizer, kind: str, most: int = 800_000) -> None:
+    def __init__(self, tokenizer, kind: str, most: int = 900_000) -> None:
         self.tokenizer, self.kind, self.most = tokenizer, kind, most
         special = [(i, t.content) for i, t in sorted(tokenizer.get_added_tokens_decoder().items()) if t.special and not (t.lstrip or t.rstrip or t.single_word or t.normalized)]
         self.divider = special[0] if special else None
@@ -51,11 +51,11 @@ class WordIds:
         self._clear()
 
     def _encode_row(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """As _encode, for words that begin with their only white space: side by side they stay apart."""
-        joined = "".join(words)
+        """The ids of words with a space before each: in a row they stay apart, and the bytes of tokens tell where each ends."""
+        joined = f" {' '.join(words)}"
         ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.uint32)
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) if joined.isascii() else np.array([len(w.encode()) for w in words]))
-        upto = np.searchsorted(np.cumsum(self.sizes[ids]), ends) + 1
+        sizes = np.fromiter(map(len, words), np.int64, len(words)) if joined.isascii() else np.array([len(w.encode()) for w in words])
+        upto = np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum(sizes + 1)) + 1
         return ids, np.diff(upto, prepend=0)
 
     def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -90,10 +90,9 @@ class WordIds:
     def _learn(self) -> None:
         fresh, self.index.fresh = self.index.fresh, []
         if self.kind == "byte_level":
-            fresh = list(map(self._text, fresh))
-            plain = [w[:1] == " " and len(w) > 1 and " " not in w[1:] and w.isprintable() for w in fresh]
-            self._learn_some([w for w, p in zip(fresh, plain, strict=True) if p], self._encode_row, np.flatnonzero(plain))
-            self._learn_some([w for w, p in zip(fresh, plain, strict=True) if not p], self._encode, np.flatnonzero(~np.array(plain, bool)))
+            plain = np.fromiter(map(str.isprintable, fresh), bool, len(fresh)) & np.fromiter(map(bool, fresh), bool, len(fresh))
+            self._learn_some([w for w, p in zip(fresh, plain.tolist(), strict=True) if p], self._encode_row, np.flatnonzero(plain))
+            self._learn_some([self._text(w) for w, p in zip(fresh, plain.tolist(), strict=True) if not p], self._encode, np.flatnonzero(~plain))
         else:
             self._learn_some(fresh, self._encode, np.arange(len(fresh)))
         self.rows += len(fresh)
@@ -166,8 +165,6 @@ class WordIds:
 
 
 _CACHE: dict[tuple[str, str], WordIds] = {}
-#: words remembered by each worker; some 250 bytes each
-MOST = {"spaceless": 600_000, "byte_level": 800_000}
 
 
 def word_ids(path: str, kind: str) -> WordIds:
@@ -176,5 +173,5 @@ def word_ids(path: str, kind: str) -> WordIds:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
-        _CACHE[path, kind] = WordIds(Tokenizer.from_file(path), kind, MOST[kind])
+        _CACHE[path, kind] = WordIds(Tokenizer.from_file(path), kind)
     return _CACHE[path, kind]

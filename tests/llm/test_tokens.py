@@ -3,9 +3,10 @@ import zlib
 import numpy as np
 import public_tokenizers as P
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from palimpsest.llm.huffman import BLOCK, Code, code_lengths, pack_frame, read_ids, unpack_frame, write_ids
+from palimpsest.llm.huffman import BLOCK, Code, code_lengths, pack_frame, part_of, quantiles, read_ids, unpack_frame, write_ids
 from palimpsest.llm.packing import Plan, pack, pack_documents
 from palimpsest.llm.queries import QUERIES
 from palimpsest.llm.token_counts import PieceCounter, token_counts
@@ -90,6 +91,15 @@ def test_written_ids_read_back(spark, tmp_path):
         at += len(ids)
 
 
+def test_parts_follow_the_order_of_ids(spark):
+    ids = spark.createDataFrame([(i * i - 50,) for i in range(200)] + [(7,)] * 40 + [(None,)], "doc_id long")
+    for parts in (1, 2, 7, 30):
+        bounds = quantiles(ids, parts)
+        got = sorted(((-1 << 62) if r["doc_id"] is None else r["doc_id"], r["p"]) for r in ids.select("doc_id", part_of(F.col("doc_id"), bounds).alias("p")).collect())
+        assert [p for _, p in got] == sorted(p for _, p in got) and got[-1][1] <= parts - 1
+        assert all(p == sum(b < i for b in bounds) for i, p in got)
+
+
 def test_written_ids_of_an_empty_table(spark, tmp_path):
     write_ids(empty_docs(spark), BYTE, str(tmp_path / "none"))
     assert read_ids(spark, str(tmp_path / "none")).count() == 0
