@@ -10,18 +10,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.base import pick, text_of
+from palimpsest.llm.base import WORD, pick, text_of
 from palimpsest.session import stash
 
 THRESHOLD = 1
-#: lines with fewer code points stay as they are
+#: lines with fewer code points are compared exactly only, and stay as they are if blank
 LEAST = 20
 CELLS = 16
 #: lines in a bucket from which it is dealt again
 HOT = 24
 #: up to so many line ids (16 bytes each) are sent to every task; beyond, the join shuffles
 SENT = 100_000
-SHORT = f"length(line) < {LEAST}"
+
+
+def exempt(line: Column) -> Column:
+    """Whether a line is short and blank: it takes no part and always stays."""
+    return (F.length(line) < LEAST) & ~line.rlike(WORD)
 
 
 def segments(line: Column, length: Column) -> list[Column]:
@@ -49,7 +53,7 @@ def cells(line: Column, length: Column, shift: int) -> Column:
 def occurrences(docs: DataFrame) -> DataFrame:
     """``doc_id, row, pos, line, h1, h2`` of every line that takes part; ``row`` tells apart unequal rows with one doc_id."""
     rows = docs.select("doc_id", text_of().alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
-    lines = rows.select("doc_id", "row", F.posexplode(F.split("text", "\n")).alias("pos", "line")).filter(f"not ({SHORT})")
+    lines = rows.select("doc_id", "row", F.posexplode(F.split("text", "\n")).alias("pos", "line")).filter(~exempt(F.col("line")))
     return lines.withColumn("h1", F.xxhash64("line")).withColumn("h2", F.xxhash64(F.lit(1), "line"))
 
 
@@ -77,7 +81,7 @@ def first_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     place = F.min(F.struct("doc_id", "pos", "row")).alias("place")
     first = stash(hashed.groupBy("h1", "h2", "length", *named).agg(place), "lines")
     sigs = F.array(*[F.struct(F.col(n).alias("sig"), F.lit(n[0] == "s").alias("indexed")) for n in named])
-    shared = stash(bucketed(first.select(F.inline(sigs), "h1", "h2")), "segments")
+    shared = stash(bucketed(first.filter(F.col("length") >= LEAST).select(F.inline(sigs), "h1", "h2")), "segments")
     # texts of the lines that met another one, each from the place where it is first
     wanted = stash(first.join(shared.groupBy("h1", "h2").agg(F.max("lines").alias("lines")), ["h1", "h2"]).select("h1", "h2", "place", "lines"), "wanted")
     small = wanted.count() <= SENT
@@ -103,10 +107,11 @@ def line_dedup(docs: DataFrame, others: tuple[str, ...] = ()) -> DataFrame:
 
     Columns named in ``others`` come along, called ``other_0`` and so on.
 
-    Lines are parts between newlines. A line of ``LEAST`` code points or more is dropped if the same line, or one within
-    an edit distance of 1, comes earlier, by (doc_id, place in the text). ``n_exact`` counts dropped lines whose own text
-    came earlier, ``n_near`` those that only a near line preceded. Shorter lines always stay. A null or empty text has
-    one empty line and stays; null ids come first. Rows repeated whole keep the same lines each.
+    Lines are parts between newlines. A line is dropped if the same line comes earlier, by (doc_id, place in the text);
+    one of ``LEAST`` code points or more also if one within an edit distance of 1, of as many points at least, does.
+    ``n_exact`` counts dropped lines whose own text came earlier, ``n_near`` those that only a near line preceded. Blank
+    lines of fewer points always stay. A null or empty text has one empty line and stays; null ids come first. Rows
+    repeated whole keep the same lines each.
     """
     held = [f"other_{i}" for i in range(len(others))]
     docs = pick(docs, "doc_id", "text", *others).toDF("doc_id", "text", *held)
@@ -116,8 +121,8 @@ def line_dedup(docs: DataFrame, others: tuple[str, ...] = ()) -> DataFrame:
     rows = docs.select("doc_id", text_of().alias("text"), *held).withColumn("row", F.xxhash64("doc_id", "text"))
     joined = rows.alias("d").join(by_row.alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("d.row") == F.col("k.row")), "left")
     joined = joined.select("d.doc_id", "d.row", *held, F.split("text", "\n").alias("lines"), F.coalesce("stay", F.array().cast("array<int>")).alias("stay"), F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"))
-    short = F.filter(F.transform("lines", lambda line, i: F.when(F.length(line) < LEAST, i)), lambda i: i.isNotNull())
-    joined = joined.withColumn("at", F.sort_array(F.array_union("stay", short)))
+    blank = F.filter(F.transform("lines", lambda line, i: F.when(exempt(line), i)), lambda i: i.isNotNull())
+    joined = joined.withColumn("at", F.sort_array(F.array_union("stay", blank)))
     n = F.size("lines").cast("long")
     return joined.select(
         "doc_id", "row", *held, n.alias("n_lines"), (n - F.size("at") - F.col("n_near")).cast("long").alias("n_exact"), "n_near",
