@@ -439,13 +439,13 @@ def remaining(docs: DataFrame, members: DataFrame, classes: DataFrame, found: Da
 
 
 def jaccard_groups(docs: DataFrame) -> DataFrame:
-    """``doc_id, row, n_shingles, component_id`` for each row of ``docs(doc_id, text)``.
+    """``doc_id, row, n_shingles, component_id, component`` for each row of ``docs(doc_id, text)``.
 
     Documents with equal sets are one class; classes whose sets have 100 * intersection >= 80 * union are linked.
     ``component_id`` is the smallest doc_id reachable by links, its own included; a null id counts only where all are
     null. A null, empty or wordless text has no shingles and is its own component. Only
     components are given, no links: of a large group no more are verified than connect it. ``row`` tells apart unequal
-    rows with one doc_id.
+    rows with one doc_id, ``component`` groups without any id; it is null where there are no shingles.
     """
     spark = docs.sparkSession
     docs = pick(docs, "doc_id", "text").select("doc_id", text_of().alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
@@ -467,6 +467,6 @@ def jaccard_groups(docs: DataFrame) -> DataFrame:
     found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links))
     joined = classes.join(found.select(F.col("node").alias("cid"), "component"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     smallest = joined.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = joined.join(smallest, "component").select("g1", "g2", "component_id")
-    alone = sized.filter("n_shingles = 0").select("doc_id", "row", "n_shingles", F.col("doc_id").alias("component_id"))
-    return sized.filter("n_shingles > 0").join(named, ["g1", "g2"]).select("doc_id", "row", "n_shingles", "component_id").unionByName(alone)
+    named = joined.join(smallest, "component").select("g1", "g2", "component_id", "component")
+    alone = sized.filter("n_shingles = 0").select("doc_id", "row", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("component"))
+    return sized.filter("n_shingles > 0").join(named, ["g1", "g2"]).select("doc_id", "row", "n_shingles", "component_id", "component").unionByName(alone)

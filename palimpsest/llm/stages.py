@@ -69,12 +69,12 @@ def drop_repeated_lines(docs: DataFrame) -> DataFrame:
 
 @plainly
 def one_of_each_group(docs: DataFrame) -> DataFrame:
-    """Of documents that are linked only the one with the smallest doc_id stays, and of several with that id one."""
+    """Of documents that are linked only the one with the smallest doc_id stays, and of several with that id, or where all have none, one."""
     from palimpsest.llm.ngram_join import jaccard_groups
 
-    groups = stash(jaccard_groups(docs), "groups").filter("n_shingles > 0 and component_id is not null")
-    stay = groups.filter("doc_id is not null").groupBy("component_id").agg(F.min(F.struct("doc_id", "row")).alias("stay"))
-    gone = groups.join(stay, "component_id").filter(~(F.col("doc_id").eqNullSafe(F.col("stay.doc_id")) & (F.col("row") == F.col("stay.row"))))
+    groups = stash(jaccard_groups(docs), "groups").filter("n_shingles > 0")
+    stay = groups.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("stay"))
+    gone = groups.join(stay, "component").filter(~(F.col("doc_id").eqNullSafe(F.col("stay.doc_id")) & (F.col("row") == F.col("stay.row"))))
     return once(without(docs, gone), groups)
 
 
