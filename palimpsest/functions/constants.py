@@ -23,8 +23,10 @@ PRICING = {
     "gemini-3-flash-preview": (0.50, 3.00), "mistral-large-latest": (0.50, 1.50), "pixtral-large-latest": (2.00, 6.00),
     "ministral-3b-2512": (0.10, 0.10), "ministral-8b-2512": (0.15, 0.15), "ministral-14b-2512": (0.20, 0.20),
 }
+
+# Price of a self-hosted machine for an hour, and of a euro.
 HOURLY_EUR, EUR_TO_USD = 2.8, 1.08
-#: models billed by the hour; a deployment adds its own
+# Models billed by the hour; a deployment adds its own.
 SELF_HOSTED = ["gemma-4-26B-A4B-it", "Qwen3.6-35B-A3B"]
 
 # The model tried next when one gives nothing.
@@ -36,6 +38,7 @@ FALLBACK = {
 # Region classes by id.
 REGIONS = ["Title", "En-tête", "Marge", "Nom", "Plein Texte", "Signature", "Table", "Section"]
 
+# Shares of the splits, word buckets, the ratio of an outlier, sizes of nested subsets.
 SPLIT_WEIGHTS = {"train": 0.7, "test": 0.2, "dev": 0.1}
 BUCKETS = [("1-3", 3), ("4-10", 10), ("11-25", 25), ("26-50", 50)]
 OUTLIER_RATIO = 10.0

@@ -1,91 +1,214 @@
-"""Edit distances over characters and words, and alignments."""
+"""Edit distances over characters and words, and alignments.
+
+Both work by bit vectors: a column of the table of distances is two long integers (where the distance rises and where it
+falls by one), so a text of any length takes about a thirtieth of a step for each cell and no table is kept.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: bytes of columns kept at once on the way back; beyond, columns are worked out again in pieces
+KEPT_BYTES = 1 << 25
+EQUAL, SUBSTITUTE, DELETE, INSERT = range(4)
+NAMES = np.array(["equal", "substitute", "delete", "insert"])
+#: positions of an element from which its bits are kept between uses
+FREQUENT = 8
+
 
 def char_rate(reference: Column, prediction: Column) -> Column:
     """Edits for each reference character, unclipped; null for an empty reference."""
-    return F.try_divide(F.levenshtein(reference, prediction).cast("double"), F.char_length(reference).cast("double"))
+    return F.try_divide(char_distance(reference, prediction).cast("double"), F.char_length(reference).cast("double"))
+
+
+def codes(ref: str | list, hyp: str | list) -> tuple[np.ndarray, np.ndarray]:
+    """Both sequences as numbers, equal where their elements are."""
+    if isinstance(ref, str):
+        return np.frombuffer(ref.encode("utf-32-le", "surrogatepass"), "<u4"), np.frombuffer(hyp.encode("utf-32-le", "surrogatepass"), "<u4")
+    known: dict = {}
+    return tuple(np.fromiter((known.setdefault(x, len(known)) for x in s), np.uint32, len(s)) for s in (ref, hyp))
+
+
+def ends(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
+    """How many elements are equal at the start, and of the others at the end."""
+    n = min(len(a), len(b))
+    differ = np.flatnonzero(a[:n] != b[:n])
+    start = int(differ[0]) if len(differ) else n
+    n -= start
+    differ = np.flatnonzero(a[len(a) - n :][::-1] != b[len(b) - n :][::-1]) if n else differ
+    return start, int(differ[0]) if len(differ) else n
+
+
+class Places(dict):
+    """Element to the bits of its places in a sequence."""
+
+    def __init__(self, a: np.ndarray) -> None:
+        super().__init__()
+        order = np.argsort(a, kind="stable")
+        cuts = np.flatnonzero(np.diff(a[order], prepend=a[order[:1]] + 1)).tolist() if len(a) else []
+        self.at = {int(a[order[i]]): order[i:j] for i, j in zip(cuts, [*cuts[1:], len(a)][: len(cuts)], strict=True)}
+
+    def __missing__(self, x: int) -> int:
+        at = self.at.get(x)
+        if at is None:
+            return 0
+        if len(at) < FREQUENT:
+            return sum(1 << p for p in at.tolist())
+        bits = np.zeros(int(at[-1]) + 1, np.uint8)
+        bits[at] = 1
+        self[x] = out = int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+        return out
+
+
+def distance(ref: str | list, hyp: str | list) -> int:
+    """Levenshtein distance of two texts or lists."""
+    a, b = codes(ref, hyp)
+    start, end = ends(a, b)
+    a, b = a[start : len(a) - end], b[start : len(b) - end]
+    if len(a) < len(b):
+        a, b = b, a
+    if not len(b):
+        return len(a)
+    places, every = Places(a), (1 << len(a)) - 1
+    up, down = every, 0
+    for x in b.tolist():
+        same = places[x] | down
+        flat = ((((same & up) + up) ^ up) | same) & every
+        right = ((down | (every ^ (flat | up))) << 1 | 1) & every
+        up, down = ((up & flat) << 1 & every) | (every ^ (flat | right)), right & flat
+    return len(b) + up.bit_count() - down.bit_count()
+
+
+def _back(a: np.ndarray, b: np.ndarray) -> bytearray:
+    """The steps of an optimal alignment from its end. The diagonal goes first, then deletion, then insertion."""
+    n, m = len(a), len(b)
+    every, size, places = (1 << n) - 1, n // 8 + 1, Places(a)
+    width = max(1, m if 2 * size * m <= KEPT_BYTES else int(m**0.5))
+    kept, up, down, xs, ys = [], every, 0, a.tolist(), b.tolist()
+    out, i, j = bytearray(), n, m
+
+    def columns(first: int, last: int, up: int, down: int, keep: bool) -> tuple[int, int, list[tuple[bytes, bytes]]]:
+        held = []
+        for y in ys[first:last]:
+            same = places[y] | down
+            flat = ((((same & up) + up) ^ up) | same) & every
+            right = ((down | (every ^ (flat | up))) << 1 | 1) & every
+            up, down = ((up & flat) << 1 & every) | (every ^ (flat | right)), right & flat
+            if keep:
+                held.append((flat.to_bytes(size, "little"), up.to_bytes(size, "little")))
+        return up, down, held
+
+    if width < m:
+        for first in range(0, m, width):
+            kept.append((up, down))
+            up, down, _ = columns(first, min(first + width, m), up, down, False)
+    else:
+        kept.append((up, down))
+    for first in range((m - 1) // width * width, -1, -width):
+        held = columns(first, min(first + width, m), *kept[first // width], True)[2]
+        while j > first:
+            if not i:
+                out.append(INSERT)
+                j -= 1
+            elif xs[i - 1] == ys[j - 1]:
+                out.append(EQUAL)
+                i, j = i - 1, j - 1
+            else:
+                flat, up_bits = held[j - 1 - first]
+                place, bit = (i - 1) >> 3, 1 << ((i - 1) & 7)
+                if not flat[place] & bit:
+                    out.append(SUBSTITUTE)
+                    i, j = i - 1, j - 1
+                elif up_bits[place] & bit:
+                    out.append(DELETE)
+                    i -= 1
+                else:
+                    out.append(INSERT)
+                    j -= 1
+    out += bytes([DELETE]) * i
+    return out
 
 
-def word_levenshtein(reference: Column, prediction: Column) -> Column:
-    """Edit distance of two arrays of words: each distinct word of the two becomes one character beyond the basic plane."""
-    known = F.array_distinct(F.concat(reference, prediction))
+def align(ref: str | list, hyp: str | list) -> np.ndarray:
+    """Chunks ``op, rs, re, hs, he`` of an optimal alignment, half open, in order. What is equal at both ends stays; of equal
+    ways between, seen from the end, the diagonal goes first, then deletion, then insertion."""
+    a, b = codes(ref, hyp)
+    start, end = ends(a, b)
+    middle = _back(a[start : len(a) - end], b[start : len(b) - end])
+    ops = np.concatenate([np.zeros(start, np.uint8), np.frombuffer(bytes(middle), np.uint8)[::-1], np.zeros(end, np.uint8)])
+    cuts = np.flatnonzero(np.diff(ops, prepend=9)) if len(ops) else np.zeros(0, np.int64)
+    rows, columns = (np.concatenate([[0], np.cumsum(ops != skip)]) for skip in (INSERT, DELETE))
+    bounds = np.append(cuts, len(ops))
+    return np.stack([ops[cuts].astype(np.int64), rows[bounds[:-1]], rows[bounds[1:]], columns[bounds[:-1]], columns[bounds[1:]]], 1)
 
-    def spelled(words: Column) -> Column:
-        codes = F.transform(words, lambda w: F.lpad(F.hex(F.array_position(known, w) + F.lit(65536)), 8, "0"))
-        return F.decode(F.unhex(F.array_join(codes, "")), "UTF-32")
 
-    return F.levenshtein(spelled(reference), spelled(prediction))
+def _distances(refs: pa.Array, hyps: pa.Array) -> pa.Array:
+    return pa.array([None if r is None or h is None else distance(r, h) for r, h in zip(refs.to_pylist(), hyps.to_pylist(), strict=True)], pa.int32())
 
 
-OPS = "array<struct<op:string,rs:int,re:int,hs:int,he:int>>"
+def _gaps(refs: Iterator, hyps: Iterator, around: int, words: bool, equal: bool) -> pa.Array:
+    numbers, texts, offsets = [], [[], [], [], []], [0]
+    joined = " ".join if words else str
+    for r, h in zip(refs, hyps, strict=True):
+        chunks = align(r, h)
+        if not equal:
+            chunks = chunks[chunks[:, 0] != EQUAL]
+        numbers.append(chunks)
+        for op, rs, re, hs, he in chunks.tolist():
+            if op == EQUAL:
+                row = (None, None, None, None)
+            else:
+                row = (joined(r[rs:re]), joined(h[hs:he]), joined(r[max(0, rs - around) : rs]), joined(r[re : re + around]))
+            for column, text in zip(texts, row, strict=True):
+                column.append(text)
+        offsets.append(offsets[-1] + len(chunks))
+    every = np.concatenate(numbers) if numbers else np.zeros((0, 5), np.int64)
+    columns = [pa.array(NAMES[every[:, 0]], pa.string()), *(pa.array(every[:, k], pa.int32()) for k in range(1, 5)), *(pa.array(t, pa.string()) for t in texts)]
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(columns, names=["op", "rs", "re", "hs", "he", "ref", "hyp", "before", "after"]))
 
 
-def align(ref: list, hyp: list) -> list[tuple[str, int, int, int, int]]:
-    """Chunks of an optimal alignment, half open. Of equal ways the diagonal goes first, then deletion, then insertion."""
-    start = 0
-    while start < min(len(ref), len(hyp)) and ref[start] == hyp[start]:
-        start += 1
-    end = 0
-    while end < min(len(ref), len(hyp)) - start and ref[len(ref) - 1 - end] == hyp[len(hyp) - 1 - end]:
-        end += 1
-    codes: dict = {}
-    a = np.array([codes.setdefault(x, len(codes)) for x in ref[start : len(ref) - end]], np.int64)
-    b = np.array([codes.setdefault(x, len(codes)) for x in hyp[start : len(hyp) - end]], np.int64)
-    n, m = len(a), len(b)
-    table = np.zeros((n + 1, m + 1), np.int32)
-    table[0] = np.arange(m + 1)
-    steps = np.arange(m + 1, dtype=np.int32)
-    for i in range(1, n + 1):
-        row = np.empty(m + 1, np.int32)
-        row[0] = i
-        row[1:] = np.minimum(table[i - 1, :-1] + (b != a[i - 1]), table[i - 1, 1:] + 1)
-        table[i] = np.minimum.accumulate(row - steps) + steps  # insertions run along the row
-    ops: list[tuple[str, int, int]] = []
-    i, j = n, m
-    while i or j:
-        if i and j and table[i, j] == table[i - 1, j - 1] + (a[i - 1] != b[j - 1]):
-            i, j = i - 1, j - 1
-            ops.append(("equal" if a[i] == b[j] else "substitute", i, j))
-        elif i and table[i, j] == table[i - 1, j] + 1:
-            i -= 1
-            ops.append(("delete", i, j))
-        else:
-            j -= 1
-            ops.append(("insert", i, j))
-    whole = [("equal", k, k) for k in range(start)]
-    whole += [(op, i + start, j + start) for op, i, j in reversed(ops)]
-    whole += [("equal", len(ref) - end + k, len(hyp) - end + k) for k in range(end)]
-    out: list[tuple[str, int, int, int, int]] = []
-    for op, i, j in whole:
-        di, dj = int(op != "insert"), int(op != "delete")
-        if out and out[-1][0] == op:
-            last = out[-1]
-            out[-1] = (op, last[1], i + di, last[3], j + dj)
-        else:
-            out.append((op, i, i + di, j, j + dj))
-    return out
+#: characters of the reference that a chunk has before and after it
+AROUND = 8
+OPS = "array<struct<op:string,rs:int,re:int,hs:int,he:int,ref:string,hyp:string,before:string,after:string>>"
+
+
+def _char_chunks(refs: pa.Array, hyps: pa.Array) -> pa.Array:
+    return _gaps(refs.to_pylist(), hyps.to_pylist(), AROUND, False, False)
 
 
-def _aligned(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for refs, hyps in batches:
-        yield pd.Series([[dict(zip(("op", "rs", "re", "hs", "he"), c, strict=True)) for c in align(list(r), list(h))] for r, h in zip(refs, hyps, strict=True)])
+def _word_chunks(refs: pa.Array, hyps: pa.Array) -> pa.Array:
+    return _gaps(refs.to_pylist(), hyps.to_pylist(), 0, True, True)
+
+
+_made: dict = {}
+
+
+def _udf(fn, returns: str):
+    if fn not in _made:
+        _made[fn] = F.arrow_udf(fn, returns)
+    return _made[fn]
+
+
+def char_distance(reference: Column, prediction: Column) -> Column:
+    """Edit distance of two texts; null if one is. An Arrow UDF: the built-in one works cell by cell, which whole texts make slow."""
+    return _udf(_distances, "int")(reference, prediction)
+
+
+def word_levenshtein(reference: Column, prediction: Column) -> Column:
+    """Edit distance of two arrays of words."""
+    return _udf(_distances, "int")(reference, prediction)
 
 
-_align_batches = None
+def char_edits(reference: Column, prediction: Column) -> Column:
+    """The chunks of two texts' alignment that aren't equal, with what they change and what stands around."""
+    return _udf(_char_chunks, OPS)(reference, prediction)
 
 
-def align_ops(reference: Column, prediction: Column) -> Column:
-    """Alignment of two strings (by character) or two arrays (by element); an Arrow UDF, as no built-in keeps the way back."""
-    global _align_batches
-    if _align_batches is None:
-        _align_batches = F.pandas_udf(_aligned, OPS, F.PandasUDFType.SCALAR_ITER)
-    return _align_batches(reference, prediction)
+def word_chunks(reference: Column, prediction: Column) -> Column:
+    """All chunks of the alignment of two arrays of words, with the words of those that aren't equal."""
+    return _udf(_word_chunks, OPS)(reference, prediction)

@@ -78,6 +78,11 @@ def mime(path: Column) -> Column:
     return F.coalesce(known[suffix], F.lit("image/jpeg"))
 
 
+def base64(text: Column) -> Column:
+    """A text's bytes in base64, in one line: the built-in one breaks lines."""
+    return F.replace(F.base64(F.encode(text, "UTF-8")), F.lit("\r\n"), F.lit(""))
+
+
 def is_new_model(model: Column) -> Column:
     return F.lower(model).rlike("^(gpt-5|o1|o3)")
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from fractions import Fraction
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,10 +24,16 @@ def shuffle_key(*keys: Column, seed: int = 42) -> Column:
     return F.md5(F.concat_ws("|", *[k.cast("string") for k in keys], F.lit(str(seed))))
 
 
-def ranked_in(df: DataFrame, groups: list[str], key: str, *ties: str, parts: int = 256) -> DataFrame:
-    """Adds ``rn``, the rank in the group by a hash in hex. Each group is ranked in ``parts`` ranges of the hash, so that no
-    task has to sort all rows of a group."""
-    digits = max(1, (parts - 1).bit_length() // 4)
+#: rows that one task ranks at most, about
+ROWS_A_PART = 200_000
+
+
+def ranked_in(df: DataFrame, groups: list[str], key: str, *ties: str) -> DataFrame:
+    """Adds ``rn``, the rank in the group by a hash in hex. Each group is ranked in ranges of the hash, as many as the rows
+    ask for, so that no task has to sort all rows of a group."""
+    digits, held = 1, df.count() // ROWS_A_PART
+    while held >= 16**digits:
+        digits += 1
     df = df.withColumn("_part", F.substring(key, 1, digits))
     held = df.groupBy(*groups, "_part").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(*groups).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -90,24 +99,42 @@ def first_wins(crops: DataFrame) -> DataFrame:
     return crops.withColumn("_rank", rank).filter("_rank = 1").drop("_rank")
 
 
+def shares(sizes: dict[int, int], total: int) -> list[tuple[int, int, int]]:
+    """``size, train, test``: how many pages of each size go to the first two splits, sizes from the largest on, each page to
+    the split with the largest need left (of equal ones the first).
+
+    Pages of one size take the largest of the numbers ``need - k * size``, so their number costs nothing.
+    """
+    weights = [Fraction(str(w)) for w in SPLIT_WEIGHTS.values()]
+    held, out = [0] * len(weights), []
+    for size in sorted(sizes, reverse=True):
+        n, needs = sizes[size], [w * total - h for w, h in zip(weights, held, strict=True)]
+        above = lambda x: [max(0, math.ceil((need - x) / size)) for need in needs]  # noqa: B023, E731  numbers larger than x
+        low, high = min(needs) - n * size - 1, max(needs)
+        while high - low > Fraction(1, 20 * len(weights)):  # needs are tenths: at most one number of a split lies between
+            middle = (low + high) / 2
+            low, high = (middle, high) if sum(above(middle)) > n else (low, middle)
+        took, over = above(high), above(low)
+        for i, (a, b) in enumerate(zip(took, over, strict=True)):
+            took[i] += min(b - a, n - sum(took))
+        held = [h + k * size for h, k in zip(held, took, strict=True)]
+        out.append((size, *took[:2]))
+    return out
+
+
 def regroup(crops: DataFrame, seed: int = 42) -> DataFrame:
-    """``page, n, split``: pages from the largest on, each to the split with the largest remaining need (train, test, dev).
+    """``page, n, split``: pages from the largest on, each to the split with the largest remaining need (train, test, dev);
+    of pages of one size the first by hash are train's, then test's, then dev's.
 
-    A fold over the pages in order: it grows with the pages, not the crops.
+    The driver sees how many pages have each size, not the pages.
     """
     pages = crops.groupBy("page").agg(F.count("*").alias("n")).withColumn("h", shuffle_key(F.col("page"), seed=seed))
-    listed = pages.agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("minus"), "h", "page", "n"))).alias("pages"), F.sum("n").cast("double").alias("total"))
+    sizes = {r["n"]: r["pages"] for r in pages.groupBy("n").agg(F.count("*").alias("pages")).collect()}  # one row for each size
+    cuts = crops.sparkSession.createDataFrame(shares(sizes, sum(n * k for n, k in sizes.items())), "n long, train long, test long")
+    ranked = ranked_in(pages, ["n"], "h", "page").join(F.broadcast(cuts), "n")
     names = list(SPLIT_WEIGHTS)
-    start = F.struct(*[F.lit(0.0).alias(s) for s in names], F.array().cast("array<struct<page:string,n:bigint,split:string>>").alias("done"))
-
-    def step(acc: Column, p: Column) -> Column:
-        need = {s: F.lit(w) * F.col("total") - acc[s] for s, w in SPLIT_WEIGHTS.items()}
-        most = F.greatest(*need.values())
-        to = F.when(need[names[0]] == most, names[0]).when(need[names[1]] == most, names[1]).otherwise(names[2])
-        counts = [(acc[s] + F.when(to == s, p["n"]).otherwise(0)).cast("double").alias(s) for s in names]
-        return F.struct(*counts, F.concat(acc["done"], F.array(F.struct(p["page"].alias("page"), p["n"].alias("n"), to.alias("split")))).alias("done"))
-
-    return listed.select(F.explode(F.aggregate("pages", start, step, lambda acc: acc["done"])).alias("p")).select("p.*")
+    split = F.when(F.col("rn") <= F.col("train"), names[0]).when(F.col("rn") <= F.col("train") + F.col("test"), names[1]).otherwise(names[2])
+    return ranked.select("page", "n", split.alias("split"))
 
 
 def moved(crops: DataFrame, assigned: DataFrame) -> DataFrame:
@@ -121,12 +148,29 @@ def split_counts(crops: DataFrame, split: str = "new_split") -> DataFrame:
     return crops.groupBy(F.col(split).alias("split")).agg(F.count("*").alias("n")).withColumn("pct", F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy()))
 
 
-def capped(rows: DataFrame, order: str, least: int = 3, share: float = 0.0005) -> DataFrame:
-    """Of equal texts only the first ones, as many as ``share`` of all rows that are long enough (one at least)."""
-    long = rows.filter(F.char_length("text") >= least)
-    cap = long.agg(F.greatest(F.lit(1), F.floor(F.count("*") * share)).alias("_cap"))
-    ranked = long.withColumn("_rank", F.row_number().over(Window.partitionBy("text").orderBy(order)))
-    return ranked.crossJoin(F.broadcast(cap)).filter("_rank <= _cap").drop("_rank", "_cap")  # the cap is one row
+def capped(rows: DataFrame, order: str, least: int = 3, share: float = 0.0005, parts: int = 256) -> DataFrame:
+    """Of equal texts only the first ones by ``order`` (a number), as many as ``share`` of all rows that are long enough (one at least).
+
+    Texts that occur more often than that are few, ``1 / share`` at most. Their rows are cut into ranges of ``order``; what
+    lies below the cap stays, and only the range in which it falls is ranked. Texts are told apart by two hashes.
+    """
+    keys = ["_h1", "_h2"]
+    long = rows.filter(F.char_length("text") >= least).withColumn("_h1", F.xxhash64("text")).withColumn("_h2", F.xxhash64(F.lit(1), "text"))
+    cap = max(1, int(long.count() * share))
+    often = long.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > cap).select(*keys)
+    seldom, hot = long.join(often, keys, "left_anti"), long.join(often, keys, "left_semi")
+    bounds = hot.agg(F.percentile_approx(order, [i / parts for i in range(1, parts)], 20 * parts).alias("q")).first()["q"] or []
+    bounds = sorted(set(bounds))
+    at = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col(order))) if bounds else F.lit(0)
+    hot = hot.withColumn("_part", at)
+    held = hot.groupBy(*keys, "_part").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    held = held.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).filter(F.col("_before") < cap)
+    hot = hot.join(held, [*keys, "_part"])
+    whole = hot.filter(F.col("_before") + F.col("_n") <= cap)
+    rank = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(order))
+    cut = hot.filter(F.col("_before") + F.col("_n") > cap).withColumn("_rank", rank).filter(F.col("_before") + F.col("_rank") <= cap)
+    return seldom.select(*rows.columns).unionByName(whole.select(*rows.columns)).unionByName(cut.select(*rows.columns))
 
 
 def quotas(strata: DataFrame, sizes: DataFrame, order: str = "stratum") -> DataFrame:
@@ -167,10 +211,17 @@ def exact_split(rows: DataFrame, share: float, key: str, seed: int = 42) -> Data
     return ranked.crossJoin(F.broadcast(n)).withColumn("is_test", F.col("rn") <= F.col("_n")).drop("_one", "_key", "rn", "_n")  # the count is one row
 
 
+def has_splits(rows: DataFrame, names: tuple[str, ...] | list[str]) -> set[str]:
+    """Which of the named splits have rows, however many others there are."""
+    found = rows.agg(*[F.max(F.col("split") == n).alias(n) for n in names]).first()
+    return {n for n in names if found[n]}
+
+
 def complete_splits(rows: DataFrame, key: str, seed: int = 42) -> DataFrame:
     """Rows of one source with train, validation and test; missing ones are cut from train (a tenth each)."""
-    there = {r["split"] for r in rows.select("split").distinct().limit(10).collect()}
-    missing = [s for s in ("train", "validation", "test") if s not in there]
+    wanted = ("train", "validation", "test")
+    there = has_splits(rows, wanted)
+    missing = [s for s in wanted if s not in there]
     if not missing:
         return rows
     if "train" in missing:

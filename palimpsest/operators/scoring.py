@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions.constants import OUTLIER_RATIO
-from palimpsest.functions.edit import char_rate, word_levenshtein
+from palimpsest.functions.edit import char_distance, char_rate, word_levenshtein
 from palimpsest.functions.text import normalize, words
+from palimpsest.session import stash
 
 
 def too_long(pair: Column, ratio: float) -> Column:
@@ -43,46 +44,87 @@ def split_words(text: Column, separator: str | None = " ") -> Column:
 
 
 def item_metrics(pairs: DataFrame, clip: bool = True, separator: str | None = " ") -> DataFrame:
-    """``subfolder, filename, cer, wer, levenshtein, exact_match`` for each pair."""
+    """``subfolder, filename, cer, wer, levenshtein, exact_match`` for each pair, over whole texts. What isn't selected of
+    them isn't worked out."""
     df = pairs.withColumn("r", split_words(F.col("reference"), separator)).withColumn("h", split_words(F.col("prediction"), separator))
-    df = df.withColumn("levenshtein", F.levenshtein("reference", "prediction"))
+    df = df.withColumn("levenshtein", char_distance(F.col("reference"), F.col("prediction"))).withColumn("word_edits", word_levenshtein(F.col("r"), F.col("h")))
     cer = F.try_divide(F.col("levenshtein").cast("double"), F.char_length("reference").cast("double"))
-    wer = F.try_divide(word_levenshtein(F.col("r"), F.col("h")).cast("double"), F.size("r").cast("double"))
+    wer = F.try_divide(F.col("word_edits").cast("double"), F.size("r").cast("double"))
     cut = (lambda c: F.least(c, F.lit(1.0))) if clip else (lambda c: c)
     return df.select("subfolder", F.col("stem").alias("filename"), cut(cer).alias("cer"), cut(wer).alias("wer"), "levenshtein", (F.col("prediction") == F.col("reference")).cast("double").alias("exact_match"))
 
 
+#: parts of the range from 0 to 1 in which medians are looked for; rates above share the last ones
+STEPS = 4096
+
+
+def medians(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """``keys, <value>_median``, exact. The middle is found in a histogram first, and only the values of its one or two steps
+    are put in order, so no task holds the values of a group. Null values don't count."""
+    df = rows.select(*keys, F.col(value).alias("x")).filter("x is not null").withColumn("step", F.least(F.floor(F.col("x") * STEPS), F.lit(1 << 24)))
+    steps = df.groupBy(*keys, "step").agg(F.count("*").alias("n"))
+    every = Window.partitionBy(*keys)
+    past = lambda by: F.coalesce(F.sum("n").over(every.orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    steps = steps.withColumn("before", past("step")).withColumn("total", F.sum("n").over(every))
+    low, high = F.floor((F.col("total") - 1) / 2), F.floor(F.col("total") / 2)
+    steps = steps.filter((F.col("before") <= high) & (F.col("before") + F.col("n") > low)).drop("n")
+    same = F.col("d.step") == F.col("s.step")
+    for k in keys:
+        same = same & F.col(f"d.{k}").eqNullSafe(F.col(f"s.{k}"))
+    near = df.alias("d").join(steps.alias("s"), same).groupBy(*[F.col(f"d.{k}").alias(k) for k in keys], "x", "total").agg(F.count("*").alias("n"), F.min("before").alias("first"))
+    near = near.withColumn("at", F.min("first").over(every) + past("x"))
+    holds = lambda rank: (F.col("at") <= rank) & (F.col("at") + F.col("n") > rank)
+    middle = lambda rank: F.max(F.when(holds(rank), F.col("x")))
+    return near.groupBy(*keys).agg(((middle(low) + middle(high)) / 2).alias(f"{value}_median"))
+
+
 def summary_columns() -> list[Column]:
     return [
-        F.count("*").alias("n"), F.avg("cer").alias("cer_mean"), F.median("cer").alias("cer_median"), F.coalesce(F.stddev_samp("cer"), F.lit(0.0)).alias("cer_std"),
-        F.avg("wer").alias("wer_mean"), F.median("wer").alias("wer_median"), F.avg("levenshtein").alias("lev_mean"), (F.avg("exact_match") * 100).alias("exact_pct"),
+        F.count("*").alias("n"), F.avg("cer").alias("cer_mean"), F.coalesce(F.stddev_samp("cer"), F.lit(0.0)).alias("cer_std"),
+        F.avg("wer").alias("wer_mean"), F.avg("levenshtein").alias("lev_mean"), (F.avg("exact_match") * 100).alias("exact_pct"),
     ]
 
 
-def by_group(items: DataFrame) -> DataFrame:
-    return items.groupBy("subfolder").agg(*summary_columns())
+def summarised(items: DataFrame, keys: list[str], rates: tuple[str, ...]) -> DataFrame:
+    wanted = [c for c in ("cer", "wer") if c in rates]
+    columns = [c for c, name in zip(summary_columns(), ("n", "cer", "cer", "wer", "", ""), strict=True) if name not in ("cer", "wer") or name in wanted]
+    items = stash(items.select(*keys, *wanted, "levenshtein", "exact_match"), "items")  # read once for the sums and twice for a median
+    out = items.groupBy(*keys).agg(*columns)
+    for rate in wanted:
+        found = medians(items, keys, rate).alias("m")
+        same = F.lit(True)
+        for k in keys:
+            same = same & F.col(f"o.{k}").eqNullSafe(F.col(f"m.{k}"))
+        out = out.alias("o").join(found, same, "left").select("o.*", f"m.{rate}_median")
+    return out
+
+
+def by_group(items: DataFrame, rates: tuple[str, ...] = ("cer", "wer")) -> DataFrame:
+    """Counts, means, medians and deviations of each subfolder, of the rates that are asked for."""
+    return summarised(items, ["subfolder"], rates)
 
 
-def report(items: DataFrame) -> DataFrame:
-    """Groups and the whole in one pass: ``is_total`` 1 marks the whole, which an empty table doesn't have."""
-    out = items.groupingSets([[F.col("subfolder")], []], F.col("subfolder")).agg(F.grouping("subfolder").cast("int").alias("is_total"), *summary_columns())
-    return out.filter("n > 0")
+def report(items: DataFrame, rates: tuple[str, ...] = ("cer", "wer")) -> DataFrame:
+    """Groups and the whole: ``is_total`` 1 marks the whole, which an empty table doesn't have."""
+    once = F.struct(F.col("subfolder").alias("name"), F.lit(0).alias("is_total"))
+    whole = F.struct(F.lit(None).cast("string").alias("name"), F.lit(1).alias("is_total"))
+    return summarised(items.withColumn("in", F.explode(F.array(once, whole))).withColumn("subfolder", F.col("in.name")).withColumn("is_total", F.col("in.is_total")).drop("in"), ["subfolder", "is_total"], rates)
 
 
 def nested_report(items: DataFrame) -> DataFrame:
-    """One row with the report as one JSON text: per item, by subfolder, global."""
+    """One row with the numbers of all groups as one JSON text: by subfolder, global. It grows with the groups; the items
+    stay rows (``sinks.files.write_report`` puts them beside it)."""
     groups = report(items)
     numbers = F.struct("n", "cer_mean", "cer_median", "cer_std", "wer_mean", "wer_median", "lev_mean", "exact_pct")
-    by_name = groups.filter("is_total = 0").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("subfolder", numbers)))).alias("by_subfolder"))
-    whole = groups.filter("is_total = 1").agg(F.first(numbers).alias("global"))
-    per_item = items.agg(F.array_sort(F.collect_list(F.struct("subfolder", "filename", "cer", "wer", "levenshtein", "exact_match"))).alias("per_item"))
-    return per_item.crossJoin(by_name).crossJoin(whole).select(F.to_json(F.struct("per_item", "by_subfolder", "global")).alias("report"))
+    named = F.array_sort(F.collect_list(F.when(F.col("is_total") == 0, F.struct("subfolder", numbers))))
+    out = groups.agg(F.map_from_entries(F.filter(named, lambda x: x["subfolder"].isNotNull())).alias("by_subfolder"), F.max(F.when(F.col("is_total") == 1, numbers)).alias("global"))
+    return out.select(F.to_json(F.struct("by_subfolder", "global")).alias("report"))
 
 
 def corpus_rates(pairs: DataFrame, *keys: str, separator: str | None = " ") -> DataFrame:
     """Edits over reference length, summed over each group: ``cer_micro, wer_micro, n``."""
     df = pairs.withColumn("r", split_words(F.col("reference"), separator)).withColumn("h", split_words(F.col("prediction"), separator))
-    df = df.select(*keys, F.levenshtein("reference", "prediction").alias("e"), F.char_length("reference").alias("c"), word_levenshtein(F.col("r"), F.col("h")).alias("we"), F.size("r").alias("w"))
+    df = df.select(*keys, char_distance(F.col("reference"), F.col("prediction")).alias("e"), F.char_length("reference").alias("c"), word_levenshtein(F.col("r"), F.col("h")).alias("we"), F.size("r").alias("w"))
     return df.groupBy(*keys).agg(F.count("*").alias("n"), F.try_divide(F.sum("e"), F.sum("c")).alias("cer_micro"), F.try_divide(F.sum("we"), F.sum("w")).alias("wer_micro"))
 
 
@@ -93,4 +135,4 @@ def evaluate_sources(pairs: DataFrame, losses: DataFrame) -> DataFrame:
     return by_source.unionByName(whole.select(F.lit("ALL").alias("source"), "n", "cer_micro", "wer_micro", "loss"))
 
 
-__all__ = ["by_group", "char_rate", "collect_pairs", "corpus_rates", "evaluate_sources", "item_metrics", "nested_report", "normalized", "pair_up", "report", "split_words", "too_long"]
+__all__ = ["by_group", "char_rate", "collect_pairs", "corpus_rates", "evaluate_sources", "item_metrics", "medians", "nested_report", "normalized", "pair_up", "report", "split_words", "too_long"]

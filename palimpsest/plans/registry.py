@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import edit, geometry, text
 from palimpsest.functions.constants import EUR_TO_USD, FALLBACK, FORMULAIC, HOURLY_EUR, PRICING, REGIONS, SELF_HOSTED, SUBSET_SIZES
-from palimpsest.operators import analysis, cost, curation, layout, report, samples, scoring
+from palimpsest.operators import analysis, cost, curation, inference, layout, report, samples, scoring
 from palimpsest.plans import views as v
 from palimpsest.plans.views import table
 
@@ -34,9 +34,9 @@ def r6(df: DataFrame, *names: str) -> DataFrame:
 
 # --- scoring -----------------------------------------------------------------------------------------------------------
 
-STATS = ["cer_mean", "cer_median", "cer_std", "wer_mean", "wer_median", "lev_mean", "exact_pct"]
+STATS = ["cer_mean", "cer_median", "cer_std", "lev_mean", "exact_pct"]
 STATS_SQL = """count(*) AS n, round(avg(cer), 6) AS cer_mean, round(median(cer), 6) AS cer_median, round(coalesce(stddev_samp(cer), 0.0), 6) AS cer_std,
-    round(avg(wer), 6) AS wer_mean, round(median(wer), 6) AS wer_median, round(avg(levenshtein), 6) AS lev_mean, round(avg(exact_match) * 100, 6) AS exact_pct"""
+    round(avg(levenshtein), 6) AS lev_mean, round(avg(exact_match) * 100, 6) AS exact_pct"""
 
 
 @query("j1_p2_collect_pairs", f"WITH {v.PAIRS_SQL} SELECT subfolder, stem, prediction, reference FROM pairs")
@@ -49,51 +49,64 @@ def _(spark, sf):
     return scoring.collect_pairs(*v.raw_pairs(spark, sf), ratio=1.01)[1].select("subfolder", "stem")
 
 
-@query("p1_normalize", f"SELECT doc_id, md5({v.normalize_sql('text')}) AS digest FROM (SELECT doc_id, regexp_replace(replace(replace(text, ',', '...'), ' e', ' ~~e~~  '), '[^\\x00-\\x7F]', '', 'g') AS text FROM documents)")
+@query("p1_normalize", f"SELECT doc_id, md5({v.normalize_sql('text')}) AS digest FROM (SELECT doc_id, replace(replace(text, ',', '...'), ' e', ' ~~e~~  ') AS text FROM documents)")
 def _(spark, sf):
-    marked = F.regexp_replace(F.replace(F.replace("text", F.lit(","), F.lit("...")), F.lit(" e"), F.lit(" ~~e~~  ")), r"[^\x00-\x7F]", "")
+    marked = F.replace(F.replace("text", F.lit(","), F.lit("...")), F.lit(" e"), F.lit(" ~~e~~  "))
     return table(spark, sf, "documents").select("doc_id", F.md5(text.normalize(marked)).alias("digest"))
 
 
-@query("a1_a4_item_metrics", f"WITH {v.ITEMS_SQL} SELECT subfolder, filename, round(cer, 6) AS cer, round(wer, 6) AS wer, levenshtein, exact_match FROM items")
+@query("a1_a4_item_metrics", f"WITH {v.ITEMS_SQL} SELECT subfolder, filename, round(cer, 6) AS cer, levenshtein, exact_match FROM items")
 def _(spark, sf):
-    return r6(scoring.item_metrics(v.pairs(spark, sf)), "cer", "wer")
+    return r6(scoring.item_metrics(v.pairs(spark, sf)).drop("wer"), "cer")
+
+
+# words have no SQL: DuckDB's levenshtein counts bytes, and a whole text has more words than there are bytes
+@query("a2_item_word_rates")
+def _(spark, sf):
+    return r6(scoring.item_metrics(v.pairs(spark, sf)).select("subfolder", "filename", "wer"), "wer")
 
 
 @query("a5_by_subfolder", f"WITH {v.ITEMS_SQL} SELECT subfolder, {STATS_SQL} FROM items GROUP BY subfolder")
 def _(spark, sf):
-    return r6(scoring.by_group(scoring.item_metrics(v.pairs(spark, sf))), *STATS)
+    return r6(scoring.by_group(scoring.item_metrics(v.pairs(spark, sf)), ("cer",)), *STATS)
 
 
 @query("a5_a6_metrics_report", f"WITH {v.ITEMS_SQL} SELECT subfolder, CAST(grouping(subfolder) AS INTEGER) AS is_total, {STATS_SQL} FROM items GROUP BY GROUPING SETS ((subfolder), ())")
 def _(spark, sf):
-    return r6(scoring.report(scoring.item_metrics(v.pairs(spark, sf))), *STATS)
+    return r6(scoring.report(scoring.item_metrics(v.pairs(spark, sf)), ("cer",)), *STATS)
 
 
-MICRO_SQL = "count(*) AS n, round(sum(e)::DOUBLE / sum(c), 6) AS cer_micro, round(sum(we)::DOUBLE / sum(w), 6) AS wer_micro"
+@query("a5_a6_word_report")
+def _(spark, sf):
+    return r6(scoring.report(scoring.item_metrics(v.pairs(spark, sf)), ("wer",)), "wer_mean", "wer_median", "lev_mean", "exact_pct")
 
 
-@query("a7_corpus_rates", f"WITH {v.ITEMS_SQL} SELECT {MICRO_SQL} FROM raw_items")
+@query("a7_corpus_rates", f"WITH {v.ITEMS_SQL} SELECT count(*) AS n, round(sum(e)::DOUBLE / sum(c), 6) AS cer_micro FROM raw_items")
 def _(spark, sf):
-    return r6(scoring.corpus_rates(v.pairs(spark, sf)), "cer_micro", "wer_micro")
+    return r6(scoring.corpus_rates(v.pairs(spark, sf)).drop("wer_micro"), "cer_micro")
 
 
-@query("a8_item_rates_unclipped", f"WITH {v.ITEMS_SQL} SELECT subfolder, filename, round(e::DOUBLE / c, 6) AS cer, round(we::DOUBLE / w, 6) AS wer FROM raw_items")
+@query("a7_corpus_word_rates")
 def _(spark, sf):
-    return r6(scoring.item_metrics(v.pairs(spark, sf), clip=False).select("subfolder", "filename", "cer", "wer"), "cer", "wer")
+    return r6(scoring.corpus_rates(v.pairs(spark, sf)).drop("cer_micro"), "wer_micro")
+
+
+@query("a8_item_rates_unclipped", f"WITH {v.ITEMS_SQL} SELECT subfolder, filename, round(e::DOUBLE / c, 6) AS cer FROM raw_items")
+def _(spark, sf):
+    return r6(scoring.item_metrics(v.pairs(spark, sf), clip=False).select("subfolder", "filename", "cer"), "cer")
 
 
 @query(
     "a9_evaluate_sources",
     f"""WITH {v.ITEMS_SQL}, losses AS (SELECT * FROM (VALUES ('en', 0.5::DOUBLE), ('fr', 0.25::DOUBLE), ('de', NULL)) t(source, loss)),
-  by_source AS (SELECT subfolder AS source, count(*) AS n, sum(e)::DOUBLE / sum(c) AS cer_micro, sum(we)::DOUBLE / sum(w) AS wer_micro FROM raw_items GROUP BY 1),
+  by_source AS (SELECT subfolder AS source, count(*) AS n, sum(e)::DOUBLE / sum(c) AS cer_micro FROM raw_items GROUP BY 1),
   lost AS (SELECT b.*, loss FROM by_source b LEFT JOIN losses USING (source))
-SELECT source, n, round(cer_micro, 6) AS cer_micro, round(wer_micro, 6) AS wer_micro, loss FROM lost
-UNION ALL SELECT 'ALL', (SELECT count(*) FROM raw_items), (SELECT round(sum(e)::DOUBLE / sum(c), 6) FROM raw_items), (SELECT round(sum(we)::DOUBLE / sum(w), 6) FROM raw_items), (SELECT round(sum(loss * n) / sum(n), 6) FROM lost)""",
+SELECT source, n, round(cer_micro, 6) AS cer_micro, loss FROM lost
+UNION ALL SELECT 'ALL', (SELECT count(*) FROM raw_items), (SELECT round(sum(e)::DOUBLE / sum(c), 6) FROM raw_items), (SELECT round(sum(loss * n) / sum(n), 6) FROM lost)""",
 )
 def _(spark, sf):
     losses = spark.createDataFrame([("en", 0.5), ("fr", 0.25), ("de", None)], "source string, loss double")
-    return r6(scoring.evaluate_sources(v.pairs(spark, sf).withColumnRenamed("subfolder", "source"), losses), "cer_micro", "wer_micro", "loss")
+    return r6(scoring.evaluate_sources(v.pairs(spark, sf).withColumnRenamed("subfolder", "source"), losses).drop("wer_micro"), "cer_micro", "loss")
 
 
 @query("d3_nested_report")
@@ -113,7 +126,7 @@ def _(spark, sf):
     return analysis.character_confusion(aligned(spark, sf))
 
 
-@query("c1_edit_totals", f"WITH {v.PAIRS_SQL} SELECT CAST(sum(levenshtein(reference, prediction)) AS BIGINT) AS edits FROM pairs")
+@query("c1_edit_totals", f"WITH {v.ITEMS_SQL} SELECT CAST(sum(e) AS BIGINT) AS edits FROM raw_items")
 def _(spark, sf):
     return analysis.edit_totals(aligned(spark, sf)).select((F.col("substitutions") + F.col("insertions") + F.col("deletions")).alias("edits"))
 
@@ -128,7 +141,7 @@ WORDS_SQL = r"list_filter(regexp_split_to_array(reference, '\s+'), lambda w: w <
 
 @query(
     "a11_entity_counts",
-    f"""WITH {v.PAIRS_SQL}, w AS (SELECT unnest({WORDS_SQL}) AS word FROM pairs)
+    f"""WITH {v.PAIRS_SQL}, w AS (SELECT translate(unnest({WORDS_SQL}), 'óñÓíÑÍÊéèêçÈÉÇöäüÖÜÄß', 'aaaaaaaaaaaaaaaaaaaa_') AS word FROM pairs)
 SELECT 'numbers' AS entity, CAST(sum(len(regexp_extract_all(word, '\\b\\d+\\b'))) AS BIGINT) AS n FROM w
 UNION ALL SELECT 'proper_nouns', CAST(sum(len(regexp_extract_all(word, '\\b[A-Za-z]{{3,}}\\b'))) AS BIGINT) FROM w
 UNION ALL SELECT 'baseline', (SELECT count(*) FROM pairs)""",
@@ -167,8 +180,8 @@ def _(spark, sf):
 
 @query(
     "a14_truncation",
-    rf"""WITH {v.PAIRS_SQL}, lines AS (
-  SELECT unnest(string_split(reference, chr(10))) AS r, unnest(range(1, len(string_split(reference, chr(10))) + 1)) AS k, string_split(prediction, chr(10)) AS p FROM pairs
+    rf"""WITH {v.SPELT_SQL}, lines AS (
+  SELECT unnest(string_split(reference, chr(10))) AS r, unnest(range(1, len(string_split(reference, chr(10))) + 1)) AS k, string_split(prediction, chr(10)) AS p FROM spelt
 ), both_lines AS (SELECT {v._strip_sql('r')} AS r, {v._strip_sql("coalesce(p[k], '')")} AS h FROM lines), long AS (SELECT * FROM both_lines WHERE length(r) >= 15), cut AS (
   SELECT right(r, 10) AS rt, right(h, 10) AS ht, left(r, length(r) - 10) AS rh, CASE WHEN length(h) >= 10 THEN left(h, length(h) - 10) ELSE '' END AS hh FROM long)
 SELECT round(sum(levenshtein(rt, ht))::DOUBLE / sum(length(rt)), 6) AS tail_cer, count(*) AS tail_n, round(sum(levenshtein(rh, hh))::DOUBLE / sum(length(rh)), 6) AS head_cer, count_if(length(rh) > 0)::BIGINT AS head_n FROM cut""",
@@ -182,7 +195,7 @@ BUCKET_SQL = "CASE WHEN w BETWEEN 1 AND 3 THEN '1-3' WHEN w BETWEEN 4 AND 10 THE
 
 @query(
     "a15_length_buckets",
-    f"""WITH {v.PAIRS_SQL}, b AS (SELECT subfolder AS s, len({WORDS_SQL}) AS w, levenshtein(reference, prediction) AS e, length(reference) AS c FROM pairs), g AS (SELECT {BUCKET_SQL} AS b, s, e, c FROM b)
+    f"""WITH {v.SPELT_SQL}, b AS (SELECT subfolder AS s, len({WORDS_SQL}) AS w, {v.distance_sql('reference', 'prediction')} AS e, length(reference) AS c FROM spelt), g AS (SELECT {BUCKET_SQL} AS b, s, e, c FROM b)
 SELECT CASE WHEN grouping(b) = 1 THEN 'ALL' ELSE b END AS bucket, CASE WHEN grouping(s) = 1 THEN 'ALL' ELSE s END AS subfolder, round(sum(e)::DOUBLE / sum(c), 6) AS cer, count(*) AS n
 FROM g GROUP BY GROUPING SETS ((b, s), (b), (s))""",
 )
@@ -392,14 +405,18 @@ def _(spark, sf):
 
 
 PAGED_SQL = f"{FIRST_SQL}, one AS (SELECT *, regexp_replace(regexp_replace(filename, '\\.jpg$', ''), '_[0-9]+$', '') AS page FROM first)"
+# each page to the split with the largest need left; of pages of one size the first by hash are train's, then test's, then dev's
 REGROUP_SQL = f"""{PAGED_SQL}, pages AS (SELECT page, count(*) AS n FROM one GROUP BY page), ordered AS (SELECT *, row_number() OVER (ORDER BY n DESC, md5(page || '|42'), page) AS k, sum(n) OVER () AS total FROM pages),
 fold AS (
-  SELECT 0::BIGINT AS k, 0.0::DOUBLE AS train, 0.0::DOUBLE AS test, 0.0::DOUBLE AS dev, NULL::VARCHAR AS page, NULL::BIGINT AS n, NULL::VARCHAR AS split
+  SELECT 0::BIGINT AS k, 0::BIGINT AS train, 0::BIGINT AS test, 0::BIGINT AS dev, NULL::BIGINT AS n, NULL::VARCHAR AS split
   UNION ALL
-  SELECT k, train + CASE WHEN split = 'train' THEN n ELSE 0 END, test + CASE WHEN split = 'test' THEN n ELSE 0 END, dev + CASE WHEN split = 'dev' THEN n ELSE 0 END, page, n, split FROM (
-    SELECT o.k, f.train, f.test, f.dev, o.page, o.n, CASE WHEN 0.7::DOUBLE * total - f.train >= greatest(0.2::DOUBLE * total - f.test, 0.1::DOUBLE * total - f.dev) THEN 'train' WHEN 0.2::DOUBLE * total - f.test >= 0.1::DOUBLE * total - f.dev THEN 'test' ELSE 'dev' END AS split
+  SELECT k, train + CASE WHEN split = 'train' THEN n ELSE 0 END, test + CASE WHEN split = 'test' THEN n ELSE 0 END, dev + CASE WHEN split = 'dev' THEN n ELSE 0 END, n, split FROM (
+    SELECT o.k, f.train, f.test, f.dev, o.n, CASE WHEN 7 * total - 10 * f.train >= greatest(2 * total - 10 * f.test, total - 10 * f.dev) THEN 'train' WHEN 2 * total - 10 * f.test >= total - 10 * f.dev THEN 'test' ELSE 'dev' END AS split
     FROM fold f JOIN ordered o ON o.k = f.k + 1)
-), assigned AS (SELECT page, n, split FROM fold WHERE k > 0)"""
+), shares AS (SELECT n, count_if(split = 'train') AS train, count_if(split = 'test') AS test FROM fold WHERE k > 0 GROUP BY n),
+assigned AS (
+  SELECT page, n, CASE WHEN r <= train THEN 'train' WHEN r <= train + test THEN 'test' ELSE 'dev' END AS split
+  FROM (SELECT *, row_number() OVER (PARTITION BY n ORDER BY md5(page || '|42'), page) AS r FROM pages) JOIN shares USING (n))"""
 
 
 def regrouped(spark, sf):
@@ -484,11 +501,11 @@ def _(spark, sf):
 
 @query(
     "w1_p5_capped_dedup",
-    """WITH t AS (SELECT doc_id, substr(text, 1, 12) AS text FROM documents), long AS (SELECT * FROM t WHERE length(text) >= 3), k AS (SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS k FROM long)
+    """WITH t AS (SELECT doc_id, text FROM documents), long AS (SELECT * FROM t WHERE length(text) >= 3), k AS (SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS k FROM long)
 SELECT doc_id FROM k WHERE k <= (SELECT greatest(1, floor(count(*) * 0.003)) FROM long)""",
 )
 def _(spark, sf):
-    rows = table(spark, sf, "documents").select("doc_id", F.substring("text", 1, 12).alias("text"))
+    rows = table(spark, sf, "documents").select("doc_id", "text")
     return curation.capped(rows, "doc_id", share=0.003).select("doc_id")
 
 
@@ -591,11 +608,11 @@ def _(spark, sf):
     return report.annotated_counts(v.crops(spark, sf))
 
 
-@query("p4_clean_census", "SELECT doc_id, md5(clean) AS digest, length(clean)::BIGINT AS len, '' AS source_image FROM (SELECT doc_id, regexp_replace(translate(substr(text, 1, 200), 'aeo', '   '), '\\s+', ' ', 'g') AS clean FROM documents) WHERE length(clean) > 2")
+@query("p4_clean_census", "SELECT doc_id, md5(clean) AS digest, length(clean)::BIGINT AS len, '' AS source_image FROM (SELECT doc_id, regexp_replace(translate(text, 'aeo', '   '), '\\s+', ' ', 'g') AS clean FROM documents) WHERE length(clean) > 2")
 def _(spark, sf):
     from palimpsest.sources.tables import census
 
-    marked = F.translate(F.substring("text", 1, 200), "aeo", "¤/¬")
+    marked = F.translate("text", "aeo", "¤/¬")
     return census(table(spark, sf, "documents").select("doc_id", marked.alias("text"))).select("doc_id", F.md5("text").alias("digest"), "len", "source_image")
 
 
@@ -620,11 +637,10 @@ def _(spark, sf):
     return v.pairs(spark, sf).groupBy(text.length_bucket(F.size(text.words(F.col("reference")))).alias("bucket")).agg(F.count("*").alias("n"))
 
 
-@query("p18_without_thinking", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN substr(text, 1, 50) ELSE 'plain' END AS text FROM (SELECT doc_id, ltrim(substr(text, 1, 50), chr(10) || ' ') AS text FROM documents)")
+@query("p18_without_thinking", "SELECT doc_id, md5(CASE WHEN doc_id % 2 = 0 THEN ltrim(text, chr(10) || ' ') ELSE 'plain' END) AS digest FROM documents")
 def _(spark, sf):
-    head = F.regexp_replace(F.substring("text", 1, 50), "^[\n ]+", "")
-    raw = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("<think>\nso\n</think>\n\n "), head)).otherwise(F.lit("plain"))
-    return table(spark, sf, "documents").select("doc_id", text.without_thinking(raw).alias("text"))
+    raw = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("<think>\nso\n</think>\n\n "), "text")).otherwise(F.lit("plain"))
+    return table(spark, sf, "documents").select("doc_id", F.md5(text.without_thinking(raw)).alias("digest"))
 
 
 @query("p19_thinking_tokens", f"WITH {v.USAGE_SQL} SELECT model, CAST(sum(greatest(coalesce(input_tokens + output_tokens, 0) - coalesce(thinking_tokens, 0) - input_tokens, 0)) AS BIGINT) AS n FROM usage GROUP BY model")
@@ -633,15 +649,15 @@ def _(spark, sf):
     return u.groupBy("model").agg(F.sum(text.thinking_tokens(F.col("input_tokens") + F.col("output_tokens"), F.col("thinking_tokens"), F.col("input_tokens"))).alias("n"))
 
 
-@query("p20_ner_prompt", "SELECT doc_id, 'Extract: ' || replace(replace(substr(text, 1, 80), '(', ''), ')', '') || chr(10) || 'A:' AS prompt FROM documents")
+@query("p20_ner_prompt", "SELECT doc_id, md5('Extract: ' || replace(replace(text, '(', ''), ')', '') || chr(10) || 'A:') AS digest FROM documents")
 def _(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", text.render_prompt("Extract: {{text}}\nA:", F.substring("text", 1, 80)).alias("prompt"))
+    return table(spark, sf, "documents").select("doc_id", F.md5(text.render_prompt("Extract: {{text}}\nA:", F.col("text"))).alias("digest"))
 
 
-@query("p21_mime_base64", "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'image/png' WHEN 1 THEN 'image/webp' ELSE 'image/jpeg' END AS mime, base64(encode(substr(text, 1, 20))) AS content FROM documents")
+@query("p21_mime_base64", "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'image/png' WHEN 1 THEN 'image/webp' ELSE 'image/jpeg' END AS mime, md5(base64(encode(text))) AS digest FROM documents")
 def _(spark, sf):
     ext = F.element_at(F.array(*map(F.lit, (".PNG", ".webp", ".jpg", ".tiff"))), (F.col("doc_id") % 4 + 1).cast("int"))
-    return table(spark, sf, "documents").select("doc_id", text.mime(F.concat(F.lit("a/b"), ext)).alias("mime"), F.base64(F.encode(F.substring("text", 1, 20), "UTF-8")).alias("content"))
+    return table(spark, sf, "documents").select("doc_id", text.mime(F.concat(F.lit("a/b"), ext)).alias("mime"), F.md5(text.base64(F.col("text"))).alias("digest"))
 
 
 @query("p22_p23_model_predicates", f"WITH m AS (SELECT unnest({[*PRICING, *SELF_HOSTED, 'o1-preview', 'O3']}) AS model) SELECT model, regexp_matches(lower(model), '^(gpt-5|o1|o3)') AS is_new, model IN ({', '.join(repr(m) for m in SELF_HOSTED)}) AS is_self_hosted FROM m")
@@ -688,12 +704,19 @@ def _(spark, sf):
 
 @query("p30_chat")
 def _(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", samples.chat("Transcribe.", F.substring("text", 1, 40)).alias("messages"))
+    return table(spark, sf, "documents").select("doc_id", samples.chat("Transcribe.", F.col("text")).alias("messages"))
+
+
+def _length_model():
+    """Stands in for a model: it answers with the prompt's length."""
+    return lambda prompt: '{"length": %d, "first": "%s"}' % (len(prompt), prompt[:7])
 
 
-@query("m5_entities", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+@query("m5_entities", "SELECT doc_id AS id, length(replace(replace(text, '(', ''), ')', '')) + 10 AS length, 'Read th' AS head FROM documents WHERE text IS NOT NULL")
 def _(spark, sf):
-    return table(spark, sf, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
+    docs = table(spark, sf, "documents").filter("text is not null").select(F.col("doc_id").alias("id"), "text")
+    answers = inference.extract_entities(docs, "Read this {{text}}", "struct<length:bigint,first:string>", _length_model)
+    return answers.select("id", F.col("entities.length").alias("length"), F.col("entities.first").alias("head"))
 
 
 # --- cost and reports ----------------------------------------------------------------------------------------------------
@@ -736,7 +759,7 @@ def _(spark, sf):
     return report.curve(report.grid(one(["en", "fr", "xx"], "key string"), one([60, 120], "size int"), one(["dev", "test"], "split string")), m)
 
 
-@query("c2_word_levenshtein", f"WITH {v.PAIRS_SQL}, w AS (SELECT stem, list_filter(string_split(reference, ' '), lambda w: w <> '') AS r, list_filter(string_split(prediction, ' '), lambda w: w <> '') AS h FROM pairs) SELECT stem, CAST({v.word_distance_sql('r', 'h')} AS INTEGER) AS edits FROM w")
+@query("c2_word_levenshtein")
 def _(spark, sf):
     words = lambda c: scoring.split_words(F.col(c))
     df = v.pairs(spark, sf).withColumn("r", words("reference")).withColumn("h", words("prediction"))
@@ -800,12 +823,12 @@ def echo_client():
 
 
 def as_images(spark, sf):
-    return table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("path"), F.encode(F.substring("text", 1, 50), "UTF-8").alias("content"))
+    return table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("path"), F.encode("text", "UTF-8").alias("content"))
 
 
 @query(
     "m3_transcribe",
-    """WITH c AS (SELECT CAST(doc_id AS VARCHAR) AS path, octet_length(encode(substr(text, 1, 50))) AS n FROM documents)
+    """WITH c AS (SELECT CAST(doc_id AS VARCHAR) AS path, octet_length(encode(text)) AS n FROM documents)
 SELECT path, CASE WHEN n % 2 = 0 THEN 'gemini-2.0-flash' ELSE 'gemini-2.5-pro' END AS model, n::VARCHAR AS text, CAST(CASE WHEN n % 2 = 0 THEN 4 * n ELSE n END AS BIGINT) AS input_tokens, CAST(CASE WHEN n % 2 = 0 THEN 4 ELSE 1 END AS BIGINT) AS output_tokens, NULL::VARCHAR AS error FROM c""",
 )
 def _(spark, sf):
@@ -814,14 +837,14 @@ def _(spark, sf):
     return transcribe(as_images(spark, sf), "gemini-2.5-pro", echo_client)
 
 
-@query("m2_transcribe_lines", "SELECT CAST(doc_id AS VARCHAR) AS path, octet_length(encode(substr(text, 1, 50)))::VARCHAR AS text FROM documents")
+@query("m2_transcribe_lines", "SELECT CAST(doc_id AS VARCHAR) AS path, octet_length(encode(text))::VARCHAR AS text FROM documents")
 def _(spark, sf):
     from palimpsest.operators.inference import transcribe_lines
 
     return transcribe_lines(as_images(spark, sf), lambda: lambda batch: [str(len(c)) for c in batch])
 
 
-@query("m1_detect", "SELECT CAST(doc_id AS VARCHAR) AS image, s.k::INTEGER AS seq, (octet_length(encode(substr(text, 1, 50))) % 8)::INTEGER AS class_id FROM documents, (SELECT unnest([0, 1]) AS k) s")
+@query("m1_detect", "SELECT CAST(doc_id AS VARCHAR) AS image, s.k::INTEGER AS seq, (octet_length(encode(text)) % 8)::INTEGER AS class_id FROM documents, (SELECT unnest([0, 1]) AS k) s")
 def _(spark, sf):
     from palimpsest.operators.inference import detect
 

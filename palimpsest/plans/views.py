@@ -9,6 +9,7 @@ from palimpsest.functions.constants import OUTLIER_RATIO
 from palimpsest.functions.text import page_key
 from palimpsest.operators.curation import weighted_split
 from palimpsest.operators.scoring import normalized, too_long
+from palimpsest.session import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,16 +17,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _spoilt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``subfolder, stem, prediction, reference``: a text's start, and the same spoilt by the document's number."""
-    t = F.regexp_replace(F.substring("text", 1, 300), r"[^\x00-\x7F]", "")
-    df = table(spark, sf_dir, "documents").select(F.col("lang").alias("subfolder"), F.col("doc_id").cast("string").alias("stem"), (F.col("doc_id") % 6).alias("m"), t.alias("t"))
+    """``subfolder, stem, prediction, reference``: a whole text, and the same spoilt by the document's number."""
+    df = spread(table(spark, sf_dir, "documents").select(F.col("lang").alias("subfolder"), F.col("doc_id").cast("string").alias("stem"), (F.col("doc_id") % 6).alias("m"), F.col("text").alias("t")))
     t = F.col("t")
     spoilt = (
         F.when(F.col("m") == 1, F.translate(t, "aeiou", "eaoiu"))
         .when(F.col("m") == 2, F.replace(t, F.lit(" the "), F.lit(" ")))
         .when(F.col("m") == 3, F.concat(F.substring(t, 1, 100), F.lit(" lorem ipsum dolor sit "), F.expr("substring(t, 101)")))
         .when(F.col("m") == 4, F.replace(t, F.lit(" "), F.lit("")))
-        .when(F.col("m") == 5, F.substring(t, 1, 150))
+        .when(F.col("m") == 5, F.expr("substring(t, 1, char_length(t) div 2)"))
         .otherwise(t)
     )
     return df.select("subfolder", "stem", spoilt.alias("prediction"), t.alias("reference"))
@@ -54,10 +54,10 @@ def normalize_sql(x: str) -> str:
 
 RAW_PAIRS_SQL = r"""
 raw_pairs AS (
-  SELECT lang AS subfolder, CAST(doc_id AS VARCHAR) AS stem, t AS reference,
-    CASE doc_id % 6 WHEN 1 THEN translate(t, 'aeiou', 'eaoiu') WHEN 2 THEN replace(t, ' the ', ' ')
-      WHEN 3 THEN substr(t, 1, 100) || ' lorem ipsum dolor sit ' || substr(t, 101) WHEN 4 THEN replace(t, ' ', '') WHEN 5 THEN substr(t, 1, 150) ELSE t END AS prediction
-  FROM (SELECT doc_id, lang, regexp_replace(substr(text, 1, 300), '[^\x00-\x7F]', '', 'g') AS t FROM documents)
+  SELECT lang AS subfolder, CAST(doc_id AS VARCHAR) AS stem, text AS reference,
+    CASE doc_id % 6 WHEN 1 THEN translate(text, 'aeiou', 'eaoiu') WHEN 2 THEN replace(text, ' the ', ' ')
+      WHEN 3 THEN substr(text, 1, 100) || ' lorem ipsum dolor sit ' || substr(text, 101) WHEN 4 THEN replace(text, ' ', '') WHEN 5 THEN substr(text, 1, length(text) // 2) ELSE text END AS prediction
+  FROM documents
 )"""
 PAIRS_SQL = f"""{RAW_PAIRS_SQL}, normal_pairs AS (
   SELECT subfolder, stem, {normalize_sql('prediction')} AS prediction, {normalize_sql('reference')} AS reference FROM raw_pairs
@@ -65,25 +65,30 @@ PAIRS_SQL = f"""{RAW_PAIRS_SQL}, normal_pairs AS (
   SELECT * FROM normal_pairs WHERE prediction <> '' AND reference <> '' AND length(prediction)::DOUBLE / greatest(length(reference), 1) <= 10.0
 )"""
 
+# DuckDB's levenshtein counts bytes: letters beyond ASCII become control characters that no text has
+LETTERS_SQL = """letters AS (
+  SELECT coalesce(string_agg(c, '' ORDER BY c), '') AS odd, array_to_string(list_transform(list_concat(range(1, 9), range(14, 28), [127]), lambda i: chr(i::INTEGER)), '') AS plain
+  FROM (SELECT DISTINCT unnest(regexp_extract_all(text, '[^\\x00-\\x7F]')) AS c FROM documents)
+)"""
+SPELT_SQL = f"""{PAIRS_SQL}, {LETTERS_SQL}, spelt AS (
+  SELECT subfolder, stem, translate(prediction, odd, plain) AS prediction, translate(reference, odd, plain) AS reference FROM pairs, letters
+)"""
+
 
-def word_distance_sql(r: str, h: str) -> str:
-    known = f"list_distinct(list_concat({r}, {h}))"
-    spell = lambda w: f"array_to_string(list_transform({w}, lambda x: chr(CAST(list_position({known}, x) AS INTEGER))), '')"
-    return f"levenshtein({spell(r)}, {spell(h)})"
+def distance_sql(r: str, h: str) -> str:
+    return f"CASE WHEN {r} = {h} THEN 0 WHEN starts_with({r}, {h}) THEN length({r}) - length({h}) ELSE levenshtein({r}, {h}) END"
 
 
-ITEMS_SQL = f"""{PAIRS_SQL}, split_pairs AS (
-  SELECT *, list_filter(string_split(reference, ' '), lambda w: w <> '') AS r, list_filter(string_split(prediction, ' '), lambda w: w <> '') AS h FROM pairs
-), raw_items AS (
-  SELECT subfolder, stem AS filename, levenshtein(reference, prediction) AS e, length(reference) AS c, {word_distance_sql('r', 'h')} AS we, len(r) AS w, prediction = reference AS same FROM split_pairs
+ITEMS_SQL = f"""{SPELT_SQL}, raw_items AS MATERIALIZED (
+  SELECT subfolder, stem AS filename, {distance_sql('reference', 'prediction')} AS e, length(reference) AS c, prediction = reference AS same FROM spelt
 ), items AS (
-  SELECT subfolder, filename, least(e::DOUBLE / c, 1.0) AS cer, least(we::DOUBLE / w, 1.0) AS wer, CAST(e AS INTEGER) AS levenshtein, CAST(same AS DOUBLE) AS exact_match FROM raw_items
+  SELECT subfolder, filename, least(e::DOUBLE / c, 1.0) AS cer, CAST(e AS INTEGER) AS levenshtein, CAST(same AS DOUBLE) AS exact_match FROM raw_items
 )"""
 
 
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``image, bid, cls, x, y, w, h`` of the truth, with the keys that spoil it."""
-    li = table(spark, sf_dir, "lineitem").filter("l_orderkey % 5 = 0")
+    li = table(spark, sf_dir, "lineitem")
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
     return li.select(
         F.col("l_orderkey").alias("image"), F.row_number().over(order).cast("long").alias("bid"), (F.col("l_partkey") % 3).alias("cls"),
@@ -106,7 +111,7 @@ BOXES_SQL = """
 boxes AS (
   SELECT l_orderkey AS image, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS bid,
     l_partkey % 3 AS cls, l_partkey * 37 % 900 AS x, l_suppkey * 53 % 1200 AS y, CAST(trunc(40 + 4 * l_quantity) AS BIGINT) AS w, CAST(trunc(60 + l_quantity) AS BIGINT) AS h, l_partkey, l_suppkey
-  FROM lineitem WHERE l_orderkey % 5 = 0
+  FROM lineitem
 ), truth AS (
   SELECT image, bid, cls, x, y, w, h FROM boxes
 ), found AS (
@@ -128,7 +133,7 @@ def crops(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").select("doc_id").distinct().withColumn("has_label", F.lit(True))
     df = docs.join(labels, "doc_id", "left")
     filename = F.concat("source", F.lit("_"), F.lpad((F.col("doc_id") % 97).cast("string"), 4, "0"), F.lit("_"), F.col("doc_id").cast("string"), F.lit(".jpg"))
-    df = df.select(filename.alias("filename"), F.col("lang").alias("subfolder"), F.when(F.col("has_label"), F.substring("text", 1, 40)).alias("text"), "doc_id")
+    df = df.select(filename.alias("filename"), F.col("lang").alias("subfolder"), F.when(F.col("has_label"), F.col("text")).alias("text"), "doc_id")
     df = df.withColumn("page", page_key(F.col("filename"))).withColumn("split", weighted_split(F.concat("page", (F.col("doc_id") % 2).cast("string"))))
     return df.withColumn("path", F.concat_ws("/", "split", F.lit("images"), "subfolder", "filename"))
 
@@ -147,7 +152,7 @@ def split_sql(key: str, seed: int = 42) -> str:
 CROPS_SQL = f"""
 named AS (
   SELECT d.doc_id, source || '_' || lpad(CAST(d.doc_id % 97 AS VARCHAR), 4, '0') || '_' || d.doc_id || '.jpg' AS filename, lang AS subfolder,
-    CASE WHEN l.doc_id IS NOT NULL THEN substr(text, 1, 40) END AS text
+    CASE WHEN l.doc_id IS NOT NULL THEN text END AS text
   FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON d.doc_id = l.doc_id
 ), paged AS (
   SELECT *, regexp_replace(regexp_replace(filename, '\\.jpg$', ''), '_[0-9]+$', '') AS page FROM named

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.fs  # noqa: F401  makes pa.fs
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.functions.constants import SPLIT_WEIGHTS
-from palimpsest.operators.curation import not_done
+from palimpsest.operators.curation import has_splits, not_done
+from palimpsest.session import importable
 
 
 def with_default_split(annotations: DataFrame) -> DataFrame:
@@ -14,9 +19,10 @@ def with_default_split(annotations: DataFrame) -> DataFrame:
 
 
 def write_annotations(annotations: DataFrame, path: str) -> None:
-    """A folder for each split; rows without one are train. Splits without rows get an empty folder's row of none."""
-    with_default_split(annotations).write.mode("overwrite").partitionBy("split").json(path)
-    there = {r["split"] for r in with_default_split(annotations).select("split").distinct().limit(100).collect()}
+    """A folder for each split; rows without one are train. Of the standard splits those without rows get an empty folder."""
+    rows = with_default_split(annotations)
+    there = has_splits(rows, list(SPLIT_WEIGHTS))
+    rows.write.mode("overwrite").partitionBy("split").json(path)
     for split in set(SPLIT_WEIGHTS) - there:
         annotations.drop("split").limit(0).write.mode("overwrite").json(f"{path}/split={split}")
 
@@ -26,9 +32,80 @@ def write_manifest(rows: DataFrame, path: str) -> None:
     rows.select("image", "region", "text").write.mode("overwrite").json(path)
 
 
-def write_report(report: DataFrame, path: str) -> None:
-    """The report's one JSON text."""
+def write_report(report: DataFrame, path: str, items: DataFrame | None = None) -> None:
+    """The report's one JSON text, and the items it is of as JSON lines in ``<path>-items``."""
     report.select(F.col(report.columns[0]).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+    if items is not None:
+        items.write.mode("overwrite").json(f"{path}-items")
+
+
+def _at(base: str) -> tuple[pa.fs.FileSystem, str]:
+    """The file system of a path or URI, and the path there."""
+    return pa.fs.FileSystem.from_uri(base) if "://" in base or base.startswith("file:") else (pa.fs.LocalFileSystem(), base)
+
+
+def write_texts(rows: DataFrame, base: str, extension: str = ".md") -> DataFrame:
+    """Writes ``rows(subfolder, stem, text)`` as ``<base>/<subfolder>/<stem><extension>``, one file each, where none with
+    bytes is there, and gives ``path, written``. Executors write side by side; a task that runs again finds its files."""
+    importable(rows.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = _at(base)
+        for batch in batches:
+            paths, written = [], []
+            for folder, stem, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                place = "/".join(x for x in (root.rstrip("/"), folder, f"{stem}{extension}") if x)
+                fresh = not store.get_file_info(place).size
+                if fresh:
+                    store.create_dir(place.rpartition("/")[0], recursive=True)
+                    with store.open_output_stream(f"{place}.part") as out:
+                        out.write((text or "").encode())
+                    store.move(f"{place}.part", place)
+                paths.append(place)
+                written.append(fresh)
+            yield pa.record_batch([pa.array(paths, pa.string()), pa.array(written, pa.bool_())], names=["path", "written"])
+
+    return rows.select("subfolder", "stem", "text").mapInArrow(run, "path string, written boolean")
+
+
+def copy_files(files: DataFrame, source: str, target: str, suffixes: list[str] | None = None) -> DataFrame:
+    """Copies ``files(path, length)`` below ``source`` (a download or upload of a prefix) to the same places below ``target``,
+    those with the suffixes, and gives ``path, copied``; files of the same size that are there already stay."""
+    importable(files.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (here, root), (there, out) = _at(source), _at(target)
+        for batch in batches:
+            done = []
+            for path, size in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                rel = path.split(root.rstrip("/") + "/", 1)[-1]
+                place = f"{out.rstrip('/')}/{rel}"
+                fresh = there.get_file_info(place).size != size
+                if fresh:
+                    there.create_dir(place.rpartition("/")[0], recursive=True)
+                    with here.open_input_stream(f"{root.rstrip('/')}/{rel}") as a, there.open_output_stream(place) as b:
+                        while block := a.read(1 << 22):
+                            b.write(block)
+                done.append(fresh)
+            yield pa.record_batch([batch.column(0), pa.array(done, pa.bool_())], names=["path", "copied"])
+
+    chosen = with_suffixes(files, suffixes).select(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))).alias("path"), "length")
+    return chosen.mapInArrow(run, "path string, copied boolean")
+
+
+def delete_tree(spark: SparkSession, path: str) -> bool:
+    """Deletes a folder and all below it; false where there was none."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def metrics_text(report: DataFrame) -> str:
+    """The table of ``scoring.report`` as text: a line for each group, the whole last."""
+    rows = report.orderBy("is_total", "subfolder").collect()  # one row for each group
+    width = max([8, *(len(r["subfolder"] or "") for r in rows)])
+    head = f"{'group':<{width}} {'n':>8} {'cer':>8} {'median':>8} {'wer':>8} {'lev':>8} {'exact':>7}"
+    line = lambda r: f"{'ALL' if r['is_total'] else r['subfolder'] or '':<{width}} {r['n']:>8} {r['cer_mean']:>8.4f} {r['cer_median']:>8.4f} {r['wer_mean']:>8.4f} {r['lev_mean']:>8.1f} {r['exact_pct']:>6.1f}%"
+    return "\n".join([head, "-" * len(head), *map(line, rows)]) + "\n"
 
 
 def append_transcripts(rows: DataFrame, path: str, key: str = "path") -> None:
