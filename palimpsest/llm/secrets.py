@@ -18,14 +18,25 @@ from palimpsest.llm.base import map_arrow, pick
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40})PRIVATE KEY-----([A-Za-z0-9+/=\s]{16,})-----END \1PRIVATE KEY-----")
+PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40})PRIVATE KEY-----((?:[^-]|-(?!----)){16,}?)-----END \1PRIVATE KEY-----")
 TOKEN = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
 BLOB = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}={0,2}")
+#: a further line of a blob that is broken over lines
+WRAPPED = re.compile(r"\r?\n[ \t]*([A-Za-z0-9+/_-]+={0,2})(?![A-Za-z0-9+/_=-])")
+#: a header line of an old key file, and what of it tells how the key is encrypted
+HEADER = re.compile(r"(?m)^[ \t]*[A-Za-z-]+: [^\n]*$")
+SEALED = re.compile(r"DEK-Info: [A-Z0-9-]+,([0-9A-Fa-f]{16}|[0-9A-Fa-f]{32})\s")
 HEX_BLOB = re.compile(r"(?<![0-9A-Za-z])(?:[0-9A-Fa-f]{2}){24,}(?![0-9A-Za-z])")
 #: in the order in which spans at the same place are listed
 KINDS = ("assign", "access", "hex", "pem", "jwt", "key64", "keyhex")
 SSH_MAGIC = b"openssh-key-v1\0"
-KEY_OIDS = (b"\x2a\x86\x48\x86\xf7\x0d\x01\x01", b"\x2a\x86\x48\xce\x3d\x02\x01", b"\x2b\x65\x70", b"\x2b\x65\x6e", b"\x2b\x65\x71", b"\x2a\x86\x48\xce\x38\x04\x01")  # rsa, ec, ed25519, x25519, ed448, dsa
+# Object identifiers of key kinds, and of ways to encrypt a key (by how they begin), as DER has them.
+RSA, RSA_PSS = bytes.fromhex("2a864886f70d010101"), bytes.fromhex("2a864886f70d01010a")
+EC, DSA = bytes.fromhex("2a8648ce3d0201"), bytes.fromhex("2a8648ce380401")
+CURVES = {bytes.fromhex("2b656e"): 32, bytes.fromhex("2b656f"): 56, bytes.fromhex("2b6570"): 32, bytes.fromhex("2b6571"): 57}  # x25519, x448, ed25519, ed448: bytes of a key
+SEALS = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01"))
+# Bytes of a token's signature by algorithm.
+SIGNATURES = {"HS256": (32,), "HS384": (48,), "HS512": (64,), "ES256": (64,), "ES384": (96,), "ES512": (132,), "EDDSA": (64, 114)}
 WORDS = ("passw", "secret", "token", "api")
 
 
@@ -71,13 +82,79 @@ def der(data: bytes, at: int = 0, end: int | None = None, depth: int = 0) -> lis
     return out
 
 
+def _is_rsa(parts: list) -> bool:
+    """Version, modulus, two exponents, two primes, two exponents, a coefficient."""
+    return len(parts) >= 9 and all(t == 2 and v for t, v in parts[:9]) and parts[0][1] in (b"\0", b"\1") and len(parts[1][1]) >= 32
+
+
+def _is_ec(parts: list) -> bool:
+    """Version, scalar, and perhaps a curve and a point."""
+    return [t for t, _ in parts[:2]] == [2, 4] and parts[0][1] == b"\1" and 20 <= len(parts[1][1]) <= 66 and all(t in (0xA0, 0xA1) for t, _ in parts[2:])
+
+
+def _holds(kind: bytes, raw: bytes) -> bool:
+    """Whether a key's octets are a key of that kind."""
+    inner = der(raw)
+    if not inner or len(inner) != 1:
+        return False
+    tag, value = inner[0]
+    if kind in (RSA, RSA_PSS):
+        return tag == 0x30 and _is_rsa(value)
+    if kind == EC:
+        return tag == 0x30 and _is_ec(value)
+    if kind == DSA:
+        return tag == 2 and len(value) >= 16
+    return tag == 4 and len(value) == CURVES.get(kind)
+
+
+def fields(data: bytes, at: int = 0, most: int | None = None) -> tuple[list[bytes], int] | None:
+    """Up to ``most`` strings with 4-byte lengths from ``at`` on, and where they end; None if one doesn't fit."""
+    out: list[bytes] = []
+    while at < len(data) and (most is None or len(out) < most):
+        end = at + 4 + int.from_bytes(data[at : at + 4], "big")
+        if at + 4 > len(data) or end > len(data):
+            return None
+        out.append(data[at + 4 : end])
+        at = end
+    return out, at
+
+
+def is_ssh_container(data: bytes) -> bool:
+    """Cipher, derivation and options, how many keys, each one's public form, and the private part, which ends the data."""
+    got = fields(data, len(SSH_MAGIC), 3)
+    if not got or len(got[0]) < 3:
+        return False
+    (cipher, kdf, options), at = got
+    n = int.from_bytes(data[at : at + 4], "big")
+    got = fields(data, at + 4) if 1 <= n <= 16 else None
+    if not got or len(got[0]) != n + 1:
+        return False
+    *public, private = got[0]
+    if not all((inner := fields(key)) and len(inner[0]) >= 2 and inner[0][0].isascii() and inner[0][0] for key in public):
+        return False
+    if cipher != b"none":
+        salt = fields(options, 0, 1)  # a salt, then the rounds as a number
+        return len(private) >= 16 and len(private) % 8 == 0 and kdf != b"none" and salt is not None and salt[1] + 4 == len(options)
+    if kdf != b"none" or options or len(private) < 8 or private[:4] != private[4:8]:
+        return False
+    body = private[8:]
+    for pad in range(256):  # 1, 2, 3 ... up to a whole block
+        if pad and (len(body) < pad or body[-pad:] != bytes(range(1, pad + 1))):
+            if pad > 16:
+                return False
+            continue
+        inner = fields(body[: len(body) - pad])
+        if inner and len(inner[0]) >= 3 * n and any(x == fields(public[0])[0][0] for x in inner[0]):
+            return True
+        if pad > 16:
+            return False
+    return False
+
+
 def is_private_key(data: bytes) -> bool:
-    """A private key's encoding: PKCS#1, PKCS#8 (plain or encrypted), SEC1 or the OpenSSH container."""
+    """A private key's encoding: PKCS#1, PKCS#8 (plain or encrypted), SEC1 or the OpenSSH container, all nested lengths right."""
     if data.startswith(SSH_MAGIC):
-        at, fields = len(SSH_MAGIC), 0
-        while at + 4 <= len(data) and fields < 3:  # cipher, key derivation, its options
-            at, fields = at + 4 + int.from_bytes(data[at : at + 4], "big"), fields + 1
-        return fields == 3 and at + 4 <= len(data) and 1 <= int.from_bytes(data[at : at + 4], "big") <= 16
+        return is_ssh_container(data)
     if data[:1] != b"\x30":
         return False
     top = der(data)
@@ -85,13 +162,50 @@ def is_private_key(data: bytes) -> bool:
         return False
     parts = top[0][1]
     tags = [t for t, _ in parts]
-    if len(parts) >= 9 and all(t == 2 for t in tags[:9]):  # version, modulus, exponents, primes ...
-        return len(parts[1][1]) >= 32
+    if _is_rsa(parts):
+        return True
     if tags[:3] == [2, 0x30, 4] and parts[0][1] in (b"\0", b"\1"):  # version, algorithm, key
-        return any(t == 6 and v in KEY_OIDS for t, v in parts[1][1]) and der(parts[2][1]) is not None
-    if tags[:2] == [2, 4] and parts[0][1] == b"\1":  # version, scalar
-        return len(parts[1][1]) >= 20 and all(t in (0xA0, 0xA1) for t in tags[2:]) and len(tags) > 2
-    return tags == [0x30, 4] and any(t == 6 for t, _ in parts[0][1]) and len(parts[1][1]) % 8 == 0 and len(parts[1][1]) >= 40
+        return bool(parts[1][1]) and parts[1][1][0][0] == 6 and _holds(parts[1][1][0][1], parts[2][1])
+    if _is_ec(parts):
+        return len(parts) > 2
+    sealed = tags == [0x30, 4] and bool(parts[0][1]) and parts[0][1][0][0] == 6 and parts[0][1][0][1].startswith(SEALS)
+    return sealed and len(parts[1][1]) % 8 == 0 and len(parts[1][1]) >= 40
+
+
+def is_key_file(body: str) -> bool:
+    """What stands between the marks of a key file: base64 with line ends, also escaped ones, and header lines."""
+    body = body.replace("\\r", "").replace("\\n", "\n").replace("\\", "")
+    sealed = SEALED.search(body)
+    raw = decoded("".join(HEADER.sub("", body).split()))
+    if not raw:
+        return False
+    return len(raw) >= 32 and len(raw) % (len(sealed[1]) // 2) == 0 if sealed else is_private_key(raw)
+
+
+def whole_length(head: str) -> int | None:
+    """Characters of base64 that the encoding takes which begins so, by its outermost length."""
+    raw = decoded(head[:16]) or b""
+    if len(raw) < 6 or raw[0] != 0x30:
+        return None
+    n = raw[1] & 0x7F if raw[1] & 0x80 else 0
+    if n > 4:
+        return None
+    size = 2 + n + (int.from_bytes(raw[2 : 2 + n], "big") if n else raw[1])
+    return -(-size * 4 // 3)
+
+
+def joined(text: str, match: re.Match) -> tuple[str, int]:
+    """A blob with the lines it goes on in, where its own length says that it does, and where it ends."""
+    blob, end, head = match[0], match.end(), match[0][:16]
+    ssh = blob.startswith("b3BlbnNz")
+    need = None if ssh else whole_length(head)
+    while (ssh or (need is not None and len(blob.rstrip("=")) < need)) and not blob.endswith("=") and (more := WRAPPED.match(text, end)):
+        if len(more[1]) > len(match[0]):
+            break
+        blob, end = blob + more[1], more.end()
+        if ssh and len(more[1]) < len(match[0]):
+            break
+    return blob, end
 
 
 def decoded(text: str) -> bytes | None:
@@ -103,7 +217,7 @@ def decoded(text: str) -> bytes | None:
 
 
 def is_signed_token(text: str) -> bool:
-    """A header with an algorithm, a body that is an object, and a signature unless the algorithm is none."""
+    """A header with an algorithm, a body that is an object, and a signature of that algorithm's length (none for none)."""
     head, body, signature = text.split(".")
     try:
         header, claims = (json.loads(decoded(x) or b"") for x in (head, body))
@@ -111,25 +225,31 @@ def is_signed_token(text: str) -> bool:
         return False
     if not (isinstance(header, dict) and isinstance(header.get("alg"), str) and isinstance(claims, dict)):
         return False
-    raw = decoded(signature) if signature else b""
-    return raw is not None and (len(raw) >= 16 or header["alg"].lower() == "none")
+    raw, algorithm = decoded(signature) if signature else b"", header["alg"].upper()
+    if raw is None:
+        return False
+    if algorithm == "NONE":
+        return not raw
+    if algorithm in SIGNATURES:
+        return len(raw) in SIGNATURES[algorithm]
+    return len(raw) >= (128 if algorithm[:2] in ("RS", "PS") else 16)
 
 
 def found_spans(text: str) -> list[tuple[int, int, str]]:
     """What the patterns of encoded keys and tokens find and their decoded structure confirms."""
     out = []
     if "PRIVATE KEY-----" in text:
-        for m in PEM.finditer(text):
-            raw = decoded("".join(m[2].split()))
-            if raw and is_private_key(raw):
-                out.append((m.start(), m.end(), "pem"))
+        out += [(m.start(), m.end(), "pem") for m in PEM.finditer(text) if is_key_file(m[2])]
     if "eyJ" in text:
         out += [(m.start(), m.end(), "jwt") for m in TOKEN.finditer(text) if is_signed_token(m[0])]
+    done = 0
     for m in BLOB.finditer(text):
-        if m[0][0] == "M" or m[0].startswith("b3BlbnNz"):
-            raw = decoded(m[0])
+        if m.start() >= done and (m[0][0] == "M" or m[0].startswith("b3BlbnNz")):
+            blob, end = joined(text, m)
+            raw = decoded(blob)
             if raw and is_private_key(raw) and not any(kind == "pem" and a <= m.start() < b for a, b, kind in out):
-                out.append((m.start(), m.end(), "key64"))
+                out.append((m.start(), end, "key64"))
+                done = end
     for m in HEX_BLOB.finditer(text):
         raw = bytes.fromhex(m[0])
         if is_private_key(raw):
@@ -168,7 +288,8 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
 
     Spans are ``kind:start:end`` in code points, by start, then kind. Kinds beyond the three of the base are reported only
     where the decoded bytes parse as a private key (nested lengths must all fit) or a signed token. A null or empty text
-    has no spans. Repeated rows are scanned each; texts are scanned whole, however long.
+    has no spans. Repeated rows are scanned each; texts are scanned whole, however long. An empty table gives none; other
+    columns, also with clashing names, are left. Of spans that begin together the order of ``KINDS`` holds.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

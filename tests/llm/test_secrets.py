@@ -4,7 +4,7 @@ import json
 import re
 
 from palimpsest.llm.queries import QUERIES
-from palimpsest.llm.secrets import der, is_private_key, is_signed_token, listed, scan_secrets
+from palimpsest.llm.secrets import der, found_spans, is_private_key, is_signed_token, listed, scan_secrets
 from tests.llm.helpers import DOC_SCHEMA, EDGE_TEXTS, edge_docs, empty_docs
 
 
@@ -14,9 +14,45 @@ def tlv(tag, *parts):
     return bytes([tag]) + size + body
 
 
-ED25519 = tlv(0x30, tlv(2, b"\0"), tlv(0x30, tlv(6, b"\x2b\x65\x70")), tlv(4, tlv(4, bytes(range(32)))))
+def oid(text):
+    first, second, *rest = map(int, text.split("."))
+    out = bytes([40 * first + second])
+    for x in rest:
+        part = bytes([x & 0x7F])
+        while x := x >> 7:
+            part = bytes([x & 0x7F | 0x80]) + part
+        out += part
+    return tlv(6, out)
+
+
+def string(x):
+    return len(x).to_bytes(4, "big") + x
+
+
+def pkcs8(kind, inner, *parameters):
+    return tlv(0x30, tlv(2, b"\0"), tlv(0x30, oid(kind), *parameters), tlv(4, inner))
+
+
+def ssh(kind=b"ssh-ed25519", cipher=b"none", private=None):
+    public = string(kind) + string(bytes(32))
+    if private is None:
+        private = b"\1\2\3\4" * 2 + string(kind) + string(bytes(32)) + string(bytes(range(64))) + string(b"me@here")
+        private += bytes(range(1, 1 + -len(private) % 8))
+    kdf, options = (b"none", b"") if cipher == b"none" else (b"bcrypt", string(b"s" * 16) + (16).to_bytes(4, "big"))
+    return b"openssh-key-v1\0" + string(cipher) + string(kdf) + string(options) + (1).to_bytes(4, "big") + string(public) + string(private)
+
+
+ED25519 = pkcs8("1.3.101.112", tlv(4, bytes(range(32))))
 RSA = tlv(0x30, tlv(2, b"\0"), tlv(2, b"\1" * 128), tlv(2, b"\1\0\1"), *[tlv(2, b"\2" * 64)] * 6)
-SSH = b"openssh-key-v1\0" + b"".join(len(x).to_bytes(4, "big") + x for x in (b"none", b"none", b"")) + (1).to_bytes(4, "big") + b"\0" * 40
+SEC1 = tlv(0x30, tlv(2, b"\1"), tlv(4, bytes(range(32))), tlv(0xA0, oid("1.2.840.10045.3.1.7")), tlv(0xA1, tlv(3, bytes(66))))
+SSH = ssh()
+KEYS = {
+    "rsa": RSA, "sec1": SEC1, "ssh": SSH, "ssh sealed": ssh(cipher=b"aes256-ctr", private=bytes(128)), "ed25519": ED25519,
+    "rsa in pkcs8": pkcs8("1.2.840.113549.1.1.1", RSA, tlv(5)), "rsa-pss": pkcs8("1.2.840.113549.1.1.10", RSA), "ec": pkcs8("1.2.840.10045.2.1", SEC1, oid("1.2.840.10045.3.1.7")),
+    "x25519": pkcs8("1.3.101.110", tlv(4, bytes(32))), "x448": pkcs8("1.3.101.111", tlv(4, bytes(56))), "ed448": pkcs8("1.3.101.113", tlv(4, bytes(57))),
+    "dsa": pkcs8("1.2.840.10040.4.1", tlv(2, b"\1" * 20), tlv(0x30, tlv(2, b"\1" * 64), tlv(2, b"\1" * 20), tlv(2, b"\1" * 64))),
+    "sealed": tlv(0x30, tlv(0x30, oid("1.2.840.113549.1.5.13"), tlv(0x30, tlv(4, b"salt"))), tlv(4, bytes(64))),
+}
 PUBLIC = tlv(0x30, tlv(0x30, tlv(6, b"\x2b\x65\x70")), tlv(3, bytes(33)))
 
 
@@ -59,6 +95,56 @@ def test_der_lengths_must_fit():
     assert der(b"\x30\x82" * 40) is None
 
 
+def wrapped(text, width=64, end="\n"):
+    return end.join(text[i : i + width] for i in range(0, len(text), width))
+
+
+def kinds_in(text):
+    return [(kind, text[start:end]) for start, end, kind in found_spans(text)]
+
+
+def test_keys_of_every_kind_in_every_form():
+    for name, key in KEYS.items():
+        body = b64(key)
+        assert is_private_key(key), name
+        for end in ("\n", "\\n", "\r\n"):
+            pem = f"-----BEGIN PRIVATE KEY-----{end}{wrapped(body, end=end)}{end}-----END PRIVATE KEY-----"
+            assert kinds_in(f'x "{pem}" y') == [("pem", pem)], name
+        assert kinds_in(f"a {body} b") == [("key64", body)], name
+        assert kinds_in(f"a\n{wrapped(body)}\nb c") == [("key64", wrapped(body))], name
+        url = body.replace("+", "-").replace("/", "_").rstrip("=")
+        assert kinds_in(f"a {url} b") == [("key64", url)], name
+        assert kinds_in(f"a {key.hex()} b") == [("keyhex", key.hex())], name
+
+
+def test_damaged_keys_are_not_found():
+    for name, key in KEYS.items():
+        bodies = [key[:-1], key[: len(key) // 2], key + b"\0", key[:1] + bytes([key[1] ^ 1]) + key[2:]]
+        if name != "ssh sealed" and not name.startswith("ssh"):
+            inner = key.index(b"\x04" if name != "rsa" else b"\x02", 4) + 1  # a nested length
+            bodies.append(key[:inner] + bytes([key[inner] ^ 3]) + key[inner + 1 :])
+        else:
+            bodies += [key[:15] + (5).to_bytes(4, "big") + key[19:], key.replace((1).to_bytes(4, "big"), (2).to_bytes(4, "big"), 1)]
+        for k, damaged in enumerate(bodies):
+            assert not is_private_key(damaged), (name, k)
+            pem = f"-----BEGIN PRIVATE KEY-----\n{b64(damaged) if k == 2 else wrapped(b64(damaged))}\n-----END PRIVATE KEY-----"  # a whole key may end with a line
+            assert kinds_in(f"a {b64(damaged)} b") == [] == kinds_in(pem), (name, k)
+    assert kinds_in("-----BEGIN PRIVATE KEY-----\n" + wrapped(b64(RSA))[:-30]) == []
+
+
+def test_old_sealed_key_files():
+    head = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00112233445566778899AABBCCDDEEFF\n\n"
+    pem = lambda body: f"-----BEGIN RSA PRIVATE KEY-----\n{head}{wrapped(body)}\n-----END RSA PRIVATE KEY-----"
+    assert kinds_in(pem(b64(bytes(160)))) == [("pem", pem(b64(bytes(160))))] and kinds_in(pem(b64(bytes(161)))) == []
+    plain = f"-----BEGIN RSA PRIVATE KEY-----\nComment: mine\n{wrapped(b64(RSA))}\n-----END RSA PRIVATE KEY-----"
+    assert kinds_in(plain) == [("pem", plain)]
+
+
+def test_a_text_of_some_megabytes():
+    text = "word " * 600_000 + b64(ED25519) + " A" * 1_000_000
+    assert kinds_in(text) == [("key64", b64(ED25519))]
+
+
 def test_signed_tokens():
     assert is_signed_token(jwt({"alg": "HS256"}))
     assert not is_signed_token(jwt({"typ": "JWT"})) and not is_signed_token(jwt({"alg": "HS256"}, signature=b"")) and not is_signed_token("eyJhbGci.eyJ.x")
