@@ -11,7 +11,8 @@ from palimpsest.session import stash
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST_EPOCHS = 2.0
-ROWS_A_BUCKET = 2_000
+#: rows of a bucket where the buckets are few; beyond MOST_BUCKETS they grow instead, as one task adds up a source's buckets
+ROWS_A_BUCKET, MOST_BUCKETS = 250, 65_536
 
 
 def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST_EPOCHS) -> DataFrame:
@@ -44,6 +45,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     random key, equal in expectation, so a source with a third of all rows is sorted by many tasks; prefix sums are within
     a bucket plus what earlier buckets of the source hold. Equal keys fall back on doc_id and the text's hash, so reruns
     agree. Null or empty texts have size 0 and are never taken; null sources are one source, last in order; an empty table gives none.
+    Texts are counted whole however long; columns other than the three, also ones with clashing names, are left. Rows
+    repeated whole are taken each. One task orders the sources and their totals: a row of three numbers for each source.
     """
     sized = pick(docs, "doc_id", "text", "source").select(
         "doc_id",
@@ -53,7 +56,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     )
     sized = stash(sized, "sizes")
     rows = sized.count()
-    buckets = max(1, -(-rows // ROWS_A_BUCKET))
+    buckets = min(MOST_BUCKETS, max(1, -(-rows // ROWS_A_BUCKET)))
     keyed = sized.withColumn("bucket", F.expr(f"cast(pmod(shiftrightunsigned(h, 20), {buckets}) as int)"))
     width = ["source", "bucket"]
     in_bucket = Window.partitionBy(*width).orderBy("h", "doc_id")
