@@ -23,16 +23,17 @@ from palimpsest.session import stash
 
 CAPACITY = 2048
 GROUPS = 96
-ROWS_A_BUCKET = 20_000
+#: rows of a bucket where the buckets are few; beyond MOST_BUCKETS they grow instead, as one task adds up the buckets of a length
+ROWS_A_BUCKET, MOST_BUCKETS = 1_000, 65_536
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
     """``doc_id, row_id, piece, start, length, ids_crc32``: each document's ids with ``end_id`` behind, cut only where longer than ``capacity``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = word_ids(tokenizer, "spaceless")
+        encoder = word_ids(tokenizer)
         for batch in batches:
-            ids, lens = encoder.encode(batch.column(1).to_pylist())
+            ids, lens = encoder.encode(batch.column(1))
             out: list[tuple] = []
             at = 0
             for doc_id, row_id, n in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), lens.tolist(), strict=True):
@@ -62,8 +63,61 @@ def ranked(df: DataFrame, key: str, buckets: int, spread: Column, *order: str) -
     return within.join(sums, [key, "bucket"]).withColumn("rank", F.col("before") + F.col("within")).drop("bucket", "before", "within")
 
 
+def fullest(sizes: list[int], values: np.ndarray, capacity: int) -> np.ndarray:
+    """How often each size is taken in the sequence of the largest value (sizes may repeat)."""
+    best, last = np.zeros(capacity + 1), np.full(capacity + 1, -1, np.int64)
+    for g, (size, value) in enumerate(zip(sizes, values.tolist(), strict=True)):
+        if value <= 1e-9:
+            continue
+        for _ in range(capacity // size):  # once more of the same size each time
+            new = best[: capacity + 1 - size] + value
+            better = np.flatnonzero(new > best[size:] + 1e-12)
+            if not len(better):
+                break
+            best[better + size] = new[better]
+            last[better + size] = g
+    out, at = np.zeros(len(sizes)), int(np.argmax(best))
+    while last[at] >= 0:
+        out[last[at]] += 1
+        at -= sizes[last[at]]
+    return out
+
+
+def optimised(sizes: list[int], wanted: list[int], capacity: int, rounds: int = 4_000) -> list[tuple[np.ndarray, float]]:
+    """Configurations and how often each is used in the least total that holds ``wanted`` pieces of each size: a linear
+    program by column generation, where the next configuration is the fullest one at the prices so far."""
+    m = len(sizes)
+    if not m:
+        return []
+    columns = np.diag([float(capacity // s) for s in sizes])
+    inverse, cost, x = np.linalg.inv(columns), np.ones(m), np.array(wanted, float) / np.diag(columns)
+    for _ in range(rounds):
+        prices = cost @ inverse
+        g = int(np.argmin(prices))
+        if prices[g] < -1e-9:  # more of this size than wanted costs nothing
+            column, price = -np.eye(m)[g], 0.0
+        else:
+            column, price = fullest(sizes, prices, capacity), 1.0
+            if prices @ column <= 1 + 1e-7:
+                break
+        along = inverse @ column
+        ratios = np.where(along > 1e-9, x / np.where(along > 1e-9, along, 1), np.inf)
+        out = int(np.argmin(ratios))
+        if not np.isfinite(ratios[out]):
+            break
+        step = max(0.0, float(ratios[out]))
+        x = x - step * along
+        x[out] = step
+        inverse[out] /= along[out]
+        others = np.arange(m) != out
+        inverse[others] -= np.outer(along[others], inverse[out])
+        columns[:, out], cost[out] = column, price
+    return [(columns[:, k], float(x[k])) for k in range(m) if cost[k] and x[k] >= 1]
+
+
 class Plan:
-    """Places for large pieces: linear grouping, then configurations of the few rounded sizes."""
+    """Places for large pieces: linear grouping, then the best configurations of the few rounded sizes, as often as whole
+    numbers allow; what is left over gets configurations one after the other."""
 
     def __init__(self, counts: np.ndarray, capacity: int, groups: int = GROUPS) -> None:
         """``counts[n]``: pieces of length n, all of them large."""
@@ -80,16 +134,42 @@ class Plan:
         left = np.diff(cuts).tolist()
         #: for each group: (slots before, first sequence, pieces of the group in a sequence)
         self.slots: list[list[tuple[int, int, int]]] = [[] for _ in sizes]
+        #: sequences of each configuration, and for each of its groups (group, slots before, pieces in a sequence)
+        self.configurations: list[tuple[int, list[tuple[int, int, int]]]] = []
+        self.lengths, self.ends = lengths, ends
         used, self.sequences = [0] * len(sizes), 0
+        best = [({int(g): int(config[g]) for g in np.flatnonzero(config)}, int(times + 1e-6)) for config, times in optimised(sizes, left, capacity)]
         while any(left):
-            config = self._configuration(left)
-            times = min(left[g] // k for g, k in config.items())
+            config, most = best.pop() if best else (self._configuration(left), 1 << 62)
+            times = min(most, *(left[g] // k for g, k in config.items())) if config else 0
+            if not times:
+                continue
+            self.configurations.append((times, [(g, used[g], k) for g, k in config.items()]))
             for g, k in config.items():
                 self.slots[g].append((used[g], self.sequences, k))
                 used[g] += k * times
                 left[g] -= k * times
             self.sequences += times
 
+    def rooms(self) -> np.ndarray:
+        """How many sequences have each room left once the actual pieces are in. A configuration's sequences are alike
+        between the ranks at which a length ends, so the work grows with lengths and configurations, not with pieces."""
+        out = np.zeros(self.capacity + 1, np.int64)
+        for times, held in self.configurations:
+            turns = [np.array([0])]
+            for g, before, k in held:
+                first = self.cuts[g] + before
+                inside = self.ends[np.searchsorted(self.ends, first, side="right") : np.searchsorted(self.ends, first + k * times)] - first
+                turns += [inside // k, inside // k + 1]
+            at = np.unique(np.concatenate(turns))
+            at = at[at < times]
+            total = np.zeros(len(at), np.int64)
+            for g, before, k in held:
+                ranks = self.cuts[g] + before + at[:, None] * k + np.arange(k)
+                total += self.lengths[np.searchsorted(self.ends, ranks, side="right")].sum(axis=1)
+            np.add.at(out, self.capacity - total, np.diff(np.append(at, times)))
+        return out
+
     def _configuration(self, left: list[int]) -> dict[int, int]:
         """The largest size left, and with it the sizes that fill the rest of a sequence best."""
         lead = next(g for g, n in enumerate(left) if n)
@@ -194,19 +274,33 @@ class SmallPlan:
         return rooms, at
 
 
+def planned(counts: np.ndarray, capacity: int = CAPACITY, groups: int = GROUPS, small: int | None = None) -> tuple[int, Plan]:
+    """The length up to which pieces are put by best fit, and the plan for those above.
+
+    Linear grouping for pieces above ``small`` (an eighth of the capacity unless given), or best fit for all of them where
+    that opens no more sequences: so never more than best fit, longest first.
+    """
+    small = capacity // 8 if small is None else small
+    is_large = np.arange(capacity + 1) > small
+    plan = Plan(np.where(is_large, counts, 0), capacity, groups)
+    grouped = plan.sequences + SmallPlan(np.where(is_large, 0, counts), plan.rooms(), capacity).opened
+    if SmallPlan(counts, np.zeros(capacity + 1, np.int64), capacity).opened <= grouped:
+        return capacity, Plan(np.zeros(capacity + 1, np.int64), capacity, groups)
+    return small, plan
+
+
 def pack(items: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS, small: int | None = None) -> DataFrame:
     """Adds ``sequence_id`` and ``offset`` to ``items(row_id, piece, length)``, each of 1 to ``capacity`` ids.
 
-    Pieces above ``small`` (an eighth of the capacity) are large. ``items`` is read several times: pass a written table.
+    ``planned`` says which pieces are placed how. ``items`` is read several times: pass a written table.
     An empty table gives an empty one; equal rows are ranked by row_id and piece and all placed.
     """
-    small = capacity // 8 if small is None else small
     counts = np.zeros(capacity + 1, np.int64)
     for row in items.groupBy("length").agg(F.count("*").alias("n")).collect():  # at most `capacity` rows
         counts[row["length"]] = row["n"]
-    buckets = max(1, -(-int(counts.sum()) // ROWS_A_BUCKET))
+    buckets = min(MOST_BUCKETS, max(1, -(-int(counts.sum()) // ROWS_A_BUCKET)))
+    small, plan = planned(counts, capacity, groups, small)
     is_large = np.arange(capacity + 1) > small
-    plan = Plan(np.where(is_large, counts, 0), capacity, groups)
     key = F.struct("row_id", "piece")
     with_rank = stash(ranked(items, "length", buckets, key, "row_id", "piece"), "ranks")
 
@@ -242,7 +336,8 @@ def pack(items: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS, small
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, groups: int = GROUPS) -> DataFrame:
     """One row for each piece: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset``.
 
-    A null or empty text is its end id alone. Repeated rows are packed each.
+    A null or empty text is its end id alone. Repeated rows are packed each. Texts are encoded whole however long; columns
+    other than the two, also ones with clashing names, are left. An empty table gives no piece.
     """
     items = stash(pieces(docs, tokenizer, capacity), "pieces")
     return pack(items, capacity, groups).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
