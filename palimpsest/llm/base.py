@@ -40,10 +40,25 @@ def text_of(col: str | Column = "text") -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 
 
+#: rows and bytes of text that a batch for Python has at most, about; one text is never cut
+BATCH_ROWS, BATCH_BYTES = 1_000, 1 << 24
+
+
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` with batches small enough for long texts."""
-    spark = df.sparkSession
-    importable(spark)
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > 1000:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    return df.mapInArrow(fn, schema)
+    """``mapInArrow`` in batches of bounded rows and bytes, whatever the session's own bounds are."""
+    importable(df.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return fn(part for batch in batches for part in bounded(batch))
+
+    return df.mapInArrow(run, schema)
+
+
+def bounded(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of at most ``BATCH_ROWS`` rows and about ``BATCH_BYTES`` bytes; an empty one as it is."""
+    rows = max(1, min(BATCH_ROWS, batch.num_rows * BATCH_BYTES // max(1, batch.nbytes)))
+    if batch.num_rows <= rows:
+        yield batch
+        return
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)

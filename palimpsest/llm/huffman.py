@@ -149,17 +149,28 @@ def part_of(value: Column, bounds: list[int]) -> Column:
     return F.coalesce(F.when(value.isNull(), 0).when(row >= len(rows), len(bounds)).otherwise(row * width + inside), F.lit(0)).cast("int")
 
 
-def write_ids(docs: DataFrame, tokenizer: str, path: str, end_id: int = 2, vocabulary: int = 50_257, frame_ids: int = 1 << 19) -> None:
+def ids_of(tokenizer: str) -> int:
+    """One more than the largest id a tokenizer gives."""
+    from tokenizers import Tokenizer
+
+    return max(Tokenizer.from_file(tokenizer).get_vocab().values()) + 1
+
+
+def write_ids(docs: DataFrame, tokenizer: str, path: str, end_id: int = 2, vocabulary: int | None = None, frame_ids: int = 1 << 19) -> None:
     """Encode ``docs(doc_id, text)`` and write frames under ``path`` in ascending doc_id order (null ids first).
 
     Texts are dealt out by ranges of doc_id, encoded once, and kept as plain 16- or 32-bit ids in the shared folder until
     the counts of all of them have given the code. Rows with the same doc_id all stay, ordered by their text's hash.
-    A null or empty text is its end id alone. An empty table gives no frame and a code without ids.
+    A null or empty text is its end id alone. An empty table gives no frame and a code without ids. Texts are encoded whole
+    however long, one at a time beyond a batch; columns other than the two, also ones with clashing names, are left.
+    ``vocabulary`` is what the tokenizer's file says unless given; an id beyond it is an error. Codes have 16 bits at most,
+    so at most 65 536 different ids may occur.
     """
+    vocabulary = max(end_id + 1, ids_of(tokenizer) if vocabulary is None else vocabulary)
     plain = "<u2" if vocabulary <= 1 << 16 else "<u4"
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, before, seen = word_ids(tokenizer, "byte_level"), 0, np.zeros(vocabulary, np.int64)
+        encoder, before, seen = word_ids(tokenizer), 0, np.zeros(vocabulary, np.int64)
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         waiting, part = 0, -1
 
@@ -175,13 +186,15 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, end_id: int = 2, vocab
             if not batch.num_rows:
                 continue
             part = batch.column(2)[0].as_py()
-            ids, lens = encoder.encode(batch.column(1).to_pylist())
+            ids, lens = encoder.encode(batch.column(1))
             lens = lens + 1
+            if len(ids) and int(ids.max()) >= vocabulary:
+                raise ValueError(f"id {int(ids.max())} is beyond a vocabulary of {vocabulary}")
             whole = np.full(int(lens.sum()), end_id, np.uint32)
             keep = np.ones(len(whole), bool)
             keep[np.cumsum(lens) - 1] = False
             whole[keep] = ids
-            seen += np.bincount(whole, minlength=vocabulary)[:vocabulary]
+            seen += np.bincount(whole, minlength=vocabulary)
             doc_ids = np.array([NO_ID if v is None else v for v in batch.column(0).to_pylist()], np.int64)
             held.append((doc_ids, lens, whole))
             waiting += len(whole)

@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
+import json
 import os
-import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Two white spaces side by side, or a control character that only some regex engines take for one.
-ODD = re.compile(r"\s\s|[\x1c-\x1f]")
-CONTROL = re.compile(r"[\x1c-\x1f]")
-#: White space other than a space and a newline; a text without these needs no slower look.
-RARE = re.compile("[\t\v\f\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-#: Words encoded in one call, with a special token between them that the tokenizer cuts out first.
-TOGETHER = 1_000
-#: characters cut into words at once
-CHUNK = 1 << 21
+#: white space as the tokenizers' expressions see it
+WHITE = r"[\t\n\x0b\x0c\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: control characters that only some take for white space
+CONTROL = r"[\x1c-\x1f]"
+#: words encoded in one call, with a special token between them that the tokenizer cuts out first, and characters at most
+TOGETHER, TOGETHER_CHARS = 1_000, 1 << 20
+#: bytes of text cut into words at once
+CHUNK = 1 << 22
+#: characters from which a word isn't remembered beyond the call that met it
+LONGEST = 256
 
 
 class _Index(dict):
@@ -35,13 +38,14 @@ class WordIds:
     """Encodes texts exactly as ``tokenizer.encode(text, add_special_tokens=False)`` does.
 
     ``kind`` says where a text may be cut so that the parts encode alone as they do in place:
-    ``spaceless``: the tokenizer drops white space, so at each white space; ``byte_level``: before each space and around
-    each newline, as long as no two white spaces meet. Other texts go to the tokenizer whole.
-    Beyond ``most`` words the memo keeps those that were seen more than once, at most half of its size.
+    ``spaceless``: the tokenizer drops white space, so at each white space; ``byte_level``: before each run of white space,
+    which stays with the word behind it; ``whole``: nowhere, every text goes to the tokenizer. Texts with characters that would spoil the cut go to the tokenizer whole and
+    aren't remembered. Beyond ``most`` words or ``most_chars`` characters of them the memo keeps the words that were seen
+    most often, at most half of either; a call adds no more than its own texts.
     """
 
-    def __init__(self, tokenizer, kind: str, most: int = 900_000) -> None:
-        self.tokenizer, self.kind, self.most = tokenizer, kind, most
+    def __init__(self, tokenizer, kind: str, most: int = 900_000, most_chars: int = 32_000_000) -> None:
+        self.tokenizer, self.kind, self.most, self.most_chars = tokenizer, kind, most, most_chars
         special = [(i, t.content) for i, t in sorted(tokenizer.get_added_tokens_decoder().items()) if t.special and not (t.lstrip or t.rstrip or t.single_word or t.normalized)]
         self.divider = special[0] if special else None
         if kind == "byte_level":  # a token's letters stand for its bytes
@@ -51,11 +55,11 @@ class WordIds:
         self._clear()
 
     def _encode_row(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of words with a space before each: in a row they stay apart, and the bytes of tokens tell where each ends."""
-        joined = f" {' '.join(words)}"
+        """The ids of words that begin with white space: in a row they stay apart, and the bytes of tokens tell where each ends."""
+        joined = "".join(words)
         ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.uint32)
         sizes = np.fromiter(map(len, words), np.int64, len(words)) if joined.isascii() else np.array([len(w.encode()) for w in words])
-        upto = np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum(sizes + 1)) + 1
+        upto = np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum(sizes)) + 1
         return ids, np.diff(upto, prepend=0)
 
     def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -70,29 +74,32 @@ class WordIds:
 
     def _clear(self) -> None:
         self.index, self.flat = _Index(), np.zeros(1 << 16, np.uint32)
-        self.starts, self.lens, self.rows, self.used = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 0, 0
+        self.starts, self.lens, self.rows, self.used, self.chars = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 0, 0, 0
         self.seen = np.zeros(0, np.int32)
 
     def _shrink(self) -> None:
-        seen = self.seen[: self.rows]
-        kept = np.flatnonzero(seen > max(1, np.partition(seen, -self.most // 2)[-self.most // 2]))
-        words = list(self.index)
+        words, seen = list(self.index), self.seen[: self.rows]
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        often = np.flatnonzero((seen > 1) & (sizes <= LONGEST))
+        often = often[np.argsort(-seen[often], kind="stable")][: self.most // 2]
+        kept = np.sort(often[: np.searchsorted(np.cumsum(sizes[often]), self.most_chars // 2)])
         lens = self.lens[kept]
         ends = np.cumsum(lens)
         self.flat = self.flat[np.repeat(self.starts[kept] - (ends - lens), lens) + np.arange(int(lens.sum()))] if len(kept) else np.zeros(1 << 16, np.uint32)
         self.index = _Index()
         for row, at in enumerate(kept.tolist()):
             dict.__setitem__(self.index, words[at], row)
-        self.starts, self.lens, self.seen = ends - lens, lens, seen[kept]
-        self.rows, self.used = len(kept), int(lens.sum())
+        self.starts, self.lens, self.seen = ends - lens, lens, seen[kept] // 2  # what was seen long ago counts less
+        self.rows, self.used, self.chars = len(kept), int(lens.sum()), int(sizes[kept].sum())
         self.flat, self.starts, self.lens = (np.concatenate([x, np.zeros(1 << 16, x.dtype)]) for x in (self.flat, self.starts, self.lens))
 
     def _learn(self) -> None:
         fresh, self.index.fresh = self.index.fresh, []
+        self.chars += sum(map(len, fresh))
         if self.kind == "byte_level":
-            plain = np.fromiter(map(str.isprintable, fresh), bool, len(fresh)) & np.fromiter(map(bool, fresh), bool, len(fresh))
+            plain = np.fromiter((w[:1] in (" ", "\n") and len(w) > 1 and w[1:].isprintable() and w[1] != " " for w in fresh), bool, len(fresh))
             self._learn_some([w for w, p in zip(fresh, plain.tolist(), strict=True) if p], self._encode_row, np.flatnonzero(plain))
-            self._learn_some([self._text(w) for w, p in zip(fresh, plain.tolist(), strict=True) if not p], self._encode, np.flatnonzero(~plain))
+            self._learn_some([w for w, p in zip(fresh, plain.tolist(), strict=True) if not p], self._encode, np.flatnonzero(~plain))
         else:
             self._learn_some(fresh, self._encode, np.arange(len(fresh)))
         self.rows += len(fresh)
@@ -101,58 +108,70 @@ class WordIds:
         """Adds words whose rows are ``places`` beyond those so far."""
         while self.rows + len(self.index) > len(self.lens):
             self.starts, self.lens = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lens))
-        for at in range(0, len(fresh), TOGETHER):
-            ids, lens = encode(fresh[at : at + TOGETHER])
+        upto = np.cumsum(np.fromiter(map(len, fresh), np.int64, len(fresh)))
+        at = 0
+        while at < len(fresh):
+            end = min(at + TOGETHER, max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + TOGETHER_CHARS, side="right"))))
+            ids, lens = encode(fresh[at:end])
             while self.used + len(ids) > len(self.flat):
                 self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            rows = self.rows + places[at : at + TOGETHER]
+            rows = self.rows + places[at:end]
             self.flat[self.used : self.used + len(ids)] = ids
             self.starts[rows] = self.used + np.cumsum(lens) - lens
             self.lens[rows] = lens
             self.used += len(ids)
+            at = end
 
-    def _cut(self, text: str) -> list[str]:
+    def _cut(self, texts: pa.Array) -> pa.Array:
+        """The words of each text, as lists."""
         if self.kind == "spaceless":
-            return [text] if CONTROL.search(text) else text.split()
-        if not text or "\0" in text or "\1" in text or "\2" in text or "  " in text or "\n\n" in text or " \n" in text or "\n " in text or (RARE.search(text) and ODD.search(text)):
-            return [f"\2{text}"]
-        words = text.replace("\n", " \0").split(" ")
-        words[0] = f"\1{words[0]}"
-        return words
-
-    def _text(self, word: str) -> str:
-        """What a word of a byte-level cut stands for: a space and the word, or as its first letter says."""
-        first = word[:1]
-        if first == "\0":
-            return f"\n{word[1:]}"
-        return word[1:] if first in ("\1", "\2") and word else f" {word}"
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids in one array, and the number of each text's ids."""
-        if len(self.index) > self.most:
+            return pc.utf8_split_whitespace(texts)
+        if pc.any(pc.match_substring_regex(texts, f"{WHITE}{{2}}")).as_py():
+            marked = pc.replace_substring_regex(texts, f"({WHITE}+)", "\0\\1")
+        else:  # single white spaces; those that are rare may stay inside a word
+            marked = pc.replace_substring(pc.replace_substring(texts, " ", "\0 "), "\n", "\0\n")
+        return pc.split_pattern(marked, "\0")
+
+    def encode(self, texts: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in one array, and the number of each text's ids. A null text has none."""
+        texts = pc.fill_null(pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string()), "")
+        if self.kind == "whole":
+            got = [np.array(self.tokenizer.encode_batch_fast([t], add_special_tokens=False)[0].ids, np.uint32) for t in texts.to_pylist()]
+            return np.concatenate([np.zeros(0, np.uint32), *got]), np.fromiter(map(len, got), np.int64, len(got))
+        if len(self.index) > self.most or self.chars > self.most_chars:
             self._shrink()
+        odd = pc.match_substring_regex(texts, CONTROL) if self.kind == "spaceless" else pc.match_substring(texts, "\0")
+        whole = {i: texts[i].as_py() for i in np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist()}
+        if whole:
+            texts = pc.if_else(odd, pa.scalar("", pa.large_string()), texts)
+        upto = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
         parts, used, at = [], [], 0
         while at < len(texts):
-            upto, size = at, 0
-            while upto < len(texts) and (upto == at or size + len(texts[upto]) <= CHUNK):
-                size += len(texts[upto])
-                upto += 1
-            parts.append(self._encode_some(texts[at:upto], used))
-            at = upto
+            end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + CHUNK, side="right")))
+            parts.append(self._encode_some(texts.slice(at, end - at), used))
+            at = end
         if used:
             seen = np.bincount(np.concatenate(used), minlength=self.rows).astype(np.int32)
             seen[: len(self.seen)] += self.seen
             self.seen = seen
-        return (np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])) if parts else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
-
-    def _encode_some(self, texts: list[str], used: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        words: list[str] = []
-        counts = []
-        for text in texts:
-            cut = self._cut(text)
-            counts.append(len(cut))
-            words += cut
-        rows = np.fromiter(map(self.index.__getitem__, words), np.int32, len(words))
+        ids, lens = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+        return self._with_whole(ids, lens, whole) if whole else (ids, lens)
+
+    def _with_whole(self, ids: np.ndarray, lens: np.ndarray, whole: dict[int, str]) -> tuple[np.ndarray, np.ndarray]:
+        """Puts in the ids of texts that go to the tokenizer whole."""
+        ends, out, at, lens = np.cumsum(lens), [], 0, lens.copy()
+        for i, text in whole.items():
+            got = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+            out += [ids[at : ends[i]], got]
+            at, lens[i] = int(ends[i]), lens[i] + len(got)
+        return np.concatenate([*out, ids[at:]]), lens
+
+    def _encode_some(self, texts: pa.Array, used: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        lists = self._cut(texts)
+        offsets = lists.offsets.to_numpy()
+        words = lists.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
+        different = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        rows = np.fromiter(map(self.index.__getitem__, different), np.int32, len(different))[words.indices.to_numpy(zero_copy_only=False)]
         used.append(rows)
         if self.index.fresh:
             self._learn()
@@ -160,18 +179,30 @@ class WordIds:
         ends = np.cumsum(lens)
         total = int(ends[-1]) if len(ends) else 0
         ids = self.flat[np.repeat(self.starts[rows] - (ends - lens), lens) + np.arange(total)]
-        bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(np.array(counts, np.int64))])]
-        return ids, np.diff(bounds)
+        return ids, np.diff(np.concatenate([[0], ends])[offsets - offsets[0]])
 
 
-_CACHE: dict[tuple[str, str], WordIds] = {}
+_CACHE: dict[str, WordIds] = {}
 
 
-def word_ids(path: str, kind: str) -> WordIds:
+def kind_of(tokenizer) -> str:
+    """Where a tokenizer's texts may be cut, by how it says that it takes them apart itself."""
+    described = json.loads(tokenizer.to_str())
+    before = described["pre_tokenizer"] or {}
+    if before.get("type") == "ByteLevel" and before["use_regex"] and not before["add_prefix_space"] and not described["normalizer"]:
+        return "byte_level"
+    first = (before.get("pretokenizers") or [{}])[0]
+    if first.get("type") == "Split" and first["behavior"] == "Removed" and first["invert"] and "[^\\s" in first["pattern"].get("Regex", ""):
+        return "spaceless"
+    return "whole"
+
+
+def word_ids(path: str) -> WordIds:
     """One encoder for each worker process."""
-    if (path, kind) not in _CACHE:
+    if path not in _CACHE:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
-        _CACHE[path, kind] = WordIds(Tokenizer.from_file(path), kind)
-    return _CACHE[path, kind]
+        tokenizer = Tokenizer.from_file(path)
+        _CACHE[path] = WordIds(tokenizer, kind_of(tokenizer))
+    return _CACHE[path]

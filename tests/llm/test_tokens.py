@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -7,10 +8,10 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from palimpsest.llm.huffman import BLOCK, Code, code_lengths, pack_frame, part_of, quantiles, read_ids, unpack_frame, write_ids
-from palimpsest.llm.packing import Plan, pack, pack_documents
+from palimpsest.llm.packing import Plan, SmallPlan, pack, pack_documents, planned
 from palimpsest.llm.queries import QUERIES
 from palimpsest.llm.token_counts import PieceCounter, token_counts
-from palimpsest.llm.wordids import WordIds
+from palimpsest.llm.wordids import WordIds, kind_of
 from tests.llm.helpers import EDGE_TEXTS, edge_docs, empty_docs
 
 WORD, BYTE, PIECE = P.path("word_bpe_49k.json"), P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model")
@@ -39,6 +40,45 @@ def test_memo_keeps_to_its_size():
         assert encoder.encode([text])[0].tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("seed", range(4))
+@pytest.mark.parametrize(("path", "kind"), [(WORD, "spaceless"), (BYTE, "byte_level")])
+def test_any_white_space(path, kind, seed):
+    rng, tokenizer = random.Random(seed), Tokenizer.from_file(path)
+    white, encoder = " \n\t\r\v\f\x85\xa0\u1680\u2000\u200a\u2028\u2029\u202f\u205f\u3000", WordIds(tokenizer, kind, most=200)
+    words = ["a", "Word", "é", "e\u0301", "İ", "ΣΑΣ", "ﬁ", "日本", "🙂", "12", "'s", "it's", "<|endoftext|>", "!", "#$", "\x1c", "\x01", "\0", "\u200b", "\u0301", "ſ"]
+    for _ in range(60):
+        gap = (lambda: "".join(rng.choice(white) for _ in range(rng.choice([0, 1, 2, 4])))) if rng.random() < 0.5 else lambda: rng.choice(["", " ", "\n", "  ", "\n\n"])
+        texts = [gap() + "".join(rng.choice(words) + gap() for _ in range(rng.randint(0, 8))) for _ in range(10)]
+        ids, lens = encoder.encode(texts)
+        bounds = np.concatenate([[0], np.cumsum(lens)])
+        for text, a, b in zip(texts, bounds[:-1], bounds[1:], strict=True):
+            assert ids[a:b].tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+@pytest.mark.parametrize(("path", "kind"), [(WORD, "spaceless"), (BYTE, "byte_level")])
+def test_memo_holds_words_and_never_texts(path, kind):
+    """Ten thousand texts with blank lines, double spaces and long words."""
+    assert kind_of(Tokenizer.from_file(path)) == kind
+    encoder, rng = WordIds(Tokenizer.from_file(path), kind, most=5_000, most_chars=40_000), random.Random(1)
+    for _ in range(100):
+        texts = [f"w{rng.randrange(9)}  x\n\ny{rng.randrange(10**9)} \n z" + "q" * rng.choice([1, 1, 400]) for _ in range(100)]
+        encoder.encode(texts)
+    encoder.encode(["a"])
+    assert sum(map(len, encoder.index)) <= 40_000 + 100 * 420 and max(map(len, encoder.index)) < 420
+    encoder._shrink()
+    assert sum(map(len, encoder.index)) <= 20_000 and max(map(len, encoder.index)) <= 256 and len(encoder.index) >= 9
+
+
+def test_texts_of_some_megabytes(spark):
+    rng = random.Random(3)
+    text = "".join(f"{rng.choice(['the', 'of', 'x' * rng.randint(1, 9), str(rng.randrange(999))])}{rng.choice([' ', ' ', chr(10), '  ', ' ' + chr(10)])}" for _ in range(600_000))
+    for path, kind in ((WORD, "spaceless"), (BYTE, "byte_level")):
+        ids, lens = WordIds(Tokenizer.from_file(path), kind).encode([text, "b"])
+        assert ids[: lens[0]].tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+    row = token_counts(spark.createDataFrame([(1, text)], "doc_id long, text string"), PIECE).first()
+    assert row["n_tokens"] == len(PieceCounter(PIECE).model.encode(text)) and row["n_bytes"] == len(text)
+
+
 def test_piece_counts_equal_the_library(texts):
     counter = PieceCounter(PIECE)
     for text in [t or "" for t in EDGE_TEXTS] + list(texts.values()):
@@ -100,6 +140,24 @@ def test_parts_follow_the_order_of_ids(spark):
         assert all(p == sum(b < i for b in bounds) for i, p in got)
 
 
+def test_ids_beyond_the_vocabulary_are_an_error(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "the zebra")], "doc_id long, text string")
+    with pytest.raises(Exception, match="beyond a vocabulary of 300"):
+        write_ids(docs, BYTE, str(tmp_path / "few"), vocabulary=300)
+
+
+def test_a_tokenizer_of_sixty_thousand_ids(spark, tmp_path):
+    from tokenizers import models, pre_tokenizers
+
+    small = Tokenizer(models.WordLevel({f"w{i}": i for i in range(60_000)} | {"?": 60_000}, unk_token="?"))
+    small.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+    path = str(tmp_path / "words.json")
+    small.save(path)
+    docs = spark.createDataFrame([(i, f"w{59_999 - i} w7 nothing") for i in range(30)], "doc_id long, text string")
+    write_ids(docs, path, str(tmp_path / "many"))
+    assert {r["doc_id"]: r["ids"] for r in read_ids(spark, str(tmp_path / "many")).collect()} == {i: [59_999 - i, 7, 60_000, 2] for i in range(30)}
+
+
 def test_written_ids_of_an_empty_table(spark, tmp_path):
     write_ids(empty_docs(spark), BYTE, str(tmp_path / "none"))
     assert read_ids(spark, str(tmp_path / "none")).count() == 0
@@ -161,6 +219,52 @@ def test_packing_is_near_the_bound(spark, seed):
     items.unpersist()
 
 
+def best_fit(lengths, capacity):
+    """Longest first, each into the fullest sequence that has room."""
+    import bisect
+
+    rooms = []
+    for n in sorted(lengths, reverse=True):
+        at = bisect.bisect_left(rooms, n)
+        room = rooms.pop(at) if at < len(rooms) else capacity
+        bisect.insort(rooms, room - n)
+    return len(rooms)
+
+
+DRAWS = {
+    "few tokens": lambda rng: np.clip(rng.exponential(500, 4000).astype(int) + 1, 1, 2048),
+    "large only": lambda rng: np.clip(rng.exponential(500, 4000).astype(int) + 257, 1, 2048),
+    "uniform": lambda rng: rng.integers(300, 1501, 4000),
+    "a third": lambda rng: rng.integers(600, 760, 4000),
+    "one": lambda rng: np.array([2048]),
+}
+
+
+@pytest.mark.parametrize("name", DRAWS)
+def test_never_more_than_best_fit(spark, name):
+    lengths = DRAWS[name](np.random.default_rng(5))
+    most = best_fit(lengths.tolist(), 2048)
+    counts = np.bincount(lengths, minlength=2049)
+    assert SmallPlan(counts, np.zeros(2049, np.int64), 2048).opened == most
+    small, plan = planned(counts)
+    assert (small < 2048) == (name == "a third")  # where configurations beat best fit
+    items = spark.createDataFrame([(i, 0, int(n)) for i, n in enumerate(lengths)], "row_id long, piece int, length long").cache()
+    rows = pack(items).collect()
+    used = check_packing(rows)
+    assert len(rows) == len(lengths) and used <= most and (used < 0.95 * most or name != "a third")
+    items.unpersist()
+
+
+def test_rooms_are_those_of_the_pieces():
+    rng = np.random.default_rng(2)
+    for _ in range(20):
+        lengths = np.sort(rng.integers(30, 101, rng.integers(1, 400)))[::-1]
+        plan = Plan(np.bincount(lengths, minlength=101), 100, groups=int(rng.integers(1, 9)))
+        ranks = np.arange(len(lengths)) - np.searchsorted(-lengths, -lengths)
+        total = np.bincount(plan.sequence(lengths, ranks), weights=lengths, minlength=plan.sequences).astype(int)
+        assert total.max() <= 100 and (np.bincount(100 - total, minlength=101) == plan.rooms()).all()
+
+
 def test_plan_places_every_large_piece():
     counts = np.zeros(101, np.int64)
     counts[[100, 60, 51, 50, 49, 30]] = [5, 7, 3, 4, 9, 1000]
