@@ -2,6 +2,7 @@ import random
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from palimpsest.llm import line_dedup as module
 from palimpsest.llm.line_dedup import line_dedup
@@ -18,23 +19,34 @@ def within_one(a, b):
     return a[i + 1 :] == b[i + 1 :] or a[i:] == b[i + 1 :] or a[i + 1 :] == b[i:]
 
 
-def brute(docs):
-    """docs: (doc_id, text), ids differ. For each id: lines, exact, near, kept text."""
-    first = {}
+def within_two(a, b):
+    if abs(len(a) - len(b)) > 2:
+        return False
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        last, row[0] = row[0], i + 1
+        for j, y in enumerate(b):
+            last, row[j + 1] = row[j + 1], min(last + (x != y), row[j] + 1, row[j + 1] + 1)
+    return row[-1] <= 2
+
+
+def brute(docs, close=within_one):
+    """docs: (doc_id, text), ids differ. For each id: lines, exact, near, kept text. Short lines take part in exact repeats
+    only, and not at all if blank."""
+    least, first, out = module.LEAST, {}, {}
     for doc_id, text in sorted(docs, key=lambda d: (d[0] is not None, d[0] or 0)):
         for pos, line in enumerate((text or "").split("\n")):
-            if len(line) >= module.LEAST:
+            if len(line) >= least or line.strip(" \t\n\v\f\r"):
                 first.setdefault(line, (doc_id is not None, doc_id or 0, pos))
     by_length = {}
     for line in first:
         by_length.setdefault(len(line), []).append(line)
-    near = {s for s in first if any(t != s and first[t] < first[s] and within_one(s, t) for n in (-1, 0, 1) for t in by_length.get(len(s) + n, []))}
-    out = {}
+    near = {s for s in first if len(s) >= least and any(t != s and first[t] < first[s] and close(s, t) for n in range(-2, 3) if len(s) + n >= least for t in by_length.get(len(s) + n, []))}
     for doc_id, text in docs:
         lines, stay, n_near = (text or "").split("\n"), [], 0
         for pos, line in enumerate(lines):
             here = first.get(line) == (doc_id is not None, doc_id or 0, pos)
-            if len(line) < module.LEAST or (here and line not in near):
+            if line not in first or (here and line not in near):
                 stay.append(line)
             n_near += here and line in near
         out[doc_id] = (len(lines), len(lines) - len(stay) - n_near, n_near, "\n".join(stay))
@@ -80,6 +92,73 @@ def test_variants(spark, monkeypatch, seed, hot, sent):
     assert sum(w[2] for w in want.values()) > 10
 
 
+@pytest.mark.parametrize(("seed", "hot", "sent"), [(5, 24, 100_000), (6, 2, 0)])
+def test_variants_within_two_edits(spark, monkeypatch, seed, hot, sent):
+    monkeypatch.setattr(module, "HOT", hot)
+    monkeypatch.setattr(module, "SENT", sent)
+    docs = [(i, t) for i, t in variants(seed, 120)]
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in docs], DOC_SCHEMA)
+    want = brute([(i, t) for i, t in docs], within_two)
+    assert result(line_dedup(df, threshold=2)) == want
+    assert sum(w[2] for w in want.values()) > 10
+
+
+@pytest.mark.parametrize("threshold", [1, 2, 3])
+def test_distance_on_a_band(spark, threshold):
+    rng, rows = random.Random(threshold), []
+    for _ in range(3000):
+        a = [rng.choice("abcé🙂") for _ in range(rng.randint(4, 30))]
+        b = list(a)
+        for _ in range(rng.randint(0, 5)):
+            at = rng.randrange(len(b) + 1)
+            b[at : at + rng.randint(0, 1)] = rng.choice(["", "a", "b", "c"])
+        if len(b) > threshold:
+            rows.append(("".join(a), "".join(b)))
+    points = lambda c: F.split(c, "").alias(f"c{c}")
+    df = spark.createDataFrame(rows, "a string, b string").select("a", "b", F.inline(F.array(F.struct(points("a"), points("b")))))
+    assert df.filter(module.within(F.col("ca"), F.col("cb"), threshold) != (F.levenshtein("a", "b") <= threshold)).count() == 0
+
+
+def counters(n, first=0):
+    rng = random.Random(1)
+    head, tail = ("".join(rng.choice("abcdefgh ") for _ in range(70)) for _ in range(2))
+    return [(i, f"{head}{first + k}{tail}") for i, k in enumerate(rng.sample(range(n), n))]
+
+
+def test_lines_that_differ_in_a_number(spark):
+    """All of one cell: no pairs are made of them."""
+    docs = counters(2000) + [(9000 + i, t[:100] + t[101:]) for i, t in counters(40)]
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in docs], DOC_SCHEMA)
+    assert result(line_dedup(df)) == brute(docs)
+
+
+def test_crowded_lines_take_work_in_proportion(spark, monkeypatch):
+    written = {}
+    stash = module.stash
+
+    def counted(df, name, *rest):
+        out = stash(df, name, *rest)
+        written[name] = written.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(module, "stash", counted)
+    rows = {}
+    for n in (2000, 8000):
+        written.clear()
+        df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in counters(n, 10_000)], DOC_SCHEMA)
+        assert line_dedup(df).count() == n
+        rows[n] = sum(written.values())
+    assert rows[8000] < 4.5 * rows[2000]
+
+
+def test_lines_of_a_megabyte(spark):
+    rng = random.Random(8)
+    long = "".join(rng.choice("abc ") for _ in range(1_000_000))
+    docs = [(1, long), (2, long[:500_000] + "X" + long[500_001:]), (3, long[:-2]), (4, f"{long}\n{long[1:]}")]
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in docs], DOC_SCHEMA)
+    assert {i: r[:3] for i, r in result(line_dedup(df)).items()} == {1: (1, 0, 0), 2: (1, 0, 1), 3: (1, 0, 0), 4: (2, 1, 1)}
+
+
 def test_edges(spark):
     rows = edge_docs(spark)
     got = line_dedup(rows)
