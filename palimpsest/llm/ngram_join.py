@@ -40,11 +40,16 @@ REMEMBERED = 300_000
 SENT = 200_000
 #: members verified against one copy of a hub's set
 MEMBERS = 2_000
+#: sets of one signature that a task holds, about; more are dealt to several tasks, as far as counts were sent
+SPLIT = 200_000
+#: entries that a task holds, about
+ENTRIES = 2_000_000
 #: sets in a block of a group whose members are compared with one another, and shingles compared at once
 BLOCK, COLUMNS = 256, 4_096
 #: bytes of a signature that are counted
 KEPT = 6
 LOW = np.uint64((1 << 8 * KEPT) - 1)
+ONE = np.uint64(1)
 BAND, SEGMENT = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 NUMERATOR, DENOMINATOR = 80, 100
 
@@ -106,30 +111,55 @@ def keys_of(shingles: np.ndarray) -> tuple[int, int]:
 class Deal:
     """Entries by the part of the key range they belong to, given out as blobs of bounded size."""
 
-    def __init__(self, parts: int, width: int, most: int = 1 << 20) -> None:
-        self.parts, self.width, self.most, self.held, self.n = parts, width, most, [], 0
+    def __init__(self, parts: int, most: int = 1 << 20) -> None:
+        self.parts, self.most, self.held, self.n = parts, most, [], 0
 
     def add(self, entries: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """``entries``: rows of ``width`` uint64, the first the key."""
+        """``entries``: rows of uint64, the first the key."""
         self.held.append(entries)
         self.n += len(entries)
         if self.n >= self.most:
             yield self.flush()
 
+    def part_of(self, rows: np.ndarray) -> np.ndarray:
+        return (rows[:, 0] >> np.uint64(40)) % np.uint64(self.parts)
+
+    def packed(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The entries by part, each as bytes."""
+        part = self.part_of(rows)
+        order = np.argsort(part, kind="stable")
+        return part[order], rows[order].view(np.uint8)
+
     def flush(self) -> pa.RecordBatch:
-        rows = np.concatenate(self.held) if self.held else np.zeros((0, self.width), np.uint64)
+        rows = np.concatenate(self.held) if self.held else np.zeros((0, 2), np.uint64)
         self.held, self.n = [], 0
-        part = (rows[:, 0] >> np.uint64(40)) % np.uint64(self.parts)
-        order = np.argsort(part, kind="stable")
-        rows, part = rows[order], part[order]
+        part, raw = self.packed(rows)
         cuts = np.flatnonzero(np.diff(part)) + 1
-        if self.width == 1:
-            rows = rows.view(np.uint8)[:, :KEPT]
-        blobs = [x.tobytes() for x in np.split(rows, cuts)] if len(rows) else []
-        firsts = part[np.concatenate([[0], cuts])].astype(np.int32) if len(rows) else np.zeros(0, np.int32)
+        blobs = [x.tobytes() for x in np.split(raw, cuts)] if len(part) else []
+        firsts = part[np.concatenate([[0], cuts])].astype(np.int32) if len(part) else np.zeros(0, np.int32)
         return pa.record_batch([pa.array(firsts, pa.int32()), pa.array(blobs, pa.binary())], names=["part", "blob"])
 
 
+class DealCounts(Deal):
+    """Signatures with how often they were met, added up before they are sent, so that a frequent one takes a few bytes. A
+    part is a range of the map's cells."""
+
+    def packed(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        cells = Costs.cells(rows[:, 0])
+        keys = np.sort(cells.astype(np.uint64) << np.uint64(8 * KEPT - MAP_BITS) | (rows[:, 0] & LOW) >> np.uint64(MAP_BITS))  # by cell first
+        first = np.flatnonzero(np.diff(keys, prepend=keys[:1] ^ ONE)) if len(keys) else np.zeros(0, np.int64)
+        times, keys = np.diff(np.append(first, len(keys))), keys[first]
+        more = -(-times // 255)  # a byte holds 255
+        rest = np.full(int(more.sum()), 255, np.uint8)
+        rest[np.cumsum(more) - 1] = times - 255 * (more - 1)
+        keys = np.repeat(keys, more)
+        raw = np.empty((len(keys), KEPT + 1), np.uint8)
+        raw[:, :KEPT] = keys.reshape(-1, 1).view(np.uint8)[:, :KEPT]
+        raw[:, KEPT] = rest
+        part = (keys >> np.uint64(8 * KEPT - MAP_BITS)) * np.uint64(self.parts) >> np.uint64(MAP_BITS)
+        return part, raw
+
+
 def _dealt(df: DataFrame, parts: int) -> DataFrame:
     return df.repartitionById(parts, F.col("part")).select("blob")
 
@@ -161,10 +191,12 @@ class Costs:
 
 def common_signatures(docs: DataFrame, parts: int) -> Costs:
     """Counts the signatures of all sets, by 48 of their bits. What comes to the driver has a bounded size: a map of
-    ``2 ** MAP_BITS`` bits and ``SENT_COUNTS`` counts. Both only rank signatures, so their bounds change no result."""
+    ``2 ** MAP_BITS`` bits, of which each part makes its own range, and ``SENT_COUNTS`` counts. Both only rank signatures,
+    so their bounds change no result: where the map is full, sets send signatures that they needn't."""
+    parts = min(parts, 1 << 16)
 
     def give(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        deal, seen = Deal(parts, 1), set()
+        deal, seen = DealCounts(parts), set()
         for batch in batches:
             for shingles in shingle_sets(batch.column(0)):
                 if not len(shingles) or (key := keys_of(shingles)[0]) in seen:
@@ -177,26 +209,44 @@ def common_signatures(docs: DataFrame, parts: int) -> Costs:
         yield deal.flush()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = [np.frombuffer(b, np.uint8).reshape(-1, KEPT) for batch in batches for b in batch.column(0).to_pylist()]
-        raw = np.zeros((sum(map(len, found)), 8), np.uint8)
-        if len(raw):
-            np.concatenate(found, out=raw[:, :KEPT])
-        keys = np.sort(raw.reshape(-1).view("<u8"))
-        starts = np.flatnonzero(np.diff(keys, prepend=keys[:1] ^ np.uint64(1)))
-        counts = np.diff(np.append(starts, len(keys)))
-        several = counts > 1
-        cells = np.unique(Costs.cells(keys[starts[several]]))
-        # cells as differences in a few bytes each
-        yield pa.record_batch([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([np.diff(cells, prepend=0).astype("<u4").tobytes()], pa.binary())], names=["sig", "n", "cells"])
-        many = counts >= COUNTED
-        yield pa.record_batch([pa.array(keys[starts[many]].view(np.int64)), pa.array(counts[many]), pa.nulls(int(many.sum()), pa.binary())], names=["sig", "n", "cells"])
+        keys, times = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        held: list[np.ndarray] = []
+
+        def added() -> tuple[np.ndarray, np.ndarray]:
+            raw = np.concatenate(held)
+            held.clear()
+            fresh = np.zeros((len(raw), 8), np.uint8)
+            fresh[:, :KEPT] = raw[:, :KEPT]
+            every, n = np.concatenate([keys, fresh.reshape(-1).view("<u8")]), np.concatenate([times, raw[:, KEPT]])
+            order = np.argsort(every, kind="stable")
+            every, n = every[order], n[order]
+            first = np.flatnonzero(np.diff(every, prepend=every[:1] ^ ONE))
+            return every[first], np.add.reduceat(n, first)
+
+        for batch in batches:
+            for blob in batch.column(0).to_pylist():
+                held.append(np.frombuffer(blob, np.uint8).reshape(-1, KEPT + 1))
+            if sum(map(len, held)) > 1 << 21:
+                keys, times = added()
+        if held:
+            keys, times = added()
+        shift = np.uint64(8 * KEPT - MAP_BITS)
+        cells = np.unique((keys[times > 1] >> shift).astype(np.int64))
+        if len(cells):  # this part's range of the map
+            low = int(cells[0]) >> 3
+            bits = np.zeros((int(cells[-1]) >> 3) - low + 1, np.uint8)
+            np.bitwise_or.at(bits, (cells >> 3) - low, (1 << (cells & 7)).astype(np.uint8))
+            yield pa.record_batch([pa.array([low]), pa.nulls(1, pa.int64()), pa.array([bits.tobytes()], pa.binary())], names=["sig", "n", "cells"])
+        many = np.flatnonzero(times >= COUNTED)
+        sigs = (keys[many] & ((ONE << shift) - ONE)) << np.uint64(MAP_BITS) | keys[many] >> shift
+        yield pa.record_batch([pa.array(sigs.view(np.int64)), pa.array(times[many]), pa.nulls(len(many), pa.binary())], names=["sig", "n", "cells"])
 
     given = map_arrow(docs.select("text"), give, "part int, blob binary")
     counted = stash(map_arrow(_dealt(given, parts), count, "sig long, n long, cells binary"), "counts")
     shared = np.zeros(1 << (MAP_BITS - 3), np.uint8)
-    for row in counted.filter("cells is not null").select("cells").toLocalIterator():
-        cells = np.cumsum(np.frombuffer(bytes(row["cells"]), "<u4").astype(np.int64))
-        np.bitwise_or.at(shared, cells >> 3, (1 << (cells & 7)).astype(np.uint8))
+    for row in counted.filter("cells is not null").select("sig", "cells").toLocalIterator():  # ranges that don't overlap but at their ends
+        bits = np.frombuffer(bytes(row["cells"]), np.uint8)
+        shared[row["sig"] : row["sig"] + len(bits)] |= bits
     rows = counted.filter("cells is null").select("sig", "n").orderBy(F.col("n").desc(), "sig").limit(SENT_COUNTS).toArrow()
     sigs, counts = rows["sig"].to_numpy().view(np.uint64), rows["n"].to_numpy()
     order = np.argsort(sigs)
@@ -220,17 +270,31 @@ def chosen(shingles: np.ndarray, k: int, different: int, costs: Costs) -> tuple[
     return np.concatenate(whole), np.concatenate([np.zeros(0, np.uint64), *left_out])
 
 
-ONE = np.uint64(1)
+class Split(Deal):
+    """Signatures and sets, by signature; those of frequent signatures by set too."""
+
+    def __init__(self, parts: int, costs: Costs, split: int) -> None:
+        super().__init__(parts)
+        self.costs, self.split = costs, split
+
+    def part_of(self, rows: np.ndarray) -> np.ndarray:
+        part = super().part_of(rows)
+        pieces = self.costs.of(rows[:, 0]) // self.split
+        often = pieces > 0
+        if often.any():
+            part[often] = (part[often] + mix(rows[often, 1] & ~ONE) % (pieces[often].astype(np.uint64) + ONE)) % np.uint64(self.parts)
+        return part
 
 
 def bucket_pairs(docs: DataFrame, parts: int, costs: Costs) -> DataFrame:
     """``a, b, hub``: pairs of set keys to try (hub null), and the members of large buckets (b null) with the bucket's hub,
-    its smallest member. Buckets with one hub mostly hold the same group and are taken together."""
+    its smallest member. Buckets with one hub mostly hold the same group and are taken together. A bucket of very many sets
+    is split by set; each piece has its own hub, and the smallest of them is the hub of all."""
 
     sent = docs.sparkSession.sparkContext.broadcast(costs)  # of bounded size
 
     def give(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        deal, seen = Deal(parts, 2), set()
+        deal, seen = Split(parts, sent.value, SPLIT), set()
         for batch in batches:
             for shingles in shingle_sets(batch.column(0)):
                 if not len(shingles) or (key := keys_of(shingles)[0]) in seen:
@@ -251,32 +315,48 @@ def bucket_pairs(docs: DataFrame, parts: int, costs: Costs) -> DataFrame:
         rows = rows[np.argsort(rows[:, 0], kind="stable")]
         starts = np.flatnonzero(np.diff(rows[:, 0], prepend=rows[:1, 0] ^ ONE)) if len(rows) else np.zeros(0, np.int64)
         ends = np.append(starts[1:], len(rows))
+        split = sent.value.of(rows[starts, 0]) >= SPLIT if len(rows) else np.zeros(0, bool)
         pairs: list[np.ndarray] = []
         members: list[np.ndarray] = []
-        several = ends - starts > 1
-        for a, b in zip(starts[several].tolist(), ends[several].tolist(), strict=True):
+        pieces: list[tuple[int, int]] = []
+        several = (ends - starts > 1) | split
+        for a, b, is_split in zip(starts[several].tolist(), ends[several].tolist(), split[several].tolist(), strict=True):
             keys = np.unique(rows[a:b, 1])
             sets = keys & ~ONE
-            if sets[0] == sets[-1] or (keys & ONE).all():
+            if not is_split and (sets[0] == sets[-1] or (keys & ONE).all()):
                 continue
-            if len(keys) < STAR:
+            if not is_split and len(keys) < STAR:
                 i, j = np.triu_indices(len(keys), 1)
                 fine = (sets[i] != sets[j]) & ~((keys[i] & keys[j] & ONE).astype(bool))
                 pairs.append(np.stack([sets[i[fine]], sets[j[fine]]], 1))
             else:
-                hub = sets[(keys & ONE) == 0][0]
+                whole = sets[(keys & ONE) == 0]
+                hub = whole[0] if len(whole) else sets[0]
                 others = np.unique(sets[sets != hub])
                 pairs.append(np.stack([np.full(len(others), hub), others], 1))
                 members.append(np.stack([np.append(others, hub), np.full(len(others) + 1, hub)], 1))
+                if is_split:
+                    pieces.append((int(rows[a, 0]), int(hub)))
         found = np.concatenate(pairs) if pairs else np.zeros((0, 2), np.uint64)
         found = np.sort(found, axis=1)
         found = np.unique(found, axis=0) if len(found) else found
-        yield pa.record_batch([pa.array(found[:, 0].copy().view(np.int64)), pa.array(found[:, 1].copy().view(np.int64)), pa.nulls(len(found), pa.int64())], names=["a", "b", "hub"])
         held = np.unique(np.concatenate(members), axis=0) if members else np.zeros((0, 2), np.uint64)
-        yield pa.record_batch([pa.array(held[:, 0].copy().view(np.int64)), pa.nulls(len(held), pa.int64()), pa.array(held[:, 1].copy().view(np.int64))], names=["a", "b", "hub"])
+        cut = np.array(pieces, np.uint64).reshape(-1, 2)
+        for a, b, hub, sig in ((found[:, 0], found[:, 1], None, None), (held[:, 0], None, held[:, 1], None), (None, None, cut[:, 1], cut[:, 0])):
+            n = max(len(x) for x in (a, b, hub, sig) if x is not None)
+            yield pa.record_batch([pa.nulls(n, pa.int64()) if x is None else pa.array(x.copy().view(np.int64)) for x in (a, b, hub, sig)], names=["a", "b", "hub", "sig"])
 
     given = map_arrow(docs.select("text"), give, "part int, blob binary")
-    return stash(map_arrow(_dealt(given, parts), meet, "a long, b long, hub long"), "buckets")
+    found = stash(map_arrow(_dealt(given, parts), meet, "a long, b long, hub long, sig long"), "buckets")
+    cut = found.filter("sig is not null").select("hub", "sig")
+    if cut.isEmpty():
+        return found.drop("sig")
+    # pieces of one signature, and with them those of others that have the same hubs, go under one hub
+    first = cut.groupBy("sig").agg(F.min("hub").alias("first"))
+    linked = stash(components(cut.join(first, "sig").select(F.col("hub").alias("a"), F.col("first").alias("b"))), "hubs")
+    named = linked.select(F.col("node").alias("hub"), "component")
+    moved = found.filter("sig is null").join(named, "hub", "left").withColumn("hub", F.coalesce("component", "hub")).select("a", "b", "hub")
+    return moved.unionByName(linked.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"), F.lit(None).cast("long").alias("hub")))
 
 
 def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -380,8 +460,9 @@ def compare_blocks(left: list[tuple], right: list[tuple]) -> list[tuple[int, int
     return spanning(near, np.array([i for i, _, _ in left]), np.array([i for i, _, _ in right]))
 
 
-def remaining(docs: DataFrame, members: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
-    """Links ``a, b`` that large buckets still hold between classes in different components so far.
+def remaining(docs: DataFrame, members: DataFrame, classes: DataFrame, found: DataFrame, first_only: bool = False) -> DataFrame:
+    """Links ``a, b`` that large buckets still hold between classes in different components so far; with ``first_only``
+    between one class of each component of a bucket alone.
 
     The members of a hub's buckets are dealt into blocks of ``BLOCK`` sets and every two blocks meet once, so no pair is a
     row and no task gets a whole group.
@@ -389,6 +470,8 @@ def remaining(docs: DataFrame, members: DataFrame, classes: DataFrame, found: Da
     known = classes.select("cid", "row", F.col("g1").bitwiseAND(F.lit(-2)).alias("key"))
     grouped = members.select("hub", F.col("a").alias("key")).distinct()
     grouped = grouped.join(known, "key").join(found.select(F.col("node").alias("cid"), "component"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+    if first_only:
+        grouped = grouped.groupBy("hub", "component").agg(F.min(F.struct("cid", "row")).alias("x")).select("hub", F.col("x.cid").alias("cid"), F.col("x.row").alias("row"), "component")
     grouped = stash(grouped.select("hub", "cid", "row", "component"), "grouped")
     sizes = grouped.groupBy("hub").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).filter("low <> high").select("hub", "blocks")
     dealt = grouped.join(sizes, "hub").withColumn("block", F.pmod(F.xxhash64("cid", "hub"), F.col("blocks")).cast("int"))
@@ -445,11 +528,12 @@ def jaccard_groups(docs: DataFrame) -> DataFrame:
     ``component_id`` is the smallest doc_id reachable by links, its own included; a null id counts only where all are
     null. A null, empty or wordless text has no shingles and is its own component. Only
     components are given, no links: of a large group no more are verified than connect it. ``row`` tells apart unequal
-    rows with one doc_id, ``component`` groups without any id; it is null where there are no shingles.
+    rows with one doc_id, ``component`` groups without any id; it is null where there are no shingles. Texts are compared
+    whole however long, rows repeated whole are one class, columns other than the two are left, also ones with clashing
+    names, and an empty table gives an empty one.
     """
     spark = docs.sparkSession
     docs = pick(docs, "doc_id", "text").select("doc_id", text_of().alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def size_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -460,11 +544,18 @@ def jaccard_groups(docs: DataFrame) -> DataFrame:
     sized = stash(map_arrow(docs.select("doc_id", "row", "text"), size_up, "doc_id long, row long, n_shingles long, g1 long, g2 long"), "sizes")
     classes = sized.filter("n_shingles > 0").groupBy("g1", "g2").agg(F.min("doc_id").alias("least"), F.min("row").alias("row"))
     classes = stash(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
+    held = sized.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-held // ENTRIES))  # a shingle gives at most about an entry
     buckets = bucket_pairs(docs, parts, common_signatures(docs, parts))
     links = verified(docs, classes, buckets.filter("hub is null").select("a", "b").distinct())
     found = stash(components(links), "components")
-    links = links.unionByName(remaining(docs, buckets.filter("hub is not null"), classes, found))
-    found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links))
+    members = buckets.filter("hub is not null")
+    held = lambda: found.select(F.col("node").alias("a"), F.col("component").alias("b"))  # noqa: E731, B023
+    # first one of each component of a bucket with the others, then what is still apart in full
+    few = remaining(docs, members, classes, found, first_only=True)
+    if not few.isEmpty():
+        found = stash(components(held().unionByName(few)), "components")
+    found = components(held().unionByName(remaining(docs, members, classes, found)))
     joined = classes.join(found.select(F.col("node").alias("cid"), "component"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     smallest = joined.groupBy("component").agg(F.min("least").alias("component_id"))
     named = joined.join(smallest, "component").select("g1", "g2", "component_id", "component")

@@ -81,6 +81,8 @@ def test_groups_equal_brute_force(spark, monkeypatch, seed, most):
         monkeypatch.setattr(module, "MEMBERS", 7)
         monkeypatch.setattr(module, "BLOCK", 5)
         monkeypatch.setattr(module, "COLUMNS", 64)
+        monkeypatch.setattr(module, "SPLIT", 6)
+        monkeypatch.setattr(module, "ENTRIES", 900)
     if seed > 2:
         monkeypatch.setattr(module, "SENT", 0)
     docs = edited(seed, 260, WORDS, most)
