@@ -111,7 +111,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 12_000, least: int =
 
     ``labels(doc_id, toxic)`` holds whole grades from 0. Where there are only two, the toxic documents are split at the
     median of their share of terms that go with the label, so that severity has the grades none, mild and severe. Of the
-    features in at least ``least`` documents the ``most`` with the largest weight of evidence are used.
+    features in at least ``least`` documents the ``most`` with the largest weight of evidence are used: others say less
+    about the label than chance would, and a penalty alone would keep millions of them in the model that every task holds.
+    Null ids and labels don't count, of several labels of an id the highest does, of several texts of an id the first in
+    order; ties of hashes go by id and of evidence by feature. Without labels, or with one grade, nothing is toxic.
     """
     marks = pick(labels, "doc_id", "toxic").filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("grade"))
     chosen = marks.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(sample).select("doc_id", "grade")
@@ -122,7 +125,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 12_000, least: int =
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array([features.of(t) for t in batch.column(2).to_pylist()], pa.list_(pa.int64()))], names=["doc_id", "grade", "features"])
 
     texts = pick(docs, "doc_id", "text").filter("doc_id is not null")
-    joined = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "grade", text_of().alias("text"))  # at most `sample` small rows
+    # at most `sample` small rows are sent; of repeated ids one text stays, so as many rows come back
+    joined = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "grade").agg(F.min(text_of()).alias("text"))
     rows = stash(map_arrow(joined, featured, "doc_id long, grade int, features array<long>"), "features")
     base = rows.agg(F.count("*").alias("n"), F.coalesce(F.avg((F.col("grade") > 0).cast("double")), F.lit(0.0)).alias("share")).first()
     share, held = F.lit(base["share"]), F.col("held")
@@ -156,7 +160,9 @@ def predict(docs: DataFrame, model: CumulativeLink, threshold: float = 0.3) -> D
     """``doc_id, expected_severity, severity, toxic`` for each row of ``docs(doc_id, text)``; no shuffle.
 
     ``expected_severity`` sums P(grade > k) over the thresholds, ``severity`` is the likeliest grade, ``toxic`` says whether
-    P(grade > 0) is at least ``threshold``. Null and empty texts have no features. Texts are read whole.
+    P(grade > 0) is at least ``threshold``. Null and empty texts have no features. Texts are read whole, however long.
+    Repeated rows are judged each, an empty table gives an empty one, columns other than the two are left, also ones with
+    clashing names.
     """
     known = model.index
 

@@ -1,4 +1,10 @@
+import math
+import random
+import statistics
+from collections import Counter
+
 import numpy as np
+import pytest
 
 from palimpsest.llm.queries import QUERIES
 from palimpsest.llm.toxicity import CumulativeLink, predict, train, word_features
@@ -19,6 +25,84 @@ def test_ordinal_fit_recovers_order():
     assert abs(model.weights[2:]).max() < 0.3 * model.weights[:2].min()
 
 
+def loss(params, x, grades, levels, penalty):
+    """Penalised negative log likelihood a document, written out over a dense matrix."""
+    weights, thresholds = params[: x.shape[1]], params[x.shape[1] :]
+    below = 1 / (1 + np.exp(-(thresholds[None, :] - (x @ weights)[:, None])))
+    cumulative = np.hstack([np.zeros((len(x), 1)), below, np.ones((len(x), 1))])
+    p = cumulative[np.arange(len(x)), grades + 1] - cumulative[np.arange(len(x)), grades]
+    return -np.log(np.maximum(p, 1e-300)).mean() + penalty / 2 * (weights**2).sum()
+
+
+def test_fit_against_a_plain_descent():
+    rng = np.random.default_rng(4)
+    x = (rng.random((400, 6)) < 0.4).astype(float)
+    score = x @ np.array([2.0, 1.0, -1.0, 0.5, 0.0, 0.0]) + rng.logistic(size=400)
+    grades = np.searchsorted([0.5, 2.0], score)
+    rows, columns = np.nonzero(x)
+    model = CumulativeLink({i: i for i in range(6)}).fit(rows, columns, len(x), grades, penalty=2e-3, rounds=1500, rate=0.05)
+    fitted = np.concatenate([model.weights, model.thresholds])
+    params, rate = np.concatenate([np.zeros(6), [0.0, 1.0]]), 1.0
+    for _ in range(1200):  # numerical gradients, steps that shrink until the loss falls
+        steps = np.eye(8) * 1e-5
+        grad = np.array([(loss(params + h, x, grades, 3, 2e-3) - loss(params - h, x, grades, 3, 2e-3)) / 2e-5 for h in steps])
+        while rate > 1e-9 and loss(params - rate * grad, x, grades, 3, 2e-3) > loss(params, x, grades, 3, 2e-3):
+            rate /= 2
+        params = params - rate * grad
+        rate *= 1.5
+    assert loss(fitted, x, grades, 3, 2e-3) <= loss(params, x, grades, 3, 2e-3) + 1e-5
+    assert np.allclose(fitted, params, atol=0.05)
+
+
+def brute_features(text, known):
+    """Levels of hashed words and prefixes, text by text."""
+    words, held = text.split(), Counter()
+    for word in words:
+        held.update(word_features(word))
+    out = set()
+    for f, n in held.items():
+        for level, least in enumerate((1, 2, 4, max(2, len(words) / 300), max(2, len(words) / 120))):
+            if n >= least and 8 * f + level in known:
+                out.add(known[8 * f + level])
+    return out
+
+
+def test_every_row_against_the_formula(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for row in predict(docs, model).collect():
+        score = sum(model.weights[i] for i in brute_features(texts[row["doc_id"]] or "", model.index))
+        above = [1 / (1 + math.exp(min(60, max(-60, t - score)))) for t in model.thresholds]
+        assert row["expected_severity"] == pytest.approx(sum(above))
+        shares = -np.diff([1.0, *above, 0.0])
+        assert shares[row["severity"]] == pytest.approx(max(shares)) and row["toxic"] == bool(above and above[0] >= 0.3)
+
+
+def test_severe_means_more_of_it(spark):
+    """Grades made from two labels: the share of marking words rises with the expected severity."""
+    rng = random.Random(3)
+    plain, rude = [f"word{i}" for i in range(200)], ["stupid", "idiot", "hateful", "moron"]
+    docs, share = [], {}
+    for i in range(600):
+        k = 0 if i % 3 else rng.choice([2, 4, 20, 30])
+        text = rng.sample(plain, 60) + [rng.choice(rude) for _ in range(k)]
+        rng.shuffle(text)
+        docs.append((i, " ".join(text), "en", "s", 1))
+        share[i] = k / len(text)
+    df = spark.createDataFrame(docs, DOC_SCHEMA)
+    labels = spark.createDataFrame([(i, 1, int(share[i] > 0)) for i in range(400)], LABELS)
+    got = {r["doc_id"]: r["expected_severity"] for r in predict(df, train(df, labels)).collect()}
+    mean = lambda low, high: statistics.fmean(got[i] for i in range(400, 600) if low <= share[i] < high)
+    assert mean(0, 1e-9) < 0.3 < mean(1e-9, 0.1) < mean(0.2, 1) - 0.3
+
+
+def test_repeated_ids_come_back_once(spark):
+    docs = spark.createDataFrame([(1, f"text {k % 3}", "en", "s", 1) for k in range(500)] + [(2, "other", "en", "s", 1)], DOC_SCHEMA)
+    labels = spark.createDataFrame([(1, 1, 1), (2, 1, 0)], LABELS)
+    assert predict(docs, train(docs, labels, least=1)).count() == 501
+
+
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
