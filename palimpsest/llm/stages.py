@@ -1,4 +1,7 @@
-"""What the operators decide, applied to tables of documents: each function gives a table with the same columns."""
+"""What the operators decide, applied to tables of documents: each function gives a table with the same columns.
+
+All of them take nulls in any column, empty and very long texts, rows repeated whole, empty tables (which give empty ones) and
+extra columns, also with clashing names, which come along. Rows are told apart by ``doc_id`` and the hash of their text."""
 
 from __future__ import annotations
 
@@ -50,6 +53,7 @@ def once(docs: DataFrame, keys: DataFrame) -> DataFrame:
 
 @plainly
 def keep_quality(docs: DataFrame) -> DataFrame:
+    """Rows that the quality rules keep, repeated ones each; null and empty texts go."""
     from palimpsest.llm.quality import quality_rules
 
     judged = quality_rules(docs)
@@ -58,7 +62,8 @@ def keep_quality(docs: DataFrame) -> DataFrame:
 
 @plainly
 def drop_repeated_lines(docs: DataFrame) -> DataFrame:
-    """Texts without repeated lines; a document of which no word is left goes."""
+    """Texts without repeated lines; a document of which no word is left goes, so null and empty texts do. Of equal lines the
+    one with the smallest doc_id (null first) and place stays; rows repeated whole keep the same lines."""
     from palimpsest.llm.line_dedup import line_dedup
 
     others = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
@@ -69,7 +74,7 @@ def drop_repeated_lines(docs: DataFrame) -> DataFrame:
 
 @plainly
 def one_of_each_group(docs: DataFrame) -> DataFrame:
-    """Of documents that are linked only the one with the smallest doc_id stays, and of several with that id, or where all have none, one."""
+    """Of documents that are linked only the one with the smallest doc_id stays, and of several with that id, or where all have none, one. Null and empty texts are linked with nothing and stay; rows repeated whole stay once."""
     from palimpsest.llm.ngram_join import jaccard_groups
 
     groups = stash(jaccard_groups(docs), "groups").filter("n_shingles > 0")
@@ -80,7 +85,8 @@ def one_of_each_group(docs: DataFrame) -> DataFrame:
 
 @plainly
 def mixed(docs: DataFrame) -> DataFrame:
-    """Documents as often as the mix begins them."""
+    """Documents as often as the mix begins them: not at all, once or twice. Null and empty texts have no words to take and go;
+    rows repeated whole count each. Ties of the random order go by doc_id."""
     from palimpsest.llm.mixing import mix
 
     taken = stash(mix(docs).select("doc_id", F.col("h").alias("row"), "copies"), "copies")
