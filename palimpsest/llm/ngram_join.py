@@ -39,7 +39,7 @@ REMEMBERED = 300_000
 #: rows with a proven number up to this are sent to every task
 SENT = 200_000
 #: members verified against one copy of a hub's set
-MEMBERS = 2_000
+MEMBERS = 250
 #: sets of one signature that a task holds, about; more are dealt to several tasks, as far as counts were sent
 SPLIT = 200_000
 #: entries that a task holds, about
