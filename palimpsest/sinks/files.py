@@ -46,7 +46,8 @@ def _at(base: str) -> tuple[pa.fs.FileSystem, str]:
 
 def write_texts(rows: DataFrame, base: str, extension: str = ".md") -> DataFrame:
     """Writes ``rows(subfolder, stem, text)`` as ``<base>/<subfolder>/<stem><extension>``, one file each, where none with
-    bytes is there, and gives ``path, written``. Executors write side by side; a task that runs again finds its files."""
+    bytes is there, and gives ``path, written``; a text can be bytes. Executors write side by side; a task that runs again
+    finds its files."""
     importable(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -59,7 +60,7 @@ def write_texts(rows: DataFrame, base: str, extension: str = ".md") -> DataFrame
                 if fresh:
                     store.create_dir(place.rpartition("/")[0], recursive=True)
                     with store.open_output_stream(f"{place}.part") as out:
-                        out.write((text or "").encode())
+                        out.write(text if isinstance(text, bytes) else (text or "").encode())
                     store.move(f"{place}.part", place)
                 paths.append(place)
                 written.append(fresh)
@@ -108,6 +109,16 @@ def metrics_text(report: DataFrame) -> str:
     return "\n".join([head, "-" * len(head), *map(line, rows)]) + "\n"
 
 
+def sections_text(sections: dict[str, DataFrame], most: int = 15) -> str:
+    """Text with a heading for each table and its first ``most`` rows, in the table's own order; columns stand under their names."""
+    out = []
+    for title, df in sections.items():
+        rows = [[f"{x:.4f}" if isinstance(x, float) else "" if x is None else repr(x) if str(x).isspace() else str(x) for x in r] for r in df.limit(most).collect()]  # the report's length
+        widths = [max(map(len, column)) for column in zip(df.columns, *rows, strict=True)]
+        out += [f"=== {title} ===", *("  ".join(x.ljust(w) for x, w in zip(line, widths, strict=True)).rstrip() for line in [df.columns, *rows]), ""]
+    return "\n".join(out)
+
+
 def append_transcripts(rows: DataFrame, path: str, key: str = "path") -> None:
     """Texts of images that have none there yet."""
     spark = rows.sparkSession

@@ -94,9 +94,16 @@ def detection_rows(spark: SparkSession, base: str, classes: dict[str, int]) -> D
 
 
 def image_folder(spark: SparkSession, base: str) -> DataFrame:
-    """Images joined with the rows of ``metadata.jsonl`` by ``file_name``."""
-    meta = spark.read.option("pathGlobFilter", "metadata.jsonl").json(base)
-    return images(spark, base).withColumn("file_name", F.regexp_extract("path", "([^/]*)$", 1)).join(meta, "file_name")
+    """Images joined with the rows of ``metadata.jsonl``, whose ``file_name`` is relative to the folder that file is in."""
+    meta = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "metadata.jsonl").json(base)
+    folder = F.regexp_extract(relative(F.col("_metadata.file_path"), base), r"^(.*/)?[^/]*$", 1)
+    meta = meta.withColumn("rel", F.concat(folder, "file_name"))
+    return images(spark, base).withColumn("rel", relative(F.col("path"), base)).join(meta, "rel").drop("rel")
+
+
+def decoded(spark: SparkSession, base: str) -> DataFrame:
+    """``origin, height, width, nChannels, mode, data`` of the images below ``base``, decoded by Spark; others are left."""
+    return spark.read.format("image").option("recursiveFileLookup", "true").option("dropInvalid", "true").load(base).select("image.*")
 
 
 def sidecars(found: DataFrame, beside: DataFrame, in_label: DataFrame) -> DataFrame:
