@@ -1,5 +1,6 @@
 import pytest
 
+import palimpsest.plans.trees  # noqa: F401  adds its queries
 from palimpsest.plans.registry import QUERIES, SQL
 from tests.oracle import same
 
