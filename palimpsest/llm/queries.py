@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm.base import table
 from palimpsest.llm.quality import QUALITY_SQL
+from palimpsest.llm.snapshot import SNAPSHOT_SQL
 from palimpsest.session import scratch
 
 
@@ -82,6 +83,13 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_digests(spark, path)
 
 
+def op13_snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from palimpsest.llm.snapshot import later_documents, snapshot_diff
+
+    docs = table(spark, sf_dir, "documents")
+    return snapshot_diff(docs, later_documents(docs))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_top_k": op1_top_k,
     "op2_ngram_join": op2_ngram_join,
@@ -93,10 +101,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_mix": op9_mix,
     "op10_token_ids": op10_token_ids,
+    "op13_snapshot_diff": op13_snapshot_diff,
 }
 
 SQL: dict[str, str] = {
     "op4_quality": QUALITY_SQL,
+    "op13_snapshot_diff": SNAPSHOT_SQL,
     "op1_top_k": """
 WITH sound AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
