@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm.base import table
+from palimpsest.llm.codebooks import codebook_sql
 from palimpsest.llm.quality import QUALITY_SQL
 from palimpsest.llm.snapshot import SNAPSHOT_SQL
 from palimpsest.session import scratch
@@ -83,6 +84,18 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_digests(spark, path)
 
 
+def op11_pack_freely(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from palimpsest.llm.free_packing import pack_freely
+
+    return pack_freely(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
+def op12_codebooks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from palimpsest.llm.codebooks import compress
+
+    return compress(table(spark, sf_dir, "embeddings"))
+
+
 def op13_snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     from palimpsest.llm.snapshot import later_documents, snapshot_diff
 
@@ -101,11 +114,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_mix": op9_mix,
     "op10_token_ids": op10_token_ids,
+    "op11_pack_freely": op11_pack_freely,
+    "op12_codebooks": op12_codebooks,
     "op13_snapshot_diff": op13_snapshot_diff,
 }
 
 SQL: dict[str, str] = {
     "op4_quality": QUALITY_SQL,
+    "op12_codebooks": codebook_sql(),
     "op13_snapshot_diff": SNAPSHOT_SQL,
     "op1_top_k": """
 WITH sound AS (
