@@ -7,6 +7,11 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions.constants import REGIONS
 from palimpsest.functions.geometry import corner_box, iou_xywh, iou_xyxy, normalized_centre
+from palimpsest.operators.grid import CROWDED, most_overlapping, suppressed
+from palimpsest.session import stash
+
+#: pairs of an image and class beyond which only boxes that touch are compared
+MOST_PAIRS = 250_000
 
 
 def region_classes(spark: SparkSession) -> DataFrame:
@@ -22,11 +27,26 @@ def predictions(detections: DataFrame, classes: DataFrame) -> DataFrame:
 BOX = "struct<seq:bigint,x:double,y:double,w:double,h:double>"
 
 
-def suppress(boxes: DataFrame, threshold: float = 0.5) -> DataFrame:
+def suppress(boxes: DataFrame, threshold: float = 0.5, crowded: int = CROWDED) -> DataFrame:
     """Boxes ``image, seq, x, y, w, h`` that overlap no kept earlier box of the image by more than ``threshold``.
 
-    A fold over the boxes of one image in order of ``seq``; an image's boxes are few.
+    A fold over the boxes of an image in order of ``seq`` where there are at most ``crowded``; images with more are worked
+    on cell by cell, by many tasks. Boxes without an image are one more image, folded.
     """
+    many = stash(boxes.groupBy("image").count().filter((F.col("count") > crowded) & F.col("image").isNotNull()).select("image"), "crowded")
+    if threshold < 0 or many.isEmpty():
+        return folded(boxes, threshold)
+    many = small_side(many)
+    dense = boxes.join(many, "image", "left_semi").withColumn("seq", F.col("seq").cast("bigint"))
+    return folded(boxes.join(many, "image", "left_anti"), threshold).unionByName(suppressed(dense, threshold))
+
+
+def small_side(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """A written table, to be broadcast where it has few rows."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def folded(boxes: DataFrame, threshold: float) -> DataFrame:
     row = F.struct(F.col("seq").cast("bigint").alias("seq"), *[F.col(c).cast("double").alias(c) for c in ("x", "y", "w", "h")])
     listed = boxes.groupBy("image").agg(F.sort_array(F.collect_list(row)).alias("boxes"))
     none = F.array().cast(f"array<{BOX}>")
@@ -39,11 +59,37 @@ def corners_of(x: str = "x", y: str = "y", w: str = "w", h: str = "h") -> Column
     return F.struct(d(x).alias("x1"), d(y).alias("y1"), (d(x) + d(w)).alias("x2"), (d(y) + d(h)).alias("y2"))
 
 
-def best_matches(truth: DataFrame, found: DataFrame) -> DataFrame:
-    """For each prediction ``image, cls, pid`` the truth box it overlaps most: ``best`` (smallest id of equals) and ``iou``."""
+def box_pairs(truth: DataFrame, found: DataFrame) -> DataFrame:
+    """``image, cls, pid, conf, gid, iou`` of all pairs in an image and class, or null for a prediction that has none."""
     a = found.select("image", "cls", F.col("bid").alias("pid"), "conf", corners_of().alias("p"))
     b = truth.select("image", "cls", F.col("bid").alias("gid"), corners_of().alias("g"))
     both = a.join(b, ["image", "cls"], "left").withColumn("iou", F.when(F.col("gid").isNotNull(), iou_xyxy(F.col("p"), F.col("g"))))
+    return both.select("image", "cls", "pid", "conf", "gid", "iou")
+
+
+def touching_pairs(truth: DataFrame, found: DataFrame, groups: DataFrame) -> DataFrame:
+    """The same for pairs that touch, and for each prediction one that doesn't: the truth box ``least`` of its group."""
+    corners = lambda s: F.struct(*[e.alias(n) for e, n in ((F.col(f"{s}.x"), "x1"), (F.col(f"{s}.y"), "y1"), (F.col(f"{s}.x") + F.col(f"{s}.w"), "x2"), (F.col(f"{s}.y") + F.col(f"{s}.h"), "y2"))])
+    pairs = most_overlapping(truth.select("image", "cls", F.col("bid").alias("gid"), "x", "y", "w", "h"), found.select("image", "cls", F.col("bid").alias("pid"), "conf", "x", "y", "w", "h"), ["image", "cls"])
+    pairs = pairs.select("image", "cls", "f.pid", "f.conf", "t.gid", iou_xyxy(corners("f"), corners("t")).alias("iou"))
+    apart = found.join(groups, ["image", "cls"]).select("image", "cls", F.col("bid").alias("pid"), "conf", F.col("least").alias("gid"), F.lit(0.0).alias("iou"))
+    return pairs.unionByName(apart)
+
+
+def best_matches(truth: DataFrame, found: DataFrame, most_pairs: int = MOST_PAIRS) -> DataFrame:
+    """For each prediction ``image, cls, pid`` the truth box it overlaps most: ``best`` (smallest id of equals) and ``iou``.
+
+    Boxes of an image and class are all compared where that makes at most ``most_pairs`` pairs; in others, those that touch.
+    """
+    there = truth.groupBy("image", "cls").agg(F.count("*").alias("n"), F.min("bid").alias("least"))
+    pairs = there.join(found.groupBy("image", "cls").agg(F.count("*").alias("m")), ["image", "cls"])
+    groups = stash(pairs.filter(F.col("n").cast("double") * F.col("m") > most_pairs).select("image", "cls", "least"), "crowded")
+    if groups.isEmpty():
+        both = box_pairs(truth, found)
+    else:
+        groups = small_side(groups)
+        of, but = ((lambda df, how=how: df.join(groups.drop("least"), ["image", "cls"], how)) for how in ("left_semi", "left_anti"))
+        both = box_pairs(but(truth), but(found)).unionByName(touching_pairs(of(truth), of(found), groups))
     best = F.max(F.when(F.col("gid").isNotNull(), F.struct(F.col("iou"), (-F.col("gid")).alias("minus"))))
     out = both.groupBy("image", "cls", "pid").agg(F.first("conf").alias("conf"), best.alias("best"))
     return out.select("image", "cls", "pid", "conf", (-F.col("best.minus")).alias("gid"), F.col("best.iou").alias("iou"))
@@ -59,10 +105,15 @@ def match_counts(truth: DataFrame, found: DataFrame, threshold: float = 0.5) ->
 
 
 def labelled_matches(truth: DataFrame, found: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """Each prediction with ``is_tp``: the first claimant of its best truth box, by confidence, then id."""
-    best = best_matches(truth, found).withColumn("good", F.coalesce(F.col("iou") >= threshold, F.lit(False)))
-    rank = F.row_number().over(Window.partitionBy("image", "cls", "gid", "good").orderBy(F.col("conf").desc(), "pid"))
-    return best.select("image", "cls", "pid", (F.col("good") & (rank == 1)).cast("int").alias("is_tp"))
+    """Each prediction with ``is_tp``: the first claimant of its best truth box, by confidence, then id.
+
+    The first is an aggregate and comes back by the prediction's own name, so a truth box that many claim is no one's task.
+    """
+    best = stash(best_matches(truth, found), "matches")
+    order = F.struct(F.col("conf").isNull(), -F.col("conf"), F.col("pid"))
+    claims = best.filter(F.col("iou") >= threshold).groupBy("image", "cls", "gid").agg(F.min_by("pid", order).alias("pid"))
+    claims = claims.select("image", "cls", "pid", F.lit(1).alias("is_tp"))
+    return best.join(claims, ["image", "cls", "pid"], "left").select("image", "cls", "pid", F.coalesce("is_tp", F.lit(0)).alias("is_tp"))
 
 
 def rates(counts: DataFrame) -> DataFrame:
