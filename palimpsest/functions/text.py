@@ -97,8 +97,17 @@ def is_formulaic(line: Column) -> Column:
     return line.rlike(f"(?iu)({'|'.join(FORMULAIC)})")
 
 
+def entity_pattern(entity: str, case_sensitive: bool = False) -> str:
+    return f"(?{'U' if case_sensitive else 'iuU'})({ENTITIES[entity]})"
+
+
 def entity_matches(text: Column, entity: str, case_sensitive: bool = False) -> Column:
-    return F.regexp_extract_all(text, F.lit(f"(?{'U' if case_sensitive else 'iuU'})({ENTITIES[entity]})"), F.lit(1))
+    return F.regexp_extract_all(text, F.lit(entity_pattern(entity, case_sensitive)), F.lit(1))
+
+
+def entity_begins(word: Column) -> Column:
+    """Whether a date can begin with a word: it ends with a digit."""
+    return word.rlike(r"(?U)\d$")
 
 
 def length_bucket(n_words: Column) -> Column:
