@@ -390,12 +390,14 @@ def _(spark, sf):
     return curation.assign_splits(crops.drop("page", "split"), old).select("filename", "split")
 
 
-DUPED_SQL = f"{v.CROPS_SQL}, duped AS (SELECT subfolder, 'f' || doc_id % 400 || '_' || doc_id % 3 || '.jpg' AS filename, split, path, doc_id FROM crops)"
+DUPED_SQL = f"{v.CROPS_SQL}, duped AS (SELECT subfolder, 'f' || CASE WHEN doc_id % 7 = 0 THEN doc_id // 50 ELSE doc_id // 2 END || '_' || doc_id % 3 || '.jpg' AS filename, split, path, doc_id FROM crops)"
 FIRST_SQL = f"{DUPED_SQL}, first AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY subfolder, filename ORDER BY CASE split WHEN 'train' THEN 0 WHEN 'test' THEN 1 ELSE 2 END, path) AS k FROM duped) WHERE k = 1)"
 
 
 def duped(spark, sf):
-    name = F.concat(F.lit("f"), (F.col("doc_id") % 400).cast("string"), F.lit("_"), (F.col("doc_id") % 3).cast("string"), F.lit(".jpg"))
+    """Pages of two crops, and for one in fifty documents a page of more, with file names that repeat."""
+    page = F.when(F.col("doc_id") % 7 == 0, F.floor(F.col("doc_id") / 50)).otherwise(F.floor(F.col("doc_id") / 2))
+    name = F.concat(F.lit("f"), page.cast("string"), F.lit("_"), (F.col("doc_id") % 3).cast("string"), F.lit(".jpg"))
     return v.crops(spark, sf).select("subfolder", name.alias("filename"), "split", "path", "doc_id")
 
 
@@ -637,9 +639,9 @@ def _(spark, sf):
     return v.pairs(spark, sf).groupBy(text.length_bucket(F.size(text.words(F.col("reference")))).alias("bucket")).agg(F.count("*").alias("n"))
 
 
-@query("p18_without_thinking", "SELECT doc_id, md5(CASE WHEN doc_id % 2 = 0 THEN ltrim(text, chr(10) || ' ') ELSE 'plain' END) AS digest FROM documents")
+@query("p18_without_thinking", "SELECT doc_id, md5(CASE WHEN doc_id % 2 = 0 THEN ltrim(text, chr(10) || ' ') ELSE text END) AS digest FROM documents")
 def _(spark, sf):
-    raw = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("<think>\nso\n</think>\n\n "), "text")).otherwise(F.lit("plain"))
+    raw = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("<think>\nso\n</think>\n\n "), "text")).otherwise(F.col("text"))
     return table(spark, sf, "documents").select("doc_id", F.md5(text.without_thinking(raw)).alias("digest"))
 
 
@@ -660,10 +662,24 @@ def _(spark, sf):
     return table(spark, sf, "documents").select("doc_id", text.mime(F.concat(F.lit("a/b"), ext)).alias("mime"), F.md5(text.base64(F.col("text"))).alias("digest"))
 
 
-@query("p22_p23_model_predicates", f"WITH m AS (SELECT unnest({[*PRICING, *SELF_HOSTED, 'o1-preview', 'O3']}) AS model) SELECT model, regexp_matches(lower(model), '^(gpt-5|o1|o3)') AS is_new, model IN ({', '.join(repr(m) for m in SELF_HOSTED)}) AS is_self_hosted FROM m")
+MODELS = [*PRICING, *SELF_HOSTED, "o1-preview", "O3"]
+CALLS_SQL = "SELECT ({models})[event_id % {n} + 1] AS model FROM events"
+
+
+def calls(spark: SparkSession, sf: str, models: list[str]) -> DataFrame:
+    """The model that each event calls."""
+    at = (F.col("event_id") % len(models) + 1).cast("int")
+    return table(spark, sf, "events").select(F.element_at(F.array(*map(F.lit, models)), at).alias("model"))
+
+
+@query(
+    "p22_p23_model_predicates",
+    f"""WITH m AS ({CALLS_SQL.format(models=MODELS, n=len(MODELS))})
+SELECT model, regexp_matches(lower(model), '^(gpt-5|o1|o3)') AS is_new, model IN ({', '.join(repr(m) for m in SELF_HOSTED)}) AS is_self_hosted, count(*) AS calls FROM m GROUP BY model""",
+)
 def _(spark, sf):
-    models = spark.createDataFrame([(m,) for m in [*PRICING, *SELF_HOSTED, "o1-preview", "O3"]], "model string")
-    return models.select("model", text.is_new_model(F.col("model")).alias("is_new"), F.col("model").isin(SELF_HOSTED).alias("is_self_hosted"))
+    marked = calls(spark, sf, MODELS).select("model", text.is_new_model(F.col("model")).alias("is_new"), F.col("model").isin(SELF_HOSTED).alias("is_self_hosted"))
+    return marked.groupBy("model", "is_new", "is_self_hosted").agg(F.count("*").alias("calls"))
 
 
 @query("p24_escape_html", "SELECT doc_id, md5(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')) AS digest FROM documents")
@@ -676,9 +692,16 @@ def _(spark, sf):
     return table(spark, sf, "part").select("p_partkey", *geometry.same_padding(F.col("p_size"), 5, 2, 3))
 
 
-@query("p25_palette")
+@query(
+    "p25_palette",
+    f"""WITH {v.BOXES_SQL}, hues AS (SELECT cls, count(*) AS boxes, 6.0 * cls / {len(REGIONS)} AS h, 0.95 AS v, 0.95 * (1 - 0.75) AS p FROM truth GROUP BY cls),
+parts AS (SELECT *, 0.95 * (1 - 0.75 * (h - floor(h))) AS q, 0.95 * (1 - 0.75 * (1 - (h - floor(h)))) AS t FROM hues),
+rgb AS (SELECT cls, boxes, CASE CAST(floor(h) AS INTEGER) WHEN 0 THEN [v, t, p] WHEN 1 THEN [q, v, p] WHEN 2 THEN [p, v, t] WHEN 3 THEN [p, q, v] WHEN 4 THEN [t, p, v] ELSE [v, p, q] END AS c FROM parts)
+SELECT cls, '#' || array_to_string(list_transform(c, lambda x: printf('%02x', CAST(trunc(x * 255) AS INTEGER))), '') AS colour, boxes FROM rgb""",
+)
 def _(spark, sf):
-    return spark.createDataFrame(list(enumerate(geometry.palette(len(REGIONS)))), "class_id int, colour string")
+    colours = F.element_at(F.array(*map(F.lit, geometry.palette(len(REGIONS)))), (F.col("cls") + 1).cast("int"))
+    return v.truth_boxes(spark, sf).groupBy("cls", colours.alias("colour")).agg(F.count("*").alias("boxes"))
 
 
 @query("p28_padded_labels", "WITH l AS (SELECT c_custkey, range(1, c_custkey % 9 + 1) AS ids FROM customer) SELECT c_custkey, array_to_string(list_transform(range(1, 7), lambda i: coalesce(ids[i], -100)), ',') AS labels, array_to_string(list_transform(range(0, 6), lambda i: CASE WHEN i = 0 THEN 2 ELSE coalesce(ids[i], 0) END), ',') AS inputs FROM l")
@@ -738,11 +761,14 @@ def _(spark, sf):
     "j17_fallback_chains",
     f"""WITH RECURSIVE edges AS (SELECT * FROM (VALUES {', '.join(f"('{a}', '{b}')" for a, b in FALLBACK.items())}) t(model, next)), chain AS (
   SELECT DISTINCT model, 0 AS step, model AS candidate, [model] AS tried FROM edges UNION ALL
-  SELECT c.model, c.step + 1, e.next, list_append(c.tried, e.next) FROM chain c JOIN edges e ON c.candidate = e.model WHERE NOT list_contains(c.tried, e.next))
-SELECT model, step, candidate FROM chain""",
+  SELECT c.model, c.step + 1, e.next, list_append(c.tried, e.next) FROM chain c JOIN edges e ON c.candidate = e.model WHERE NOT list_contains(c.tried, e.next)),
+called AS (SELECT model, count(*) AS calls FROM ({CALLS_SQL.format(models=MODELS, n=len(MODELS))}) GROUP BY model)
+SELECT model, step, candidate, calls FROM chain JOIN called USING (model)""",
 )
 def _(spark, sf):
-    return cost.fallback_chains(cost.fallback(spark))
+    """The models that calls fall back to, with how many calls may."""
+    called = calls(spark, sf, MODELS).groupBy("model").agg(F.count("*").alias("calls"))
+    return cost.fallback_chains(cost.fallback(spark)).join(called, "model")
 
 
 @query(

@@ -9,10 +9,11 @@ from palimpsest.functions import text
 from palimpsest.functions.constants import REGIONS
 from palimpsest.operators import curation, images, layout, scoring
 from palimpsest.plans import views as v
-from palimpsest.plans.registry import query, r6
+from palimpsest.plans.registry import REGROUP_SQL, query, r6, regrouped
 from palimpsest.plans.views import table
 from palimpsest.session import scratch, spread
 from palimpsest.sinks import files as sinks
+from palimpsest.sinks.tree import move_files, write_tree
 from palimpsest.sources import files as sources
 from palimpsest.sources import tables
 
@@ -257,3 +258,17 @@ def _(spark, sf):
 @query("p27_u3_lower_contrast")
 def _(spark, sf):
     return images.lower_contrast(drawn(spark, sf, 3)).select("origin", "height", digest("data"))
+
+
+@query("sk14_moved_files", f"WITH RECURSIVE {REGROUP_SQL} SELECT a.split, o.subfolder, regexp_replace(o.filename, '\\.jpg$', '') AS stem, md5(CAST(o.doc_id AS VARCHAR)) AS digest FROM one o JOIN assigned a ON o.page = a.page")
+def _(spark, sf):
+    """Crops lie in their old splits' folders; those of pages that get another split are moved to its folder."""
+    crops = regrouped(spark, sf)
+    place = lambda split: F.concat_ws("/", F.col(split), F.lit("images"), F.col("subfolder"), F.col("filename"))
+    base = scratch(spark, "crops")
+    write_tree(crops.select(F.concat_ws("/", "split", F.lit("images"), "subfolder").alias("folder"), F.col("filename").alias("name"), F.col("doc_id").cast("string").cast("binary").alias("content")), base)
+    changed = curation.moved(crops, curation.regroup(crops)).filter("moved").select(place("split").alias("source"), place("new_split").alias("target"))
+    move_files(changed, base)
+    found = sources.place(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base), base)
+    parts = F.split("subfolder", "/")
+    return found.select(F.get(parts, F.lit(0)).alias("split"), F.get(parts, F.lit(2)).alias("subfolder"), "stem", digest(F.col("content").cast("string")))

@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-import pyarrow.fs  # noqa: F401  makes pa.fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.functions.constants import SPLIT_WEIGHTS
 from palimpsest.operators.curation import has_splits, not_done
 from palimpsest.session import importable
+from palimpsest.sinks.tree import at, write_tree
 
 
 def with_default_split(annotations: DataFrame) -> DataFrame:
@@ -39,34 +39,11 @@ def write_report(report: DataFrame, path: str, items: DataFrame | None = None) -
         items.write.mode("overwrite").json(f"{path}-items")
 
 
-def _at(base: str) -> tuple[pa.fs.FileSystem, str]:
-    """The file system of a path or URI, and the path there."""
-    return pa.fs.FileSystem.from_uri(base) if "://" in base or base.startswith("file:") else (pa.fs.LocalFileSystem(), base)
-
-
 def write_texts(rows: DataFrame, base: str, extension: str = ".md") -> DataFrame:
     """Writes ``rows(subfolder, stem, text)`` as ``<base>/<subfolder>/<stem><extension>``, one file each, where none with
-    bytes is there, and gives ``path, written``; a text can be bytes. Executors write side by side; a task that runs again
-    finds its files."""
-    importable(rows.sparkSession)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, root = _at(base)
-        for batch in batches:
-            paths, written = [], []
-            for folder, stem, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                place = "/".join(x for x in (root.rstrip("/"), folder, f"{stem}{extension}") if x)
-                fresh = not store.get_file_info(place).size
-                if fresh:
-                    store.create_dir(place.rpartition("/")[0], recursive=True)
-                    with store.open_output_stream(f"{place}.part") as out:
-                        out.write(text if isinstance(text, bytes) else (text or "").encode())
-                    store.move(f"{place}.part", place)
-                paths.append(place)
-                written.append(fresh)
-            yield pa.record_batch([pa.array(paths, pa.string()), pa.array(written, pa.bool_())], names=["path", "written"])
-
-    return rows.select("subfolder", "stem", "text").mapInArrow(run, "path string, written boolean")
+    bytes is there, and gives ``path, written``; a text can be bytes. See ``tree.write_tree`` for names and failures."""
+    named = rows.select(F.coalesce("subfolder", F.lit("")).alias("folder"), F.concat("stem", F.lit(extension)).alias("name"), F.coalesce(F.col("text").cast("binary"), F.lit("").cast("binary")).alias("content"))
+    return write_tree(named, base)
 
 
 def copy_files(files: DataFrame, source: str, target: str, suffixes: list[str] | None = None) -> DataFrame:
@@ -75,7 +52,7 @@ def copy_files(files: DataFrame, source: str, target: str, suffixes: list[str] |
     importable(files.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (here, root), (there, out) = _at(source), _at(target)
+        (here, root), (there, out) = at(source), at(target)
         for batch in batches:
             done = []
             for path, size in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -138,10 +115,21 @@ def run_summary(results: DataFrame) -> tuple[DataFrame, DataFrame]:
     return total, results.filter(failed).select("path", "error")
 
 
-def write_summary(results: DataFrame, path: str) -> None:
-    total, failures = run_summary(results)
+def write_summary(results: DataFrame, path: str) -> DataFrame:
+    """Totals in ``<path>/summary`` and failures in ``<path>/failed``; gives the totals.
+
+    Results may come from calls that cost money and differ each time, so they are read once: the pass that writes the
+    failures also observes the totals.
+    """
+    spark, seen = results.sparkSession, Observation()
+    failed = F.col("error").isNotNull()
+    tokens = [F.sum(c).alias(c) for c in ("input_tokens", "output_tokens")]
+    watched = results.observe(seen, F.count("*").alias("images"), F.count_if(~failed).alias("succeeded"), F.count_if(failed).alias("failed"), *tokens)
+    watched.filter(failed).select("path", "error").write.mode("overwrite").json(f"{path}/failed")
+    names = "images long, succeeded long, failed long, input_tokens long, output_tokens long"
+    total = spark.createDataFrame([tuple(seen.get[n.split()[0]] for n in names.split(", "))], names)
     total.coalesce(1).write.mode("overwrite").json(f"{path}/summary")
-    failures.write.mode("overwrite").json(f"{path}/failed")
+    return total
 
 
 def prediction_rows(predictions: DataFrame) -> DataFrame:

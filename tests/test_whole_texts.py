@@ -222,7 +222,7 @@ def test_written_texts_and_copies(spark, tmp_path):
     base = str(tmp_path / "out")
     assert sinks.write_texts(rows, base).filter("written").count() == 3
     assert (tmp_path / "out" / "a" / "1.md").read_text() == "one é"
-    assert sinks.write_texts(rows, base).filter("written").count() == 1  # only the empty one again
+    assert sinks.write_texts(rows, base).filter("written").count() == 0
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base).select("path", "length")
     assert sinks.copy_files(files, f"file://{base}", str(tmp_path / "copy"), [".md"]).filter("copied").count() == 2  # Spark lists no empty file
     assert (tmp_path / "copy" / "a" / "1.md").read_text() == "one é"
