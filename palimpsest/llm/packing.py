@@ -1,8 +1,8 @@
 """Best-fit packing by linear grouping: pieces of documents into as few sequences as it can.
 
 The driver only sees histograms over lengths (at most ``capacity`` rows each), so what it plans has a size that doesn't
-depend on the data: which group of large pieces fills which place of which configuration, and which small pieces go into
-sequences with which room left. Pieces find their places by their rank among pieces of the same length, which is counted
+depend on the data: which group of large pieces fills which place of which configuration, which of these sequences are taken
+apart again for their room, and which small or freed pieces go into sequences with which room left. Pieces find their places by their rank among pieces of the same length, which is counted
 in buckets, so no length is ranked by one task.
 """
 
@@ -83,6 +83,10 @@ def fullest(sizes: list[int], values: np.ndarray, capacity: int) -> np.ndarray:
     return out
 
 
+#: share of sequences that the linear program may need beyond its least
+NEAR = 2e-4
+
+
 def optimised(sizes: list[int], wanted: list[int], capacity: int, rounds: int = 4_000) -> list[tuple[np.ndarray, float]]:
     """Configurations and how often each is used in the least total that holds ``wanted`` pieces of each size: a linear
     program by column generation, where the next configuration is the fullest one at the prices so far."""
@@ -98,7 +102,7 @@ def optimised(sizes: list[int], wanted: list[int], capacity: int, rounds: int =
             column, price = -np.eye(m)[g], 0.0
         else:
             column, price = fullest(sizes, prices, capacity), 1.0
-            if prices @ column <= 1 + 1e-7:
+            if prices @ column <= 1 + NEAR:  # the total is within this share of the least
                 break
         along = inverse @ column
         ratios = np.where(along > 1e-9, x / np.where(along > 1e-9, along, 1), np.inf)
@@ -137,13 +141,12 @@ class Plan:
         #: sequences of each configuration, and for each of its groups (group, slots before, pieces in a sequence)
         self.configurations: list[tuple[int, list[tuple[int, int, int]]]] = []
         self.lengths, self.ends = lengths, ends
+        self.reopen([])
         used, self.sequences = [0] * len(sizes), 0
-        best = [({int(g): int(config[g]) for g in np.flatnonzero(config)}, int(times + 1e-6)) for config, times in optimised(sizes, left, capacity)]
-        while any(left):
-            config, most = best.pop() if best else (self._configuration(left), 1 << 62)
-            times = min(most, *(left[g] // k for g, k in config.items())) if config else 0
+        def use(config: dict[int, int], most: int) -> None:
+            times = min(most, *(left[g] // k for g, k in config.items()))
             if not times:
-                continue
+                return
             self.configurations.append((times, [(g, used[g], k) for g, k in config.items()]))
             for g, k in config.items():
                 self.slots[g].append((used[g], self.sequences, k))
@@ -151,11 +154,19 @@ class Plan:
                 left[g] -= k * times
             self.sequences += times
 
-    def rooms(self) -> np.ndarray:
-        """How many sequences have each room left once the actual pieces are in. A configuration's sequences are alike
-        between the ranks at which a length ends, so the work grows with lengths and configurations, not with pieces."""
-        out = np.zeros(self.capacity + 1, np.int64)
-        for times, held in self.configurations:
+        for config, times in optimised(sizes, left, capacity):
+            use({int(g): int(config[g]) for g in np.flatnonzero(config)}, int(times + 1e-6))
+        #: configurations of the linear program; those of what its whole numbers leave over follow
+        self.optimised = len(self.configurations)
+        while any(left):
+            use(self._configuration(left), 1 << 62)
+
+    def segments(self) -> list[tuple[int, int, int, int]]:
+        """``(configuration, from, to, room)``: the turns of a configuration between which its sequences are alike once the
+        actual pieces are in, and the room that they have left. Turns change where a length ends, so the work grows with
+        lengths and configurations, not with pieces."""
+        out = []
+        for c, (times, held) in enumerate(self.configurations):
             turns = [np.array([0])]
             for g, before, k in held:
                 first = self.cuts[g] + before
@@ -167,7 +178,45 @@ class Plan:
             for g, before, k in held:
                 ranks = self.cuts[g] + before + at[:, None] * k + np.arange(k)
                 total += self.lengths[np.searchsorted(self.ends, ranks, side="right")].sum(axis=1)
-            np.add.at(out, self.capacity - total, np.diff(np.append(at, times)))
+            out += [(c, int(x), int(y), int(r)) for x, y, r in zip(at, np.append(at[1:], times), self.capacity - total, strict=True)]
+        return out
+
+    def rooms(self) -> np.ndarray:
+        """How many sequences have each room left once the actual pieces are in."""
+        out = np.zeros(self.capacity + 1, np.int64)
+        for _, x, y, room in self.segments():
+            out[room] += y - x
+        return out
+
+    def reopen(self, segments: list[tuple[int, int, int, int]]) -> None:
+        """Take the sequences of these segments apart: their pieces are to be put by best fit."""
+        spans = []
+        for c, x, y, _ in segments:
+            for g, before, k in self.configurations[c][1]:
+                first = int(self.cuts[g]) + before
+                spans.append((first + x * k, first + y * k))
+        spans.sort()
+        self.freed = np.array(spans, np.int64).reshape(-1, 2)
+        #: freed pieces before each span
+        self.freed_before = np.concatenate([[0], np.cumsum(self.freed[:, 1] - self.freed[:, 0])])
+
+    def _freed_until(self, overall: np.ndarray) -> np.ndarray:
+        """How many freed pieces have a smaller rank, among pieces of all lengths from the longest on."""
+        at = np.searchsorted(self.freed[:, 0], overall, side="right")
+        last = self.freed[np.maximum(at - 1, 0)] if len(self.freed) else np.zeros((len(overall), 2), np.int64)
+        return np.where(at > 0, self.freed_before[np.maximum(at - 1, 0)] + np.minimum(overall, last[:, 1]) - last[:, 0], 0)
+
+    def pooled(self, lengths: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+        """The rank of each freed piece among the freed ones of its length; -1 for a piece that keeps its place."""
+        overall = self.first[lengths] + ranks
+        before = self._freed_until(overall)
+        return np.where(self._freed_until(overall + 1) > before, before - self._freed_until(self.first[lengths]), -1)
+
+    def freed_counts(self) -> np.ndarray:
+        """Freed pieces of each length."""
+        out = np.zeros(self.capacity + 1, np.int64)
+        starts = np.concatenate([[0], self.ends[:-1]]) if len(self.ends) else self.ends
+        out[self.lengths] = self._freed_until(self.ends) - self._freed_until(starts)
         return out
 
     def _configuration(self, left: list[int]) -> dict[int, int]:
@@ -274,25 +323,51 @@ class SmallPlan:
         return rooms, at
 
 
+#: shares of the sequences of large pieces that may be taken apart, those with most room left
+REOPENED = (0, 1 / 256, 1 / 64, 1 / 32, 1 / 16, 1 / 8, 1 / 4, 3 / 8, 1 / 2, 5 / 8, 11 / 16, 3 / 4, 1)
+
+
 def planned(counts: np.ndarray, capacity: int = CAPACITY, groups: int = GROUPS, small: int | None = None) -> tuple[int, Plan]:
-    """The length up to which pieces are put by best fit, and the plan for those above.
+    """The length up to which pieces are small (an eighth of the capacity unless given), and the plan for those above.
 
-    Linear grouping for pieces above ``small`` (an eighth of the capacity unless given), or best fit for all of them where
-    that opens no more sequences: so never more than best fit, longest first.
+    Rounding leaves sequences of large pieces with a little room each, too little for most small pieces. So those with most
+    room are taken apart again, and their pieces are put by best fit with the small ones, into what is left open first. The
+    share of the sequences that this is done for is the one that needs the fewest, and of those the one that frees the
+    fewest pieces: none, where configurations are better than best fit, and all only where nothing else is as good as it.
     """
     small = capacity // 8 if small is None else small
     is_large = np.arange(capacity + 1) > small
     plan = Plan(np.where(is_large, counts, 0), capacity, groups)
-    grouped = plan.sequences + SmallPlan(np.where(is_large, 0, counts), plan.rooms(), capacity).opened
-    if SmallPlan(counts, np.zeros(capacity + 1, np.int64), capacity).opened <= grouped:
-        return capacity, Plan(np.zeros(capacity + 1, np.int64), capacity, groups)
+    few = np.where(is_large, 0, counts)
+    segments = sorted(plan.segments(), key=lambda s: -s[3])
+    all_rooms = plan.rooms()
+    best: tuple[int, int, list] | None = None
+    for spare in (False, True):  # with what the whole numbers of the linear program leave over, or without
+        base = [x for x in segments if spare and x[0] >= plan.optimised]
+        others = [x for x in segments if not spare or x[0] < plan.optimised]
+        for share in REOPENED:
+            left, chosen = int(share * plan.sequences), list(base)
+            for c, x, y, room in others:
+                if left <= 0:
+                    break
+                chosen.append((c, x, min(y, x + left), room))
+                left -= y - x
+            plan.reopen(chosen)
+            rooms, freed = all_rooms.copy(), plan.freed_counts()
+            for _, x, y, room in chosen:
+                rooms[room] -= y - x
+            needed = int(rooms.sum()) + SmallPlan(few + freed, rooms, capacity).opened
+            if best is None or (needed, int(freed.sum())) < best[:2]:
+                best = needed, int(freed.sum()), chosen
+    plan.needed = best[0]
+    plan.reopen(best[2])
     return small, plan
 
 
 def pack(items: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS, small: int | None = None) -> DataFrame:
     """Adds ``sequence_id`` and ``offset`` to ``items(row_id, piece, length)``, each of 1 to ``capacity`` ids.
 
-    ``planned`` says which pieces are placed how. ``items`` is read several times: pass a written table.
+    ``planned`` says which pieces are placed how; small pieces and freed ones are put by one best fit. ``items`` is read several times: pass a written table.
     An empty table gives an empty one; equal rows are ranked by row_id and piece and all placed.
     """
     counts = np.zeros(capacity + 1, np.int64)
@@ -306,8 +381,10 @@ def pack(items: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS, small
 
     def place_large(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = plan.sequence(batch["length"].to_numpy(), batch["rank"].to_numpy())
-            yield pa.record_batch([batch["row_id"], batch["piece"], batch["length"], pa.array(found)], names=["row_id", "piece", "length", "sequence_id"])
+            lengths, ranks = batch["length"].to_numpy(), batch["rank"].to_numpy()
+            stays = plan.pooled(lengths, ranks) < 0
+            found = plan.sequence(lengths[stays], ranks[stays])
+            yield pa.record_batch([*(batch[c].filter(pa.array(stays)) for c in ("row_id", "piece", "length")), pa.array(found)], names=["row_id", "piece", "length", "sequence_id"])
 
     cut = ["row_id", "piece", "length", "rank"]
     placed = "row_id long, piece int, length long, sequence_id long"
@@ -317,14 +394,18 @@ def pack(items: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS, small
     rooms = np.zeros(capacity + 1, np.int64)
     for row in open_sequences.groupBy("room").agg(F.count("*").alias("n")).collect():  # at most `capacity` rows
         rooms[row["room"]] = row["n"]
-    rest = SmallPlan(np.where(is_large, 0, counts), rooms, capacity)
+    rest = SmallPlan(np.where(is_large, 0, counts) + plan.freed_counts(), rooms, capacity)
 
     def place_small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            room, at = rest.place(batch["length"].to_numpy(), batch["rank"].to_numpy())
-            yield pa.record_batch([batch["row_id"], batch["piece"], batch["length"], pa.array(room), pa.array(at)], names=["row_id", "piece", "length", "room", "at"])
-
-    put = map_arrow(with_rank.filter(F.col("length") <= small).select(*cut), place_small, "row_id long, piece int, length long, room long, at long")
+            lengths, ranks = batch["length"].to_numpy(), batch["rank"].to_numpy().copy()
+            large = lengths > small
+            ranks[large] = plan.pooled(lengths[large], ranks[large])
+            mine = ranks >= 0
+            room, at = rest.place(lengths[mine], ranks[mine])
+            yield pa.record_batch([*(batch[c].filter(pa.array(mine)) for c in ("row_id", "piece", "length")), pa.array(room), pa.array(at)], names=["row_id", "piece", "length", "room", "at"])
+
+    put = map_arrow(with_rank.select(*cut), place_small, "row_id long, piece int, length long, room long, at long")
     old = put.filter("room >= 0").join(open_sequences.select("room", F.col("rank").alias("at"), "sequence_id"), ["room", "at"])
     new = put.filter("room < 0").withColumn("sequence_id", F.col("at") + F.lit(plan.sequences))
     every = large.unionByName(old.select("row_id", "piece", "length", "sequence_id")).unionByName(new.select("row_id", "piece", "length", "sequence_id"))

@@ -247,14 +247,61 @@ def test_never_more_than_best_fit(spark, name):
     counts = np.bincount(lengths, minlength=2049)
     assert SmallPlan(counts, np.zeros(2049, np.int64), 2048).opened == most
     small, plan = planned(counts)
-    assert (small < 2048) == (name == "a third")  # where configurations beat best fit
+    assert plan.needed <= most and (name != "a third" or not plan.freed_counts().any())  # where configurations beat best fit
     items = spark.createDataFrame([(i, 0, int(n)) for i, n in enumerate(lengths)], "row_id long, piece int, length long").cache()
     rows = pack(items).collect()
     used = check_packing(rows)
-    assert len(rows) == len(lengths) and used <= most and (used < 0.95 * most or name != "a third")
+    assert len(rows) == len(lengths) and used == plan.needed and (used < 0.95 * most or name != "a third")
     items.unpersist()
 
 
+@pytest.mark.parametrize(("name", "low", "high"), [("wide", 300, 1501), ("all", 257, 2048), ("narrow", 500, 1101)])
+def test_plans_of_wide_and_narrow_lengths(name, low, high):
+    """Never more than best fit; where lengths are narrow, by configurations alone and fewer."""
+    lengths = np.random.default_rng(5).integers(low, high, 8_000)
+    counts = np.bincount(lengths, minlength=2049)
+    plan = planned(counts)[1]
+    most = best_fit(lengths.tolist(), 2048)
+    assert plan.needed <= most
+    assert name != "narrow" or plan.needed < 0.96 * most and not plan.freed_counts().any()
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_the_tables_are_packed_by_configurations(sf):
+    """The plan in use is the grouped one, at the bound or one above, with no more sequences than best fit."""
+    import duckdb
+
+    from palimpsest.llm.wordids import word_ids
+
+    encoder = word_ids(WORD)
+    texts = [r[0] for r in duckdb.sql(f"SELECT coalesce(text, '') FROM '/root/testdata/{sf}/documents.parquet'").fetchall()]
+    lengths = encoder.encode(texts)[1] + 1
+    counts = np.bincount(lengths % 2048, minlength=2049)
+    counts[2048], counts[0] = (lengths // 2048).sum(), 0
+    small, plan = planned(counts)
+    assert plan.needed <= SmallPlan(counts, np.zeros(2049, np.int64), 2048).opened and plan.needed <= -(-int(lengths.sum()) // 2048) + 1
+    assert plan.freed_counts().sum() < 0.5 * counts[small + 1 :].sum()
+
+
+def test_freed_pieces_are_counted_off_by_length():
+    rng = np.random.default_rng(4)
+    for _ in range(30):
+        lengths = np.sort(rng.integers(30, 101, rng.integers(1, 300)))[::-1]
+        plan = Plan(np.bincount(lengths, minlength=101), 100, groups=int(rng.integers(1, 9)))
+        ranks = np.arange(len(lengths)) - np.searchsorted(-lengths, -lengths)
+        segments = plan.segments()
+        chosen = [s for s in segments if rng.random() < 0.4]
+        chosen += [(c, x, x + 1, r) for c, x, y, r in segments if y - x > 1 and (c, x, y, r) not in chosen][:1]
+        plan.reopen(chosen)
+        pooled, sequence = plan.pooled(lengths, ranks), plan.sequence(lengths, ranks)
+        assert len(np.unique(sequence[pooled >= 0])) == sum(y - x for _, x, y, _ in chosen)
+        assert not set(sequence[pooled >= 0]) & set(sequence[pooled < 0])
+        assert (plan.freed_counts() == np.bincount(lengths[pooled >= 0], minlength=101)).all()
+        for n in np.unique(lengths):
+            own = pooled[(lengths == n) & (pooled >= 0)]
+            assert sorted(own.tolist()) == list(range(len(own)))
+
+
 def test_rooms_are_those_of_the_pieces():
     rng = np.random.default_rng(2)
     for _ in range(20):
