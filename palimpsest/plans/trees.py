@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text
@@ -13,8 +13,10 @@ from palimpsest.plans.registry import REGROUP_SQL, query, r6, regrouped
 from palimpsest.plans.views import table
 from palimpsest.session import scratch, spread
 from palimpsest.sinks import files as sinks
+from palimpsest.sinks.partitions import read_ordered, upsert_partitions, write_ordered
 from palimpsest.sinks.tree import move_files, write_tree
 from palimpsest.sources import files as sources
+from palimpsest.sources import listing
 from palimpsest.sources import tables
 
 
@@ -272,3 +274,46 @@ def _(spark, sf):
     found = sources.place(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base), base)
     parts = F.split("subfolder", "/")
     return found.select(F.get(parts, F.lit(0)).alias("split"), F.get(parts, F.lit(2)).alias("subfolder"), "stem", digest(F.col("content").cast("string")))
+
+
+@query("sc1_sc3_listed_by_tasks", f"WITH {DOCS_SQL} SELECT subfolder || '/' || CAST(doc_id % 50 AS VARCHAR) AS subfolder, stem, size AS length FROM docs WHERE doc_id % 3 < 2 AND size > 0")
+def _(spark, sf):
+    """Every document is a file in one of many folders; one kind in three is no image."""
+    docs = documents(spark, sf).filter("text <> ''")
+    ending = F.element_at(F.array(*map(F.lit, (".jpg", ".PNG", ".txt"))), (F.col("doc_id") % 3 + 1).cast("int"))
+    folder = F.concat_ws("/", "subfolder", (F.col("doc_id") % 50).cast("string"))
+    base = tree(docs.select(folder.alias("subfolder"), F.concat("stem", ending).alias("stem"), "text"), "folders", "")
+    return listing.placed(listing.listed(spark, base, "*.{jpg,jpeg,png}", any_case=True), base).select("subfolder", "stem", "length")
+
+
+@query("sc4_texts_by_tasks", f"WITH {DOCS_SQL} SELECT subfolder, stem, md5({v._strip_sql('text')}) AS digest FROM docs WHERE size > 0")
+def _(spark, sf):
+    base = tree(documents(spark, sf), "texts", ".md")
+    return listing.texts(spark, base, ".md").select("subfolder", "stem", digest("text"))
+
+
+@query(
+    "j7_upsert_in_place",
+    f"""WITH {v.CROPS_SQL} SELECT filename, subfolder, CASE WHEN doc_id % 6 = 0 THEN 'dev' ELSE split END AS split, md5(CASE WHEN doc_id % 3 = 0 THEN 'new ' || doc_id ELSE coalesce(text, '') END) AS digest
+FROM crops WHERE doc_id % 2 = 0 OR doc_id % 3 = 0""",
+)
+def _(spark, sf):
+    """A table in folders by split, upserted in place; some rows change their split."""
+    crops, path = v.crops(spark, sf), scratch(spark, "table")
+    old = crops.filter("doc_id % 2 = 0").select("filename", "subfolder", F.coalesce("text", F.lit("")).alias("text"), "doc_id", "split")
+    split = F.when(F.col("doc_id") % 6 == 0, F.lit("dev")).otherwise(F.col("split"))
+    new = crops.filter("doc_id % 3 = 0").select("filename", "subfolder", F.concat(F.lit("new "), F.col("doc_id").cast("string")).alias("text"), "doc_id", split.alias("split"))
+    old.write.partitionBy("split").parquet(path)
+    upsert_partitions(spark, path, new, ["filename", "subfolder"], "doc_id", "split")
+    return spark.read.parquet(path).select("filename", "subfolder", "split", digest("text"))
+
+
+@query("t4_ordered_output", "SELECT doc_id, row_number() OVER (ORDER BY lang NULLS FIRST, length(text) DESC NULLS LAST, doc_id) AS at FROM documents")
+def _(spark, sf):
+    """Documents in order of language, then length, then id: numbered as the written files have them, by name and row."""
+    path = scratch(spark, "ordered")
+    write_ordered(table(spark, sf, "documents").select("lang", F.char_length("text").alias("n"), "doc_id"), path, "lang", F.col("n").desc(), "doc_id")
+    rows = read_ordered(spark, path).select("doc_id", "file", "row")
+    held = rows.groupBy("file").agg(F.count("*").alias("held"))  # one row for each file
+    before = held.select("file", F.coalesce(F.sum("held").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    return rows.join(F.broadcast(before), "file").select("doc_id", (F.col("before") + F.col("row") + 1).alias("at"))
