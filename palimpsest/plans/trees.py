@@ -13,6 +13,7 @@ from palimpsest.plans.registry import REGROUP_SQL, query, r6, regrouped
 from palimpsest.plans.views import table
 from palimpsest.session import scratch, spread
 from palimpsest.sinks import files as sinks
+from palimpsest.sinks.crops import write_crops
 from palimpsest.sinks.partitions import read_ordered, upsert_partitions, write_ordered
 from palimpsest.sinks.tree import move_files, write_tree
 from palimpsest.sources import files as sources
@@ -317,3 +318,22 @@ def _(spark, sf):
     held = rows.groupBy("file").agg(F.count("*").alias("held"))  # one row for each file
     before = held.select("file", F.coalesce(F.sum("held").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     return rows.join(F.broadcast(before), "file").select("doc_id", (F.col("before") + F.col("row") + 1).alias("at"))
+
+
+CROP_FILES_SQL = f"SELECT stem AS image, 'line' AS label, 0 AS idx, 8 AS width, CAST(octet_length(encode(t)) // 48 AS INTEGER) AS height FROM ({FILLED_SQL.format(line=48)}) UNION ALL SELECT stem, 'title', 2, 6, 1 FROM ({FILLED_SQL.format(line=48)})"
+
+
+@query("sk7_crops", CROP_FILES_SQL)
+def _(spark, sf):
+    """Of three boxes on each image the second equals the first and is dropped, so its number is a gap; the third is cut off."""
+    rows = drawn(spark, sf, 3)
+    base, out = scratch(spark, "images"), scratch(spark, "crops")
+    files = images.encoded(rows).select(F.lit("page").alias("folder"), F.concat("origin", F.lit(".png")).alias("name"), "content")
+    write_tree(files, base)
+    whole = F.struct(F.lit("line").alias("label"), F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(8).alias("w"), F.col("height").alias("h"))
+    corner = F.struct(F.lit("title").alias("label"), F.lit(10).alias("x"), F.lit(0).alias("y"), F.lit(40).alias("w"), F.lit(1).alias("h"))
+    boxes = rows.select(F.col("origin").alias("image"), F.posexplode(F.array(whole, whole, corner)).alias("seq", "b")).select("image", "seq", "b.*")
+    write_crops(base, boxes, out)
+    found = sources.decoded(spark, out).withColumn("rel", F.split(F.url_decode("origin"), "/"))
+    part = lambda k: F.element_at("rel", -k)
+    return found.select(part(3).alias("image"), part(2).alias("label"), F.regexp_extract(part(1), "^[0-9]+", 0).cast("int").alias("idx"), "width", "height")
