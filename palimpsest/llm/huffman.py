@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,7 +21,7 @@ from palimpsest.llm.base import map_arrow, pick, text_of
 from palimpsest.llm.wordids import word_ids
 from palimpsest.session import stash
 
-MAGIC, VERSION, BLOCK, MAX_BITS = b"PLHF", 1, 128, 16
+MAGIC, VERSION, BLOCK, MAX_BITS = b"PLHF", 2, 128, 16
 HEADER = struct.Struct("<4sHHqqqq")  # magic, version, ids in a block, ids before it in its part, documents, ids, bytes of code
 
 
@@ -108,20 +109,34 @@ class Code:
 
 
 def pack_frame(code: Code, before: int, doc_ids: np.ndarray, lens: np.ndarray, ids: np.ndarray) -> bytes:
-    """Header, doc ids (8 bytes each), their id counts (8 bytes each), bits of each block (2 bytes each), code words."""
+    """Header, doc ids (8 bytes each), which of them are null (a bit each; ``doc_ids`` may be masked), their id counts (8 bytes
+    each), bits of each block (2 bytes each), code words."""
     bits, starts = code.encode(ids)
     widths = np.diff(starts).astype("<u2").tobytes()
-    return HEADER.pack(MAGIC, VERSION, BLOCK, before, len(lens), len(ids), len(bits)) + doc_ids.astype("<i8").tobytes() + lens.astype("<i8").tobytes() + widths + bits
+    head = HEADER.pack(MAGIC, VERSION, BLOCK, before, len(lens), len(ids), len(bits))
+    return head + id_bytes(doc_ids) + lens.astype("<i8").tobytes() + widths + bits
 
 
-def unpack_frame(code: Code, raw: bytes) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
-    """Ids before it in its part, doc ids, id counts, all ids."""
+def id_bytes(doc_ids: np.ndarray) -> bytes:
+    """8 bytes for each id, then a bit for each, set where it is null."""
+    return np.ma.filled(doc_ids, 0).astype("<i8").tobytes() + np.packbits(np.ma.getmaskarray(doc_ids)).tobytes()
+
+
+def ids_from(raw: bytes, n: int, at: int = 0) -> np.ma.MaskedArray:
+    null = np.unpackbits(np.frombuffer(raw, np.uint8, -(-n // 8), at + 8 * n), count=n).astype(bool)
+    return np.ma.array(np.frombuffer(raw, "<i8", n, at), mask=null)
+
+
+def unpack_frame(code: Code, raw: bytes) -> tuple[int, np.ma.MaskedArray, np.ndarray, np.ndarray]:
+    """Ids before it in its part, doc ids (null ones masked), id counts, all ids."""
     magic, version, block, before, docs, n, size = HEADER.unpack_from(raw)
     if magic != MAGIC or version != VERSION or block != BLOCK:
         raise ValueError("not a frame of this format")
     at = HEADER.size
-    doc_ids, lens = np.frombuffer(raw, "<i8", docs, at), np.frombuffer(raw, "<i8", docs, at + 8 * docs)
-    at += 16 * docs
+    doc_ids = ids_from(raw, docs, at)
+    at += 8 * docs + -(-docs // 8)
+    lens = np.frombuffer(raw, "<i8", docs, at)
+    at += 8 * docs
     blocks = -(-n // BLOCK)
     widths = np.frombuffer(raw, "<u2", max(0, blocks - 1), at).astype(np.int64)
     at += 2 * max(0, blocks - 1)
@@ -176,9 +191,9 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, end_id: int = 2, vocab
 
         def frame() -> pa.RecordBatch:
             nonlocal before, waiting
-            doc_ids, lens, ids = (np.concatenate(x) for x in zip(*held, strict=True))
+            doc_ids, lens, ids = (join(x) for join, x in zip((np.ma.concatenate, np.concatenate, np.concatenate), zip(*held, strict=True), strict=True))
             held.clear()
-            row = [part, before, doc_ids.astype("<i8").tobytes(), lens.astype("<i8").tobytes(), ids.astype(plain).tobytes(), None]
+            row = [part, before, id_bytes(doc_ids), lens.astype("<i8").tobytes(), ids.astype(plain).tobytes(), None]
             before, waiting = before + len(ids), 0
             return pa.record_batch([pa.array([v], t) for v, t in zip(row, RAW, strict=True)], names=RAW_NAMES)
 
@@ -195,7 +210,7 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, end_id: int = 2, vocab
             keep[np.cumsum(lens) - 1] = False
             whole[keep] = ids
             seen += np.bincount(whole, minlength=vocabulary)
-            doc_ids = np.array([NO_ID if v is None else v for v in batch.column(0).to_pylist()], np.int64)
+            doc_ids = np.ma.array(pc.fill_null(batch.column(0), 0).to_numpy(), mask=pc.is_null(batch.column(0)).to_numpy(zero_copy_only=False))
             held.append((doc_ids, lens, whole))
             waiting += len(whole)
             if waiting >= frame_ids:
@@ -236,7 +251,7 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, end_id: int = 2, vocab
         code = Code(lengths)
         for batch in batches:
             for part, before, doc_ids, lens, ids in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                payload = pack_frame(code, before, np.frombuffer(doc_ids, "<i8"), np.frombuffer(lens, "<i8"), np.frombuffer(ids, plain))
+                payload = pack_frame(code, before, ids_from(doc_ids, len(lens) // 8), np.frombuffer(lens, "<i8"), np.frombuffer(ids, plain))
                 yield pa.record_batch([pa.array([part]), pa.array([before]), pa.array([len(ids) // np.dtype(plain).itemsize]), pa.array([payload], pa.binary())], names=["part", "before", "n_ids", "frame"])
 
     frames = map_arrow(raw.filter("counts is null").drop("counts"), coded, "part long, before long, n_ids long, frame binary")
@@ -248,7 +263,6 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, end_id: int = 2, vocab
 RAW = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
 RAW_NAMES = ["part", "before", "doc_ids", "lens", "ids", "counts"]
 RAW_SCHEMA = "part long, before long, doc_ids binary, lens binary, ids binary, counts binary"
-NO_ID = -(1 << 63)
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
@@ -276,7 +290,7 @@ def _read(spark: SparkSession, path: str, with_ids: bool) -> DataFrame:
                 ends = np.cumsum(lens)
                 data = memoryview(ids.astype("<u4").tobytes())
                 crcs = [zlib.crc32(data[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), lens.tolist(), strict=True)]
-                columns = [pa.array(doc_ids, pa.int64(), mask=doc_ids == NO_ID), pa.array(ends - lens + before + offsets[part], pa.int64()), pa.array(lens, pa.int64()), pa.array(crcs, pa.int64())]
+                columns = [pa.array(doc_ids.data, pa.int64(), mask=np.ma.getmaskarray(doc_ids)), pa.array(ends - lens + before + offsets[part], pa.int64()), pa.array(lens, pa.int64()), pa.array(crcs, pa.int64())]
                 names = ["doc_id", "start", "n_tokens", "ids_crc32"]
                 if with_ids:
                     columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids.astype(np.int32))))

@@ -158,6 +158,14 @@ def test_a_tokenizer_of_sixty_thousand_ids(spark, tmp_path):
     assert {r["doc_id"]: r["ids"] for r in read_ids(spark, str(tmp_path / "many")).collect()} == {i: [59_999 - i, 7, 60_000, 2] for i in range(30)}
 
 
+def test_every_id_and_none_come_back(spark, tmp_path):
+    """The smallest and the largest id are not taken for a null."""
+    docs = spark.createDataFrame([(-(2**63), "a"), (2**63 - 1, "b"), (None, "c"), (5, None)] + [(i, "d") for i in range(100, 120)], "doc_id long, text string")
+    write_ids(docs, BYTE, str(tmp_path / "ids"))
+    back = sorted((r["start"], r["doc_id"], r["n_tokens"]) for r in read_ids(spark, str(tmp_path / "ids")).collect())
+    assert [i for _, i, _ in back] == [None, -(2**63), 5, *range(100, 120), 2**63 - 1] and [n for _, _, n in back][:3] == [2, 2, 1]
+
+
 def test_written_ids_of_an_empty_table(spark, tmp_path):
     write_ids(empty_docs(spark), BYTE, str(tmp_path / "none"))
     assert read_ids(spark, str(tmp_path / "none")).count() == 0
