@@ -235,6 +235,8 @@ def line_dedup(docs: DataFrame, others: tuple[str, ...] = (), threshold: int = T
     with clashing names, are left. An empty table gives an empty one. With 1 no pairs are made of crowded buckets at all;
     with 2 lines that agree in all but two of eight cells meet in pairs.
     """
+    if threshold not in CELLS:
+        raise ValueError(f"lines are compared within {' or '.join(map(str, CELLS))} edits, not {threshold}")
     held = [f"other_{i}" for i in range(len(others))]
     docs = pick(docs, "doc_id", "text", *others).toDF("doc_id", "text", *held)
     first, later = first_lines(docs.select("doc_id", "text"), threshold)

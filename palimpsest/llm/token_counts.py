@@ -108,6 +108,8 @@ def token_counts(docs: DataFrame, model: str, limit: int = 4096) -> DataFrame:
 
     A null or empty text has no bytes and no tokens. Repeated rows are counted each; a null doc_id stays null.
     Strings that look like special tokens are plain text, as by the library's default. ``model`` is read by executors.
+    Texts are counted whole, one at a time, however long. An empty table gives no row. Other columns, also ones with
+    clashing names, are left.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

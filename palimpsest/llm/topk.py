@@ -83,6 +83,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     A vector that is null or has a null or non-finite component takes no part, as query or candidate; an empty one scores
     0. Of vectors of unequal length the missing components are 0. Repeated equal query rows are one query; queries with
     one id and different vectors are ranked each. Rows with a query's id are not its candidates. Null ids take no part.
+    An empty table, or one without queries, gives no row. Other columns, also ones with clashing names, are left.
     """
     spark = vectors.sparkSession
     importable(spark)

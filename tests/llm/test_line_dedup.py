@@ -168,3 +168,9 @@ def test_edges(spark):
     assert line_dedup(empty_docs(spark)).count() == 0
     twice = spark.createDataFrame([(1, "a line of more than twenty characters", "en", "s", 1)] * 2, DOC_SCHEMA)
     assert [r["n_exact"] for r in line_dedup(twice).collect()] == [0, 0]
+
+
+@pytest.mark.parametrize("threshold", [0, 3])
+def test_thresholds_that_are_not_there(spark, threshold):
+    with pytest.raises(ValueError, match="within 1 or 2 edits"):
+        line_dedup(empty_docs(spark), threshold=threshold)
