@@ -1,13 +1,19 @@
-"""Clients for ``inference.transcribe``: chat endpoints over HTTP, asked again with sampling where they say nothing."""
+"""Chat endpoints over HTTP, asked side by side within bounds, and again with sampling where they say nothing."""
 
 from __future__ import annotations
 
 import base64
 import json
 import urllib.request
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
-from palimpsest.operators.inference import Client
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from palimpsest.functions.text import strip, without_thinking
+from palimpsest.session import importable, stash
 
 #: ``model, image, temperature`` to text, tokens in and tokens out
 Ask = Callable[[str, bytes, float], tuple[str, int, int]]
@@ -17,23 +23,44 @@ MAGIC = {b"\x89PNG": "image/png", b"RIFF": "image/webp"}
 WARM = 0.5
 
 
-def resampled(ask: Ask, temperature: float = 0.0) -> Client:
-    """A client that asks once more, with sampling, where the answer is blank; tokens of both count."""
+def asked(images: DataFrame, model: str, ask: Callable[[], Ask], temperature: float, at_once: int) -> DataFrame:
+    """``path, text, input_tokens, output_tokens, error``: one call for each image, ``at_once`` of them open in a task. A call
+    that fails gives its error."""
+    importable(images.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        call = ask()
+
+        def one(content: bytes) -> tuple[str | None, int, int, str | None]:
+            try:
+                return *call(model, content, temperature), None
+            except Exception as e:  # the row says what went wrong, the others go on
+                return None, 0, 0, f"{type(e).__name__}: {e}"
+
+        with ThreadPoolExecutor(at_once) as pool:
+            for batch in batches:
+                said = list(pool.map(one, batch.column("content").to_pylist()))
+                columns = [pa.array(c, t) for c, t in zip(zip(*said, strict=True) if said else [[]] * 4, (pa.string(), pa.int64(), pa.int64(), pa.string()), strict=True)]
+                yield pa.record_batch([batch.column("path"), *columns], names=["path", "text", "input_tokens", "output_tokens", "error"])
 
-    def call(model: str, image: bytes) -> tuple[str, int, int]:
-        text, a, b = ask(model, image, temperature)
-        if not (text or "").strip():
-            again, c, d = ask(model, image, max(temperature, WARM))
-            text, a, b = again if (again or "").strip() else text, a + c, b + d
-        return text or "", a, b
+    out = images.select("path", "content").mapInArrow(run, "path string, text string, input_tokens long, output_tokens long, error string")
+    return out.withColumn("text", without_thinking(F.coalesce("text", F.lit(""))))
 
-    return call
 
+def answered(images: DataFrame, model: str, ask: Callable[[], Ask], temperature: float = 0.0, at_once: int = 8) -> DataFrame:
+    """``path, text, input_tokens, output_tokens, error`` of ``images(path, content)`` with different paths.
 
-def after_thinking(text: str | None) -> str:
-    """What follows the first ``</think>``; the text where there is none."""
-    _, mark, rest = (text or "").partition("</think>")
-    return rest.lstrip("\n ") if mark else text or ""
+    All images are asked about once and the answers written. Those with a blank answer are asked about again in a second pass,
+    with sampling; the tokens of both calls count, and where the second answer is blank too the first stays.
+    """
+    first = stash(asked(images, model, ask, temperature, at_once), "answers")
+    blank = first.filter(F.col("error").isNull() & (strip(F.col("text")) == "")).select("path")
+    again = stash(asked(images.join(blank, "path", "left_semi"), model, ask, max(temperature, WARM), at_once), "answers")
+    names = {c: f"second_{c}" for c in ("text", "input_tokens", "output_tokens")}
+    both = first.join(again.select("path", *[F.col(c).alias(n) for c, n in names.items()]), "path", "left")
+    text = F.when(strip(F.col("second_text")) != "", F.col("second_text")).otherwise(F.col("text"))
+    tokens = [(F.col(c) + F.coalesce(f"second_{c}", F.lit(0))).alias(c) for c in ("input_tokens", "output_tokens")]
+    return both.select("path", text.alias("text"), *tokens, "error")
 
 
 def chat_ask(url: str, prompt: str, key: str = "", max_tokens: int = 4096, thinking: bool = True, timeout: float = 120) -> Ask:
@@ -49,6 +76,6 @@ def chat_ask(url: str, prompt: str, key: str = "", max_tokens: int = 4096, think
         with urllib.request.urlopen(urllib.request.Request(f"{url.rstrip('/')}/chat/completions", json.dumps(body).encode(), headers), timeout=timeout) as answer:
             got = json.load(answer)
         used = got.get("usage") or {}
-        return after_thinking(got["choices"][0]["message"]["content"]), used.get("prompt_tokens", 0), used.get("completion_tokens", 0)
+        return got["choices"][0]["message"]["content"] or "", used.get("prompt_tokens", 0), used.get("completion_tokens", 0)
 
     return ask

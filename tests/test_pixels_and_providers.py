@@ -10,7 +10,7 @@ from math import exp
 import numpy as np
 
 from palimpsest.log import logger
-from palimpsest.operators import images, inference, providers
+from palimpsest.operators import images, providers
 from palimpsest.sinks import files as sinks
 from palimpsest.sources import files as sources
 
@@ -88,19 +88,34 @@ def test_lower_contrast_is_darker_and_reruns_agree(spark):
     assert images.lower_contrast(df.limit(0)).count() == 0 and images.changed(df.limit(0), images.grey).count() == 0
 
 
-def test_blank_answers_are_sampled_again():
-    asked = []
+def slow_ask(folder):
+    """Answers by the image's bytes, and leaves a file for each call while it is open."""
+    import os
+    import time
+    import uuid
 
     def ask(model, image, temperature):
-        asked.append(temperature)
-        return {b"a": "text", b"b": "" if temperature < 0.5 else "warm", b"c": " "}[image], 3, 2
+        name = uuid.uuid4().hex
+        open(f"{folder}/open-{name}", "w").close()
+        open_now = len([f for f in os.listdir(folder) if f.startswith("open-")])
+        open(f"{folder}/call-{open_now}-{temperature}-{image.decode()}-{name}", "w").close()
+        time.sleep(0.05)
+        os.remove(f"{folder}/open-{name}")
+        if image == b"d":
+            raise OSError("no route")
+        return {b"a": "text", b"b": "" if temperature < 0.5 else "<think>x</think>\n warm", b"c": " "}[image], 3, 2
 
-    call = providers.resampled(ask)
-    assert call("m", b"a") == ("text", 3, 2) and asked == [0.0]
-    assert call("m", b"b") == ("warm", 6, 4) and asked[1:] == [0.0, 0.5]
-    assert call("m", b"c") == (" ", 6, 4)
-    assert providers.resampled(ask, 0.8)("m", b"b")[0] == "warm" and asked[-1] == 0.8
-    assert providers.after_thinking("<think>x</think>\n\n y") == "y" and providers.after_thinking(None) == ""
+    return ask
+
+
+def test_blank_answers_are_sampled_again(spark, tmp_path):
+    rows = spark.createDataFrame([(f"{k}{i}", k.encode()) for k in "abcd" for i in range(6)], "path string, content binary").coalesce(1)
+    out = {r["path"]: (r["text"], r["input_tokens"], r["output_tokens"], r["error"]) for r in providers.answered(rows, "m", partial(slow_ask, str(tmp_path)), at_once=3).collect()}
+    want = {"a": ("text", 3, 2, None), "b": ("warm", 6, 4, None), "c": (" ", 6, 4, None), "d": ("", 0, 0, "OSError: no route")}
+    assert out == {f"{k}{i}": want[k] for k in "abcd" for i in range(6)}
+    calls = [p.name.split("-") for p in tmp_path.glob("call-*")]
+    assert len(calls) == 24 + 12 and {c[2] for c in calls if c[3] in "ad"} == {"0.0"} and max(int(c[1]) for c in calls) in (2, 3)
+    assert providers.answered(rows.limit(0), "m", partial(slow_ask, str(tmp_path))).count() == 0
 
 
 class Endpoint(BaseHTTPRequestHandler):
@@ -119,7 +134,7 @@ class Endpoint(BaseHTTPRequestHandler):
 
 
 def chat_client(url):
-    return providers.resampled(providers.chat_ask(url, "Read.", key="k", thinking=False))
+    return providers.chat_ask(url, "Read.", key="k", thinking=False)
 
 
 def test_chat_endpoint(spark):
@@ -127,7 +142,7 @@ def test_chat_endpoint(spark):
     threading.Thread(target=server.serve_forever, daemon=True).start()
     try:
         images_ = spark.createDataFrame([("a", b"\x89PNG1"), ("b", b"other")], "path string, content binary").coalesce(1)
-        out = inference.transcribe(images_, "some-model", partial(chat_client, f"http://127.0.0.1:{server.server_port}/v1/")).orderBy("path").collect()
+        out = providers.answered(images_, "some-model", partial(chat_client, f"http://127.0.0.1:{server.server_port}/v1/"), at_once=1).orderBy("path").collect()
     finally:
         server.shutdown()
     assert [(r["text"], r["input_tokens"], r["output_tokens"], r["error"]) for r in out] == [("said", 14, 2, None)] * 2
