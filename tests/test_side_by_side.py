@@ -1,0 +1,28 @@
+"""Pairs side by side have the distances that each has alone; rows come back in bounded pieces."""
+
+import random
+
+import pyarrow as pa
+
+from palimpsest.functions import edit
+
+
+def test_distances_side_by_side():
+    rng = random.Random(5)
+    pairs = []
+    for n in [*range(1, 70), 127, 128, 129, 191, 193, 300, 640, 641]:
+        a = "".join(rng.choice("abc dé😀") for _ in range(n))
+        b = "".join(c if rng.random() < 0.8 else rng.choice(["", "x", "ab"]) for c in a)
+        pairs += [(a, b), (b, a), (a, "zz" + a[::-1]), (a, ""), (None, a)]
+    want = [None if a is None else edit.distance(a, b) for a, b in pairs]
+    assert edit.distances(*map(list, zip(*pairs, strict=True))) == want
+    words = [(a.split(), b.split()) for a, b in pairs if a]
+    assert edit.distances(*map(list, zip(*words, strict=True))) == [edit.distance(a, b) for a, b in words]
+
+
+def test_chunks_come_in_pieces(monkeypatch):
+    monkeypatch.setattr(edit, "_pieces", lambda batches, words, given=0, real=edit._pieces: real(batches, words, 50))
+    rows = pa.array(["abcdefghij" * k for k in range(1, 9)]), pa.array(["abXdefghij" * k for k in range(1, 9)])
+    got = list(edit._char_chunks(iter([rows])))
+    assert len(got) > 1 and [len(r) for g in got for r in g.to_pylist()] == list(range(1, 9))
+    assert [x for g in edit._distances(iter([rows])) for x in g.to_pylist()] == list(range(1, 9))
