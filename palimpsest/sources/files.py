@@ -70,7 +70,10 @@ def line_images(spark: SparkSession, base: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, base: str, extension: str, column: str = "text") -> DataFrame:
-    """``subfolder, stem`` and the stripped text of every file with an extension."""
+    """``subfolder, stem`` and the stripped text of every file with an extension that has bytes: one without holds no text, and
+    Spark's text source doesn't give it either."""
+    if listing.reachable(base):
+        return listing.texts(spark, base, extension, column)
     return whole(spark, base, f"*{extension}").select("subfolder", "stem", strip(F.col("value")).alias(column))
 
 

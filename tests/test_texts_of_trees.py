@@ -6,7 +6,7 @@ from __spark_entry__ import oracle_sql, queries
 from tests.oracle import same
 
 
-@pytest.mark.parametrize("query", ["sc4_texts_by_tasks"])
+@pytest.mark.parametrize("query", ["sc4_sc20_sk4_texts", "sc4_texts_by_tasks"])
 def test_documents_without_text_have_none(spark, tmp_path, query):
     rows = [(1, " one\n", "en", "a", 5), (2, "", "en", "a", 0), (3, None, "fr", "a", None), (4, " \n ", None, "a", 3), (5, "zwei é", "de", "a", 6)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
