@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.functions.constants import SPLIT_WEIGHTS
-from palimpsest.operators.curation import has_splits, not_done
+from palimpsest.operators.curation import not_done
 from palimpsest.session import importable
 from palimpsest.sinks.tree import at, write_tree
 
@@ -20,10 +20,10 @@ def with_default_split(annotations: DataFrame) -> DataFrame:
 
 def write_annotations(annotations: DataFrame, path: str) -> None:
     """A folder for each split; rows without one are train. Of the standard splits those without rows get an empty folder."""
-    rows = with_default_split(annotations)
-    there = has_splits(rows, list(SPLIT_WEIGHTS))
-    rows.write.mode("overwrite").partitionBy("split").json(path)
-    for split in set(SPLIT_WEIGHTS) - there:
+    rows, seen = with_default_split(annotations), Observation()
+    there = [F.coalesce(F.max(F.col("split") == n), F.lit(False)).alias(n) for n in SPLIT_WEIGHTS]
+    rows.observe(seen, *there).write.mode("overwrite").partitionBy("split").json(path)  # texts may be read from files: once
+    for split in (n for n in SPLIT_WEIGHTS if not seen.get[n]):
         annotations.drop("split").limit(0).write.mode("overwrite").json(f"{path}/split={split}")
 
 

@@ -187,10 +187,11 @@ def sidecars(found: DataFrame, beside: DataFrame, in_label: DataFrame) -> DataFr
 
 def legacy_annotations(spark: SparkSession, base: str) -> DataFrame:
     """Old crops with their labels; those without or with empty ones are left. Splits are given by ``curation.assign_splits``."""
-    found = place(images(spark, base), base).withColumn("filename", F.regexp_extract("path", "([^/]*)$", 1))
-    labels = texts(spark, base, ".txt")
-    at = F.regexp_replace(F.col("subfolder"), r"(^|/)images?(?=/|$)", "$1label")
-    return found.withColumn("label_at", at).join(labels.select(F.regexp_replace("subfolder", r"(^|/)labels?(?=/|$)", "$1label").alias("label_at"), "stem", "text"), ["label_at", "stem"]).filter("text <> ''").drop("label_at")
+    found, labels = images_and_labels(spark, base)
+    found = place(found, base).withColumn("filename", F.regexp_extract("path", "([^/]*)$", 1))
+    at = lambda kind: F.regexp_replace("subfolder", rf"(^|/){kind}s?(?=/|$)", "$1label").alias("label_at")
+    labels = labels.select(at("label"), *[c for c in ("stem", "text", "path", "length") if c in labels.columns])
+    return with_labels(spark, base, found.withColumn("label_at", at("image")), labels, ["label_at", "stem"], "inner").filter("text <> ''").drop("label_at")
 
 
 def small_text(spark: SparkSession, path: str) -> str:

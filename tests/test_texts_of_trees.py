@@ -20,6 +20,8 @@ def test_texts_of_labels_are_not_joined(spark, tmp_path):
     for name, text in (("train/images/s/a.jpg", "x"), ("train/images/s/b.jpg", "x"), ("train/images/s/c.png", "x"), ("train/labels/s/a.txt", " one "), ("train/labels/s/c.txt", "")):
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / name).write_text(text)
-    found = sources.split_crops(spark, str(tmp_path))
-    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    found, old = sources.split_crops(spark, str(tmp_path)), sources.legacy_annotations(spark, str(tmp_path))
+    for df in (found, old):
+        assert "Join" not in df._jdf.queryExecution().optimizedPlan().toString()
     assert sorted((r["split"], r["subfolder"], r["filename"], r["text"]) for r in found.collect()) == [("train", "s", "a.jpg", "one"), ("train", "s", "b.jpg", ""), ("train", "s", "c.png", "")]
+    assert [(r["filename"], r["text"], r["path"]) for r in old.collect()] == [("a.jpg", "one", f"file:{tmp_path}/train/images/s/a.jpg")]
