@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions.constants import OUTLIER_RATIO
-from palimpsest.functions.edit import char_distance, char_rate, word_levenshtein
+from palimpsest.functions.edit import char_distance, char_rate, word_distance, word_levenshtein
 from palimpsest.functions.text import normalize, words
 from palimpsest.session import stash
 
@@ -43,13 +43,19 @@ def split_words(text: Column, separator: str | None = " ") -> Column:
     return words(text) if separator is None else F.filter(F.split(text, separator), lambda w: w != "")
 
 
+def word_edits(separator: str | None) -> tuple[Column, Column]:
+    """The edit distance of the words of a pair's texts, and how many words the reference has."""
+    r, h = (split_words(F.col(c), separator) for c in ("reference", "prediction"))
+    return word_distance(F.col("reference"), F.col("prediction")) if separator == " " else word_levenshtein(r, h), F.size(r)
+
+
 def item_metrics(pairs: DataFrame, clip: bool = True, separator: str | None = " ") -> DataFrame:
     """``subfolder, filename, cer, wer, levenshtein, exact_match`` for each pair, over whole texts. What isn't selected of
     them isn't worked out."""
-    df = pairs.withColumn("r", split_words(F.col("reference"), separator)).withColumn("h", split_words(F.col("prediction"), separator))
-    df = df.withColumn("levenshtein", char_distance(F.col("reference"), F.col("prediction"))).withColumn("word_edits", word_levenshtein(F.col("r"), F.col("h")))
+    edits, size = word_edits(separator)
+    df = pairs.withColumn("levenshtein", char_distance(F.col("reference"), F.col("prediction"))).withColumn("word_edits", edits)
     cer = F.try_divide(F.col("levenshtein").cast("double"), F.char_length("reference").cast("double"))
-    wer = F.try_divide(F.col("word_edits").cast("double"), F.size("r").cast("double"))
+    wer = F.try_divide(F.col("word_edits").cast("double"), size.cast("double"))
     cut = (lambda c: F.least(c, F.lit(1.0))) if clip else (lambda c: c)
     return df.select("subfolder", F.col("stem").alias("filename"), cut(cer).alias("cer"), cut(wer).alias("wer"), "levenshtein", (F.col("prediction") == F.col("reference")).cast("double").alias("exact_match"))
 
@@ -123,8 +129,8 @@ def nested_report(items: DataFrame) -> DataFrame:
 
 def corpus_rates(pairs: DataFrame, *keys: str, separator: str | None = " ") -> DataFrame:
     """Edits over reference length, summed over each group: ``cer_micro, wer_micro, n``."""
-    df = pairs.withColumn("r", split_words(F.col("reference"), separator)).withColumn("h", split_words(F.col("prediction"), separator))
-    df = df.select(*keys, char_distance(F.col("reference"), F.col("prediction")).alias("e"), F.char_length("reference").alias("c"), word_levenshtein(F.col("r"), F.col("h")).alias("we"), F.size("r").alias("w"))
+    edits, size = word_edits(separator)
+    df = pairs.select(*keys, char_distance(F.col("reference"), F.col("prediction")).alias("e"), F.char_length("reference").alias("c"), edits.alias("we"), size.alias("w"))
     return micro_rates(df.withColumn("n", F.lit(1)), *keys)
 
 
@@ -138,11 +144,10 @@ def evaluate_sources(pairs: DataFrame, losses: DataFrame, rates: tuple[str, ...]
 
     The texts are compared once: sums by source are written, and the whole is their sum. A rate that isn't asked for is null.
     """
-    df = pairs.withColumn("r", split_words(F.col("reference"), separator)).withColumn("h", split_words(F.col("prediction"), separator))
-    of = {"cer": (char_distance(F.col("reference"), F.col("prediction")), F.char_length("reference")), "wer": (word_levenshtein(F.col("r"), F.col("h")), F.size("r"))}
+    of = {"cer": (char_distance(F.col("reference"), F.col("prediction")), F.char_length("reference")), "wer": word_edits(separator)}
     none = (F.lit(None).cast("int"),) * 2
     (e, c), (we, w) = (of[k] if k in rates else none for k in ("cer", "wer"))
-    df = df.select("source", e.alias("e"), c.alias("c"), we.alias("we"), w.alias("w"))
+    df = pairs.select("source", e.alias("e"), c.alias("c"), we.alias("we"), w.alias("w"))
     sums = stash(df.groupBy("source").agg(F.count("*").alias("n"), *[F.sum(x).alias(x) for x in ("e", "c", "we", "w")]), "sums")
     by_source = micro_rates(sums, "source").join(losses, "source", "left").select("source", "n", "cer_micro", "wer_micro", "loss")
     whole = micro_rates(sums).crossJoin(by_source.agg(F.try_divide(F.sum(F.col("loss") * F.col("n")), F.sum("n")).alias("loss")))
